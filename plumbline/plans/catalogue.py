@@ -1,0 +1,15 @@
+"""All queries over the driver's tables with their SQL equivalents."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
