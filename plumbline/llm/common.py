@@ -131,9 +131,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = 5):
             if b - a >= size:
                 yield i + r, np.unique(rolled[a : b - size + 1])
             elif b > a:
-                part = np.uint64(b - a)
-                for k in range(a, b):
-                    part = part * np.uint64(0xD6E8FEB86659FD93) + words[k]
+                part = int(b - a)
+                for w in words[a:b].tolist():
+                    part = (part * 0xD6E8FEB86659FD93 + w) & 0xFFFFFFFFFFFFFFFF
                 yield i + r, mix64(np.array([part], dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
             else:
                 yield i + r, np.zeros(0, np.uint64)

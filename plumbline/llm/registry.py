@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mix_cube, quality_subword, token_planes, url_reputation
+from plumbline.llm import mix_cube, ngram_matrix, quality_subword, token_planes, url_reputation
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_mix_cube": mix_cube.query,
         "op5_token_planes": token_planes.query,
         "op8_quality_subword": quality_subword.query,
+        "op10_ngram_matrix": ngram_matrix.query,
     }
 
 
