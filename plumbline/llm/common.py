@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_CHUNK = 1 << 20  # bytes of text that one numpy pass handles; a longer text makes its own pass
 
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df (a cheap plan, such as a written table of keys) marked for broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # --- byte kernels -------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)
