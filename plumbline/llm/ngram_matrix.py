@@ -12,7 +12,7 @@ an entry of its product with its transpose is the overlap of two documents. Two
    Columns that many documents hold sort last, so a passage of thousands of documents is never a posting of
    documents that are mostly their own.
 3. The product is accumulated block by block for the pairs that the postings name. First each row is multiplied by one
-   leader of its postings (the least by hash), so that a group of copies costs one pair a row; the links that pass the
+   leader of its postings, so that a group of copies costs one pair a row; the links that pass the
    bound are contracted to components. Then, in columns that still hold several components, every pair of rows from
    different components is multiplied that the sizes allow. So no link between components is lost, and pairs within a
    component are not expanded.
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, shingle_sets, table, text_buffers, written
+from plumbline.llm.common import mix64, shingle_sets, sized_broadcast, table, text_buffers, written
 from plumbline.llm.components import components
 
 SHINGLE = 5
@@ -185,13 +185,16 @@ def _set_rows(batches):
 
 
 def _gather(batches):
-    """(rid, n, data) -> batches of rows, of BATCH_BYTES at most unless a single row is larger."""
+    """(rid, n, data) -> numbered batches of rows, of BATCH_BYTES / 2 unless a single row is larger."""
     import pandas as pd
+    from pyspark import TaskContext
 
-    held, size = [], 0
+    held, size, at = [], 0, TaskContext.get().partitionId() << 40
 
     def flush():
-        return pd.DataFrame({"batch": [held[0][0]], "rids": [[r for r, _, _ in held]], "sizes": [[int(n) for _, n, _ in held]], "data": [b"".join(d for _, _, d in held)]})
+        nonlocal at
+        first, at = at, at + len(held)
+        return pd.DataFrame({"batch": [first], "rows": [list(range(first, at))], "rids": [[r for r, _, _ in held]], "sizes": [[int(n) for _, n, _ in held]], "data": [b"".join(d for _, _, d in held)]})
 
     for pdf in batches:
         for row in zip(pdf["rid"], pdf["n"], pdf["data"], strict=True):
@@ -228,31 +231,37 @@ def _add_counts(pdf):
 
 
 def _postings(key, rows, counts):
-    """Batch of rows and the counts of its columns -> the shared columns among the rarest of each row."""
+    """Batch of rows and the counts of its columns -> the shared columns among the rarest of each row.
+
+    u is how many columns are the row's own; near marks the columns that are rare enough to be shared with a row at least as large.
+    """
     import pandas as pd
 
     data = np.frombuffer(rows["data"].iloc[0], np.uint64)
     column, at = np.unique(data, return_inverse=True)
     total = np.concatenate([np.frombuffer(c, np.uint32) for c in counts.sort_values("block")["counts"]])[at]
     cut = np.cumsum([0, *rows["sizes"].iloc[0]])
-    rids, sizes, hashes = [], [], []
-    for rid, a, b in zip(rows["rids"].iloc[0], cut[:-1], cut[1:], strict=True):
+    names, sizes, own, hashes, near = [], [], [], [], []
+    for row, a, b in zip(rows["rows"].iloc[0], cut[:-1], cut[1:], strict=True):
         n = int(b - a)
         order = np.lexsort((data[a:b], total[a:b]))[: n - -(-NUM * n // DEN) + 1]
-        order = order[total[a:b][order] > 1]
+        shared = total[a:b][order] > 1
+        near.append(np.arange(len(order))[shared] <= n - -(-2 * NUM * n // (NUM + DEN)))
+        order = order[shared]
         hashes.append(data[a:b][order])
-        rids += [rid] * len(order)
+        names += [row] * len(order)
         sizes += [n] * len(order)
-    return pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "rid": rids, "n": np.array(sizes, dtype=np.int32)})
+        own += [int(np.count_nonzero(total[a:b] == 1))] * len(order)
+    return pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "row": np.array(names, dtype=np.int64), "n": np.array(sizes, dtype=np.int32), "u": np.array(own, dtype=np.int32), "near": np.concatenate(near)})
 
 
 def _unbatched(batches):
     import pandas as pd
 
     for pdf in batches:
-        for rids, sizes_, data in zip(pdf["rids"], pdf["sizes"], pdf["data"], strict=True):
+        for names, sizes_, data in zip(pdf["rows"], pdf["sizes"], pdf["data"], strict=True):
             cut = np.cumsum([0, *sizes_]) * 8
-            yield pd.DataFrame({"rid": list(rids), "n": list(sizes_), "data": [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+            yield pd.DataFrame({"row": list(names), "data": [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
 
 # --- blocks of the product ------------------------------------------------------------------------------------------
@@ -276,76 +285,84 @@ def _multiply(batches):
             if DEN * both >= NUM * (len(x) + len(lead) - both):
                 u.append(a)
                 v.append(b)
-        yield pd.DataFrame({"u": u, "v": v}, dtype=object)
+        yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
 
 
 def multiply(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs(a, b), rows(rid, data) -> links (u, v) of those that pass the bound."""
+    """pairs(a, b), rows(row, data) -> links (u, v) of those that pass the bound."""
     counts = pairs.groupBy("b").agg(F.count("*").alias("c"))
     salts = F.ceil(F.col("c") / SALT).cast("int")
     dealt = pairs.join(counts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
-    mine = dealt.join(rows.select(F.col("rid").alias("a"), "data"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "data")
-    lead = counts.select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(rows.select(F.col("rid").alias("b"), "data"), "b")
-    lead = lead.select("b", "salt", F.lit(0).alias("kind"), F.lit("").alias("a"), "data")
+    mine = dealt.join(rows.select(F.col("row").alias("a"), "data"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "data")
+    lead = counts.select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(rows.select(F.col("row").alias("b"), "data"), "b")
+    lead = lead.select("b", "salt", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("a"), "data")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = mine.union(lead).repartition(n, "b", "salt").sortWithinPartitions("b", "salt", "kind")
-    return written(together.mapInPandas(_multiply, "u string, v string"), "links")
+    return written(together.mapInPandas(_multiply, "u long, v long"), "links")
+
+
+def _may_link(x: str, y: str) -> F.Column:
+    """Of two structs (n, u, near) of one column: can the rows reach the bound, overlap >= 3/7 (n + n'), by their sizes, and
+    would this column be among the rarest of the smaller one? A row's own columns are no part of an overlap."""
+    least = F.least(F.col(x)["n"] - F.col(x)["u"], F.col(y)["n"] - F.col(y)["u"])
+    near = F.when(F.col(x)["n"] < F.col(y)["n"], F.col(x)["near"]).when(F.col(x)["n"] > F.col(y)["n"], F.col(y)["near"]).otherwise(F.col(x)["near"] & F.col(y)["near"])
+    return near & (least * (NUM + DEN) >= (F.col(x)["n"] + F.col(y)["n"]) * NUM)
 
 
-def _may_link(n: str, m: str) -> F.Column:
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
+def _size() -> F.Column:
+    return F.struct("n", "u", "near")
 
 
 def _to_leaders(postings: DataFrame) -> DataFrame:
-    """Each row with the leader that most of its postings name: (a, b)."""
-    lead = postings.groupBy("h").agg(F.min(F.struct(F.xxhash64("rid").alias("r"), "rid", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
-    lead = lead.select("h", F.col("l.rid").alias("b"), F.col("l.n").alias("m"))
-    named = postings.join(lead, "h").filter((F.col("rid") != F.col("b")) & _may_link("n", "m"))
-    named = named.groupBy(F.col("rid").alias("a"), "b").agg(F.count("*").alias("c"))
+    """Each row with the leader that most of its postings name: (a, b). A column's leader is the row with fewest columns of its
+    own, which among edited copies is the one nearest to all others."""
+    lead = postings.groupBy("h").agg(F.min(F.struct("u", F.xxhash64("row").alias("r"), "row", _size().alias("y"))).alias("l"), F.count("*").alias("c")).filter("c > 1")
+    lead = lead.select("h", F.col("l.row").alias("b"), F.col("l.y").alias("y"))
+    named = postings.select("h", "row", _size().alias("x")).join(lead, "h").filter((F.col("row") != F.col("b")) & _may_link("x", "y"))
+    named = named.groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("c"))
     return named.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def _between_components(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Every pair (a, b) of rows that share a posting, lie in different components and may link by size."""
-    p = postings.join(labels.withColumnRenamed("u", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    p = written(p.select("h", "rid", "n", "label"), "postings-labelled")
+    p = postings.join(labels.withColumnRenamed("u", "of"), F.col("row") == F.col("of"), "left").withColumn("label", F.coalesce("label", "row"))
+    p = written(p.select("h", "row", _size().alias("x"), "label"), "postings-labelled")
     by = p.groupBy("h", "label").agg(F.count("*").alias("c"))
-    mixed = by.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("c", "label")).alias("x")).filter("k > 1").select("h", F.col("x.label").alias("major"))
+    mixed = by.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("c", "label")).alias("m")).filter("k > 1").select("h", F.col("m.label").alias("major"))
     p = p.join(mixed, "h")
     # one of two components is not the column's largest, so its rows may drive the join
-    minor = p.filter("label != major").select("h", F.col("rid").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-    rest = p.select("h", F.col("rid").alias("b"), "n", F.col("label").alias("lb"), (F.col("label") == F.col("major")).alias("is_major"))
-    pairs = minor.join(rest, "h").filter((F.col("la") != F.col("lb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & _may_link("n", "m"))
+    minor = p.filter("label != major").select("h", F.col("row").alias("a"), "x", F.col("label").alias("la"))
+    rest = p.select("h", F.col("row").alias("b"), F.col("x").alias("y"), F.col("label").alias("lb"), (F.col("label") == F.col("major")).alias("is_major"))
+    pairs = minor.join(rest, "h").filter((F.col("la") != F.col("lb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & _may_link("x", "y"))
     return pairs.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
     s = sizes(docs)
     may = s.filter(f"n > 0 and doc_id is not null and {DEN} * (n - own) >= {NUM} * n").select("doc_id").distinct()
     schema = "doc_id long, rid string, n int, data binary"
-    sets = written(docs.join(may, "doc_id").mapInArrow(_arrow(_set_rows, schema), schema), "sets")
-    members = sets.select("doc_id", "rid")
+    sets = written(docs.join(sized_broadcast(written(may, "may-link")), "doc_id").mapInArrow(_arrow(_set_rows, schema), schema), "sets")
     distinct = sets.groupBy("rid").agg(F.first("n").alias("n"), F.first("data").alias("data"))
-    batches = written(distinct.mapInPandas(_gather, "batch string, rids array<string>, sizes array<int>, data binary"), "row-batches")
+    batches = written(distinct.mapInPandas(_gather, "batch long, rows array<long>, rids array<string>, sizes array<int>, data binary"), "row-batches")
+    named = batches.select(F.explode(F.arrays_zip("rids", "rows")).alias("x")).select("x.rids", "x.rows").toDF("rid", "row")
+    members = written(sets.select("doc_id", "rid").join(named, "rid").select("doc_id", "row").distinct(), "members")
     total = batches.agg(F.sum(F.length("data")) / 8).first()[0] or 0
     blocks = max(8, int(total / BLOCK_ENTRIES) + 1)
-    cells = batches.select("batch", "data").mapInPandas(_count_cells(blocks), "batch string, block int, columns binary, counts binary")
-    counts = cells.groupBy("block").applyInPandas(_add_counts, "batch string, block int, counts binary")
-    postings = batches.groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(_postings, "h long, rid string, n int")
+    cells = batches.select("batch", "data").mapInPandas(_count_cells(blocks), "batch long, block int, columns binary, counts binary")
+    counts = cells.groupBy("block").applyInPandas(_add_counts, "batch long, block int, counts binary")
+    postings = batches.select("batch", "rows", "sizes", "data").groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(_postings, "h long, row long, n int, u int, near boolean")
     postings = written(postings, "postings")
-    rows = batches.mapInPandas(_unbatched, "rid string, n int, data binary").select("rid", "data")
+    rows = batches.select("rows", "sizes", "data").mapInPandas(_unbatched, "row long, data binary")
 
     links = multiply(written(_to_leaders(postings), "to-leaders"), rows)
-    twice = members.groupBy("doc_id").agg(F.min("rid").alias("u"), F.max("rid").alias("v")).filter("u != v").select("doc_id", "u")
-    same_doc = members.join(twice, "doc_id").select("u", F.col("rid").alias("v")).filter("u != v")
-    links = links.union(same_doc)
+    twice = members.groupBy("doc_id").agg(F.min("row").alias("u"), F.max("row").alias("v")).filter("u != v").select("doc_id", "u")
+    links = links.union(members.join(twice, "doc_id").select("u", F.col("row").alias("v")).filter("u != v"))
     more = multiply(written(_between_components(postings, components(links)), "between"), rows)
     labels = components(links.union(more)) if more.limit(1).count() else components(links)
 
-    of = members.distinct().join(labels.withColumnRenamed("u", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    of = members.join(labels.withColumnRenamed("u", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = of.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     of = written(of.filter("component_id != doc_id"), "classes")
