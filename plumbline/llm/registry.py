@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import curve_search, dom_tree, mix_cube, ngram_matrix, quality_subword, template_decon, token_planes, url_reputation, warc_revisit
+from plumbline.llm import curve_search, dom_tree, mix_cube, ngram_matrix, quality_subword, secret_forest, template_decon, token_planes, url_reputation, warc_revisit
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mix_cube": mix_cube.query,
         "op5_token_planes": token_planes.query,
         "op6_curve_search": curve_search.query,
+        "op7_secret_forest": secret_forest.query,
         "op8_quality_subword": quality_subword.query,
         "op9_template_decon": template_decon.query,
         "op10_ngram_matrix": ngram_matrix.query,
