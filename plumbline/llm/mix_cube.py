@@ -156,13 +156,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42) -
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42) -> DataFrame:
     """The documents as the mix takes them: each as often as it has copies, under its own columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("_size", size)
-    narrow = written(sized.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
+    whole = docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.struct(*docs.columns).alias("row"))  # one name for all other columns
+    narrow = written(whole.select("doc_id", "source", "size"), "sizes")
     sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     chosen = sample_copies(narrow, targets(sums, weights), seed).filter("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_n"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_n"))
-    return sized.join(chosen, same).select(*docs.columns)
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
+    return whole.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,15 +371,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class the document whose doc_id names it; rows that repeat a doc_id leave one, the least by text."""
-    kept = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    lost = docs.filter("doc_id is null")
-    twice = chosen.groupBy("doc_id").agg(F.count("*").alias("_c")).filter("_c > 1").select("doc_id")
-    single = chosen.join(twice, "doc_id", "left_anti")
-    least = chosen.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select("doc_id", "_r.*")
-    return single.select(*docs.columns).unionByName(least.select(*docs.columns)).unionByName(lost)
+    """Of each class the document whose doc_id names it; rows that repeat its doc_id leave one, the least by text. Rows without doc_id stay."""
+    kept = classes(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
+    kept = written(kept, "kept")
+    single = docs.join(kept.filter("c = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.filter("c > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    again = again.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(F.to_json("row")))).alias("row")).select("row.*")
+    return single.select(*docs.columns).unionByName(again).unionByName(docs.filter("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
