@@ -30,7 +30,8 @@ BUCKETS = 1 << 18
 RELATIONS = 16  # the last rows are kept for relation n-grams
 NGRAMS = (3, 5)
 DIM = 12
-EPOCHS = 8
+EPOCHS = 4
+LEAST_STEPS = 8000
 RATE = 0.3
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 32 << 20
@@ -131,8 +132,9 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     top, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, at = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(docs)))
+    steps, at = epochs * len(docs), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             ids, part = docs[k]
             rate, at = RATE * (1 - at / steps), at + 1
@@ -153,29 +155,34 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Whole texts and labels of at most so many rows and bytes, in the order of a hash of doc_id."""
     once = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"))  # texts stay out of the join
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    j = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t")).join(once, "doc_id")
-    first = j.select("doc_id", F.octet_length("_t").alias("_n"), order.alias("_h")).orderBy("_h", "doc_id").limit(rows).collect()
-    ids, total = set(), 0
+    first = sized.join(once, "doc_id").select("doc_id", "_n", "_y", order.alias("_h")).orderBy("_h", "doc_id", "_n").limit(rows).collect()
+    chosen, total = {}, 0
     for r in first:
         total += r["_n"]
         if total > size:
             break
-        ids.add(r["doc_id"])
-    if not ids:
+        chosen[r["doc_id"]] = int(r["_y"] > 0)
+    if not chosen:
         return [], []
-    got = j.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id").select("doc_id", "_t", "_y").toLocalIterator()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["_t"]))
-    return [r["_t"] for r in got], [int(r["_y"] > 0) for r in got]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # rows of them at most
+    got = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).collect()
+    got = sorted((r["doc_id"], r["_t"]) for r in got)
+    return [t for _, t in got], [chosen[i] for i, _ in got]
 
 
 def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column of scores."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+def scorer(spark: SparkSession, model: Model):
+    """A function of text columns: the score of each text."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     def run(series):
         import pandas as pd
@@ -185,12 +192,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for s in series:
             yield pd.Series(m.scores(pa.array(s, pa.string(), from_pandas=True)))
 
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")("text"))
+    return F.pandas_udf(run, "double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -199,7 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(*sample(docs, labels.filter(keep)))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score threshold or more."""
+    return docs.filter(scorer(docs.sparkSession, fit(docs, labels))(F.col("text")) >= threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = docs.withColumn("score", scorer(spark, fit(docs, table(spark, sf_dir, "labels")))(F.col("text")))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
