@@ -1,8 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts and benchmark items become templates word by word: a word with a digit is a number slot (#n), a unit word after a
-number is a unit slot (#u), a capitalised word within a sentence is a name slot (#p), punctuation after a word goes, the rest is
-lower-cased. Windows of WINDOW template words are hashed and joined. Documents take every stride-th window and items take
+Texts and benchmark items become templates word by word: a number becomes #n, a unit after a number #u, a capitalised word
+within a sentence #p, punctuation after a word goes, the rest is lower-cased. Words with such placeholders are slots. Windows of WINDOW template words are hashed and joined. Documents take every stride-th window and items take
 all of theirs; the stride is so small that a document that holds an item whole always hits it.
 
 A hit proposes an alignment (item at an offset of the document), which is then checked word by word: how many template words
@@ -34,10 +33,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def template(text: Column) -> Column:
     """Template words of a text, one for each word of words(text)."""
-    t = F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "#n")
-    t = F.regexp_replace(t, r"(?<=#n)([\x20\x09-\x0D]+)(?i:" + UNITS + r")(?=[.,;:!?)]*(?:[\x20\x09-\x0D]|$))", "$1#u")
-    t = F.regexp_replace(t, r"(?<=[^.!?:\x20\x09-\x0D][ ])\p{Lu}\p{Ll}++(?!\p{L})", "#p")
-    t = F.regexp_replace(t, r"(?<=[\p{L}#])[.,;:!?]++(?=[\x20\x09-\x0D]|$)", "")
+    # each pattern begins with a character of its own, so that the matcher passes over all others in one step
+    t = F.regexp_replace(text, r"[0-9][0-9.,:/]*+", "#n")
+    t = F.regexp_replace(t, r"#n([\x20\x09-\x0D]*)(?i:" + UNITS + r")(?!\p{L})", "#n$1#u")
+    t = F.regexp_replace(t, r" (?<=[^.!?:\x20\x09-\x0D] )\p{Lu}\p{Ll}++(?!\p{L})", " #p")
+    t = F.regexp_replace(t, r"[.,;:!?](?<=[\p{L}#][.,;:!?])[.,;:!?]*+(?=[\x20\x09-\x0D]|$)", "")
     return F.split(F.lower(t), SPACES)
 
 
