@@ -21,19 +21,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: dict[str, str] = {}  # application -> folder of the pipeline stage at work
+
+
+def new_scratch(spark: SparkSession) -> None:
+    """From here on intermediate tables go to a new folder; that of the stage before, whose result has been written, is removed."""
+    app = spark.sparkContext.applicationId
+    old, _scratch[app] = _scratch.get(app), f"{shared_dir(spark)}/plumbline/stage-{uuid.uuid4().hex}"
+    if old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    top = _scratch.get(spark.sparkContext.applicationId) or f"{shared_dir(spark)}/plumbline"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows, for texts are long: a Python worker holds one at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system; Python workers stay alive between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and every later use is a plain scan."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,7 +1,7 @@
 """Token ids in plane-shuffled binary shards.
 
-encode_documents() tokenises whole texts; write_shards() deals the ids out in ascending doc_id order and writes one
-shard file per range of ids; read_shards() reads documents back from those files.
+write_shards() deals whole texts out in ascending doc_id order, tokenises them and writes the shard files of each range of
+ids in one task; read_shards() reads documents back from those files.
 
 Shard file (little endian): magic, blocks, document table, index as JSON, length of the index (8 bytes), magic.
 A block holds BLOCK_IDS ids (the last one fewer) as unsigned words of `width` bytes. The words of a block are
@@ -9,7 +9,7 @@ transposed into planes, one plane for each bit ("bit") or byte ("byte") of a wor
 zstandard on its own. The index stores offset and length of each plane of each block, so a reader seeks to what it needs.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first; rows that repeat a doc_id are each
-written, in the order of their ids' bytes; an empty table gives no shard and no rows; other columns are ignored.
+written, in the order of a hash of their text; an empty table gives no shard and no rows; other columns are ignored.
 Lost executors: a shard is written under a name of its own attempt and renamed to the shard's name, so that a repeated
 task replaces it by the same bytes.
 """
@@ -25,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_path, written
+from plumbline.llm.common import fresh_path, trim, written
 
 MAGIC = b"PLPLANE1"
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 400_000
+MEMO_UNITS = 600_000
 SHARD_BYTES = 32 << 20
 
 
@@ -145,14 +145,30 @@ class MemoEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units of the form " x", some hundreds in one text, and cut the ids by their bytes."""
+    def _learn(self, units: list[str], between: str = "") -> None:
+        """Encode new units that keep their ids when joined by `between`, some hundreds in one text, and cut the ids by their bytes."""
         groups = [units[k : k + 500] for k in range(0, len(units), 500)]
-        for group, raw in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
+        extra = len(between)  # a byte and a token of its own
+        for group, raw in zip(groups, self._ids([between.join(g) + between for g in groups]), strict=True):
             at = np.cumsum(self.n_bytes[np.frombuffer(raw, f"<u{self.width}")])
-            ends = np.cumsum([len(u.encode()) for u in group])
-            cut = (np.searchsorted(at, ends) + 1) * self.width
-            self.memo.update(zip(group, (raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)), strict=True))
+            ends = np.cumsum([len(u.encode()) + extra for u in group])
+            cut = ((np.searchsorted(at, ends) + 1) * self.width).tolist()
+            less = extra * self.width
+            self.memo.update(zip(group, [raw[i : j - less] for i, j in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+
+    @staticmethod
+    def _pieces(unit: str) -> tuple[str, ...]:
+        """Parts of a unit that the pre-tokeniser separates anyway: around a line feed, and before a last comma or full stop."""
+        head, feed, tail = unit.partition("\n")
+        if feed and (not head.strip() or head[-1].isspace() or not tail or "\n" in tail or tail[0].isspace()):
+            return (unit,)
+        out = []
+        for part in (head, feed, tail):
+            if len(part) > 2 and part[-1] in ",." and part[-2].isalpha():
+                out += [part[:-1], part[-1]]
+            elif part:
+                out.append(part)
+        return tuple(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id; a few hundred texts at once are looked up together."""
@@ -164,33 +180,35 @@ class MemoEncoder:
         if len(memo) + len(units) > MEMO_UNITS:
             memo.clear()
         new = [u for u in units if u not in memo]
-        if new:
-            first = [u for u in new if u[0] != " "]
-            memo.update(zip(first, self._ids(first), strict=True))
-            self._learn([u for u in new if u[0] == " "])
+        parts = {u: self._pieces(u) for u in new}
+        basic = {p for ps in parts.values() for p in ps if p not in memo}
+        if basic:
+            spaced = [p for p in basic if p[0] == " "]
+            bare = [p for p in basic if p.isalpha()]
+            rest = [p for p in basic if p[0] != " " and not p.isalpha()]
+            self._learn(spaced)
+            self._learn(bare, "\n")
+            memo.update(zip(rest, self._ids(rest), strict=True))
+        for u, ps in parts.items():
+            if len(ps) > 1:
+                memo[u] = b"".join([memo[p] for p in ps])
         memo[""] = b""
         return [(next(whole) if p is None else b"".join(map(memo.__getitem__, p))) + self.end for p in parted]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (binary, words of the width the vocabulary needs) of every whole text."""
-
-    def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import pyarrow as pa
+def id_width(tokenizer: str, end_id: int) -> int:
+    return MemoEncoder(tokenizer, end_id).width
 
-        enc = MemoEncoder(tokenizer, end_id)
-        for batch in batches:
-            column = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                ids = enc.encode([t or "" for t in column.slice(at, 256).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids binary")
+_encoders: dict[tuple[str, int], MemoEncoder] = {}
 
 
-def id_width(tokenizer: str, end_id: int) -> int:
-    return MemoEncoder(tokenizer, end_id).width
+def _encoder(tokenizer: str, end_id: int) -> MemoEncoder:
+    """One encoder for each Python worker, so that its memo serves the worker's later tasks too."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (tokenizer, end_id) not in _encoders:
+        _encoders[tokenizer, end_id] = MemoEncoder(tokenizer, end_id)
+    return _encoders[tokenizer, end_id]
 
 
 # --- shards ---------------------------------------------------------------------------------------------------------
@@ -206,53 +224,54 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(encoded: DataFrame, uri: str, width: int, plane: str = "byte", shards: int | None = None) -> DataFrame:
-    """Write ids in ascending doc_id order under uri. Returns the manifest: shard, path, n_docs, n_ids, start.
+def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, plane: str = "byte", shards: int | None = None) -> DataFrame:
+    """Write the ids of docs(doc_id, text) in ascending doc_id order under uri. Returns the manifest: shard, path, n_docs, n_ids, start.
 
-    The range partitioning samples the keys, so the shards are even without any count. A partition of more than
+    The range partitioning samples the keys, so the ranges are even without any count. A partition with more than
     SHARD_BYTES of ids becomes several files.
     """
-    spark = encoded.sparkSession
+    spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id)
         store, root = _store(uri)
         store.create_dir(root, recursive=True)
-        held, docs, lengths = [], [], []
+        held, docs_, lengths, size = [], [], [], 0
 
         def flush():
-            import pandas as pd
-
-            nonlocal seq, held, docs, lengths
-            name = f"{root}/shard-{part:06d}-{seq:04d}.planes"
-            trial = f"{name}.{uuid.uuid4().hex}"
+            nonlocal seq, held, docs_, lengths, size
+            name = f"shard-{part:06d}-{seq:04d}.planes"
+            trial = f"{root}/{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(trial) as out:
-                out.write(pack_shard(docs, lengths, b"".join(held), width, plane))
-            store.move(trial, name)
-            row = pd.DataFrame({"part": [part], "seq": [seq], "name": [f"{uri}/shard-{part:06d}-{seq:04d}.planes"], "n_docs": [len(docs)], "n_ids": [sum(lengths)]})
-            seq, held, docs, lengths = seq + 1, [], [], []
+                out.write(pack_shard(docs_, lengths, b"".join(held), enc.width, plane))
+            store.move(trial, f"{root}/{name}")
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [f"{uri}/{name}"], "n_docs": [len(docs_)], "n_ids": [sum(lengths)]})
+            seq, held, docs_, lengths, size = seq + 1, [], [], [], 0
             return row
 
-        size = 0
-        for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"].astype(object), pdf["ids"], strict=True):
-                held.append(ids)
-                docs.append(None if doc != doc or doc is None else int(doc))
-                lengths.append(len(ids) // width)
-                size += len(ids)
-                if size >= SHARD_BYTES:
-                    yield flush()
-                    size = 0
-        if docs:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                for doc, ids in zip(few.column(0).to_pylist(), enc.encode([t or "" for t in few.column(1).to_pylist()]), strict=True):
+                    held.append(ids)
+                    docs_.append(doc)
+                    lengths.append(len(ids) // enc.width)
+                    size += len(ids)
+                    if size >= SHARD_BYTES:
+                        yield flush()
+        if docs_:
             yield flush()
+        trim()
 
-    # several ranges of the same doc_id can only differ in ids, which are part of the order
-    dealt = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
-    made = written(dealt.mapInPandas(run, "part int, seq int, name string, n_docs long, n_ids long"), "shards")
-    # one row for each file: its number is bounded by total bytes / SHARD_BYTES + partitions
+    # rows of the same doc_id differ in text, which is part of the order, or are the same
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    made = written(dealt.mapInArrow(run, "part int, seq int, name string, n_docs long, n_ids long"), "shards")
+    # one row for each file: their number is bounded by total bytes / SHARD_BYTES + partitions
     rows, start, out = sorted(made.collect(), key=lambda r: (r.part, r.seq)), 0, []
     for k, r in enumerate(rows):
         out.append((k, r.name, r.n_docs, r.n_ids, start))
@@ -281,7 +300,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def encode_to_planes(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 2, plane: str = "byte") -> tuple[DataFrame, DataFrame]:
     """Encode, write and read back. Returns (documents as read back, manifest)."""
     uri = uri or fresh_path(docs.sparkSession, "planes")
-    manifest = write_shards(encode_documents(docs, tokenizer, end_id), uri, id_width(tokenizer, end_id), plane)
+    manifest = write_shards(docs, tokenizer, uri, end_id, plane)
     return read_shards(manifest), manifest
 
 
