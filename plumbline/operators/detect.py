@@ -85,11 +85,13 @@ def ood(samples: DataFrame, batches: DataFrame, reference: DataFrame | None = No
 
 def near_pairs(samples: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     """batch_id, a, b (a < b), distance of fingerprints within `bits`: of bits + 1 bands at least one agrees, so bands are the join key."""
-    width = -(-64 // (bits + 1))
+    bands = min(bits + 1, 64)
+    cuts = [64 * k // bands for k in range(bands + 1)]
     hexes = F.lpad("phash", 16, "0")
     binary = F.concat(*[F.lpad(F.conv(F.substring(hexes, 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(2)])
     s = samples.filter("phash is not null").select("batch_id", F.col("sample_id"), hexes.alias("phash"), binary.alias("bin"))
-    band = s.select("batch_id", "sample_id", "phash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.substring(F.col("bin"), k * width + 1, F.lit(width)))).alias("k", "key"))
+    keys = F.array(*[F.substring("bin", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    band = s.select("batch_id", "sample_id", "phash", F.posexplode(keys).alias("k", "key"))
     a, b = band.withColumnsRenamed({"sample_id": "a", "phash": "x"}), band.withColumnsRenamed({"sample_id": "b", "phash": "y"})
     d = hamming_hex(F.col("x"), F.col("y"))
     return a.join(b, ["batch_id", "k", "key"]).filter("a < b").select("batch_id", "a", "b", d.alias("distance")).filter(F.col("distance") <= bits).distinct()

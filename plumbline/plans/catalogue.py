@@ -2,14 +2,440 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from plumbline.functions import scalars
+from plumbline.operators import assurance, counterfactual, detect, fusion, lineage, passports, scenarios
+from plumbline.plans import bindings, dims
+from plumbline.plans.bindings import CASES, load, user_cases
+from plumbline.sources import relational
 
+CONFIG = dims.FusionConfig()
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# --- SQL pieces -----------------------------------------------------------------------------------------------------
+
+WITH_CASES = "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in CASES.items())
+CLOSURE = """, reach(case_id, anc, dst, dist) AS (SELECT case_id, node_id, node_id, 0 FROM nodes UNION SELECT r.case_id, r.anc, e.dst, r.dist + 1 FROM reach r JOIN edges e ON r.case_id = e.case_id AND r.dst = e.src),
+closure AS (SELECT case_id, anc, dst, min(dist) AS dist FROM reach GROUP BY ALL)"""
+STAGE_SQL = "CASE " + " ".join(f"WHEN node_type = '{t}' THEN '{s}'" for t, s in dims.STAGE_OF.items()) + " END"
+WEIGHTED = f", weighted AS (SELECT v.*, n.node_type, {STAGE_SQL} AS stage, severity * confidence AS weight FROM evidence v JOIN nodes n ON v.case_id = n.case_id AND v.source_id = n.node_id)"
+INSPECTED = ", inspected AS (SELECT DISTINCT i.* FROM (SELECT case_id, node_id, detector FROM inspections UNION SELECT case_id, source_id, detector FROM evidence) i JOIN nodes n USING (case_id, node_id))"
+_values = lambda rows: ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+COVERAGE = f""", coverage AS (SELECT case_id, count(*) FILTER (node_type IN {dims.COVERED}) AS n_nodes, count(*) FILTER (node_type IN {dims.COVERED} AND EXISTS (SELECT 1 FROM inspected i WHERE i.case_id = n.case_id AND i.node_id = n.node_id)) AS n_inspected FROM nodes n GROUP BY case_id)"""
+GAPS = """, need AS (SELECT * FROM (VALUES {0}) t(node_type, anc_type, issue)),
+gaps AS (SELECT DISTINCT n.case_id, n.node_id, d.issue FROM nodes n JOIN need d USING (node_type) WHERE NOT EXISTS (
+  SELECT 1 FROM closure c JOIN nodes a ON a.case_id = c.case_id AND a.node_id = c.anc JOIN need d2 ON d2.node_type = n.node_type AND d2.anc_type = a.node_type WHERE c.case_id = n.case_id AND c.dst = n.node_id AND c.dist > 0))""".format(_values([(t, a, f"{t}_WITHOUT_{'_OR_'.join(need)}") for t, need in dims.REQUIRED_UPSTREAM.items() for a in need]))
+RELATION = """, direct AS (SELECT p.case_id, p.a, p.b, u.dist AS up, d.dist AS down FROM pairs p LEFT JOIN closure u ON u.case_id = p.case_id AND u.anc = p.a AND u.dst = p.b LEFT JOIN closure d ON d.case_id = p.case_id AND d.anc = p.b AND d.dst = p.a),
+common AS (SELECT p.case_id, p.a, p.b, x.anc AS via, x.dist + y.dist AS dist, row_number() OVER (PARTITION BY p.case_id, p.a, p.b ORDER BY x.dist + y.dist, x.anc) AS k FROM direct p JOIN closure x ON x.case_id = p.case_id AND x.dst = p.a JOIN closure y ON y.case_id = p.case_id AND y.dst = p.b AND y.anc = x.anc WHERE p.up IS NULL AND p.down IS NULL),
+relation AS (SELECT p.case_id, p.a, p.b, CASE WHEN p.a = p.b THEN 'SAME_NODE' WHEN up IS NOT NULL THEN 'UPSTREAM' WHEN down IS NOT NULL THEN 'DOWNSTREAM' WHEN c.via IS NOT NULL THEN 'COMMON_ORIGIN' ELSE 'UNRELATED' END AS kind, coalesce(up, down, c.dist) AS dist, c.via
+  FROM direct p LEFT JOIN common c ON c.case_id = p.case_id AND c.a = p.a AND c.b = p.b AND c.k = 1),
+near AS (SELECT *, CASE WHEN kind = 'SAME_NODE' THEN 1.0 WHEN kind = 'UNRELATED' THEN 0.0 WHEN kind = 'COMMON_ORIGIN' THEN 0.5 * pow(0.85, dist - 1) ELSE pow(0.85, dist - 1) END AS proximity FROM relation)"""
+SOURCES = ", src AS (SELECT DISTINCT case_id, source_id FROM weighted), pairs AS (SELECT x.case_id, x.source_id AS a, y.source_id AS b FROM src x JOIN src y USING (case_id))"
+CHECKS = f""", chk AS (SELECT * FROM (VALUES {_values([(c,) for c in dims.CHECKS])}) t(name)), chk_type AS (SELECT * FROM (VALUES {_values([(c, t) for c, (ts, _) in dims.CHECKS.items() for t in ts])}) t(name, evidence_type)), chk_need AS (SELECT * FROM (VALUES {_values([(c, d) for c, (_, ds) in dims.CHECKS.items() for d in ds])}) t(name, detector)),
+status AS (SELECT case_id, name, CASE WHEN EXISTS (SELECT 1 FROM weighted w JOIN chk_type t ON t.evidence_type = w.evidence_type WHERE w.case_id = c.case_id AND t.name = k.name AND w.weight >= 0.15) THEN 'FAIL'
+  WHEN EXISTS (SELECT 1 FROM chk_need d WHERE d.name = k.name AND NOT EXISTS (SELECT 1 FROM inspected i WHERE i.case_id = c.case_id AND i.detector = d.detector)) THEN 'UNKNOWN' ELSE 'PASS' END AS status FROM (SELECT DISTINCT case_id FROM nodes) c CROSS JOIN chk k)"""
+SCORES = f""", coef AS (SELECT * FROM (VALUES {_values([(t, h, c) for t, row in dims.COEFFICIENTS.items() for h, c in row.items()])}) t(evidence_type, hypothesis, coef)), rel AS (SELECT * FROM (VALUES {_values(list(dims.RELIABILITY.items()))}) t(detector, r)), hyp AS (SELECT * FROM (VALUES {_values([(h, k, int(h in dims.ATTACKS)) for k, h in enumerate(dims.HYPOTHESES)])}) t(hypothesis, ord, is_attack)),
+strong AS (SELECT w.*, coalesce(r, 0.5) * weight AS strength FROM weighted w LEFT JOIN rel USING (detector)),
+signed AS (SELECT s.*, hypothesis, CAST(coef AS DOUBLE) AS coef FROM strong s JOIN coef USING (evidence_type)),
+base AS (SELECT case_id, hypothesis, sum(CASE WHEN coef > 0 THEN strength * coef ELSE 0 END) AS base, sum(CASE WHEN coef < 0 THEN -strength * coef ELSE 0 END) AS contra FROM signed GROUP BY ALL),
+corr AS (SELECT x.case_id, x.hypothesis, sum(0.5 * proximity * CASE WHEN x.stage <> y.stage THEN 1.0 ELSE 0.6 END * sqrt(x.strength * x.coef * y.strength * y.coef)) AS corr FROM signed x JOIN signed y ON x.case_id = y.case_id AND x.hypothesis = y.hypothesis AND x.evidence_id < y.evidence_id AND x.coef > 0 AND y.coef > 0 AND x.detector <> y.detector JOIN near n ON n.case_id = x.case_id AND n.a = x.source_id AND n.b = y.source_id GROUP BY ALL),
+ctx AS (SELECT c.case_id, CASE WHEN n_nodes > 0 THEN n_inspected / n_nodes ELSE 0 END AS coverage, (SELECT count(*) FROM gaps g WHERE g.case_id = c.case_id) AS n_gaps, (SELECT count(*) FROM status s WHERE s.case_id = c.case_id AND status = 'PASS') AS n_pass, (SELECT count(*) FROM status s WHERE s.case_id = c.case_id AND status = 'FAIL') AS n_fail,
+  coalesce((SELECT sum(strength) FROM strong s WHERE s.case_id = c.case_id AND evidence_type IN {dims.SHIFT_SIGNALS}), 0) AS shift_signal FROM coverage c),
+part AS (SELECT c.case_id, h.hypothesis, ord, is_attack, coverage, n_gaps, CASE WHEN h.hypothesis = 'CLEAN' THEN 2.0 * coverage ELSE coalesce(base, 0) END AS base, CASE WHEN h.hypothesis = 'CLEAN' THEN 0 ELSE least(coalesce(corr, 0), coalesce(base, 0)) END AS corr,
+  CASE WHEN h.hypothesis = 'CLEAN' THEN 2.0 * coalesce(contra, 0) + 0.25 * n_gaps ELSE coalesce(contra, 0) END AS contra, CASE WHEN shift_signal > 0 AND n_fail = 0 THEN n_pass / 4.0 * shift_signal ELSE 0 END * CASE WHEN h.hypothesis = '{dims.SHIFT}' THEN 1 WHEN is_attack = 1 THEN -1 ELSE 0 END AS ctx
+  FROM ctx c CROSS JOIN hyp h LEFT JOIN base b ON b.case_id = c.case_id AND b.hypothesis = h.hypothesis LEFT JOIN corr r ON r.case_id = c.case_id AND r.hypothesis = h.hypothesis),
+raw AS (SELECT *, greatest(0.0, base + corr - contra + ctx) AS raw, 1 - exp(-greatest(0.0, base + corr - contra + ctx) / 1.5) AS support FROM part),
+scores AS (SELECT *, row_number() OVER w AS rank, support - coalesce(lead(support) OVER w, 0) AS margin, coalesce(raw / nullif(sum(raw) OVER (PARTITION BY case_id), 0), 0) AS share FROM raw WINDOW w AS (PARTITION BY case_id ORDER BY support DESC, raw DESC, ord))"""
+ALL_CASES = WITH_CASES + CLOSURE + WEIGHTED + INSPECTED + COVERAGE + GAPS + SOURCES + RELATION + CHECKS + SCORES
+TRADE = """WITH nodes AS (SELECT 'R' || r_regionkey AS case_id, 'R' || r_regionkey AS node_id, 0 AS level FROM region),
+n AS (SELECT 'R' || n_regionkey AS case_id, 'N' || n_nationkey AS id, n_nationkey FROM nation), c AS (SELECT case_id, 'C' || c_custkey AS id, c_custkey, n.id AS up FROM customer JOIN n ON c_nationkey = n_nationkey),
+s AS (SELECT case_id, 'S' || s_suppkey AS id, s_suppkey, n.id AS up FROM supplier JOIN n ON s_nationkey = n_nationkey), o AS (SELECT case_id, 'O' || o_orderkey AS id, o_orderkey, o_orderstatus, c.id AS up, c.up AS up2 FROM orders JOIN c ON o_custkey = c_custkey),
+closure AS (SELECT case_id, node_id AS anc, node_id AS dst, 0 AS dist FROM nodes UNION ALL SELECT case_id, id, id, 0 FROM n UNION ALL SELECT case_id, id, id, 0 FROM c UNION ALL SELECT case_id, id, id, 0 FROM s UNION ALL SELECT case_id, id, id, 0 FROM o
+ UNION ALL SELECT case_id, case_id, id, 1 FROM n UNION ALL SELECT case_id, up, id, 1 FROM c UNION ALL SELECT case_id, case_id, id, 2 FROM c UNION ALL SELECT case_id, up, id, 1 FROM s UNION ALL SELECT case_id, case_id, id, 2 FROM s
+ UNION ALL SELECT case_id, up, id, 1 FROM o UNION ALL SELECT case_id, up2, id, 2 FROM o UNION ALL SELECT case_id, case_id, id, 3 FROM o)"""
+
+_found: dict[str, tuple] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _found[name] = (f, sql)
+        return f
+
+    return keep
+
+
+# --- detectors --------------------------------------------------------------------------------------------------------
+
+LABELS = "WITH s AS (SELECT source AS b, quality || '_' || toxic AS k FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+@query("class_frequencies", LABELS + " SELECT b AS batch_id, k AS label_class, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY b), 6) AS share FROM s GROUP BY b, k")
+def class_frequencies(spark, d):
+    s, _ = bindings.label_samples(spark, d)
+    c = s.filter("label_class is not null").groupBy("batch_id", "label_class").agg(F.count("*").alias("n"))
+    return c.withColumn("share", r6(F.col("n") / F.sum("n").over(W.partitionBy("batch_id"))))
+
+
+@query("label_skew", LABELS + """, c AS (SELECT b, k, count(*) AS n FROM s GROUP BY ALL), pb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), pk AS (SELECT k, sum(n) AS nk FROM c GROUP BY k), t AS (SELECT sum(n) AS nt FROM c),
+d AS (SELECT pb.b, nb, nt - nb AS nr, coalesce(n, 0) / nb AS p, (nk - coalesce(n, 0)) / (nt - nb) AS q FROM pb CROSS JOIN pk CROSS JOIN t LEFT JOIN c ON c.b = pb.b AND c.k = pk.k)
+SELECT b AS batch_id, CAST(nb AS BIGINT) AS n_batch, CAST(nr AS BIGINT) AS n_rest, round(sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))), 6) AS js FROM d GROUP BY b, nb, nr""")
+def label_skew(spark, d):
+    s, b = bindings.label_samples(spark, d)
+    return detect.label_skew(s, b).select("batch_id", "n_batch", "n_rest", r6("js").alias("js"))
+
+
+@query("label_findings")
+def label_findings(spark, d):
+    return detect.labels(*bindings.label_samples(spark, d))
+
+
+@query("ood_scores", """WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS b, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), g AS (SELECT b, d, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM e GROUP BY ALL),
+t AS (SELECT b, d, sum(n) OVER w - n AS n, sum(s) OVER w - s AS s, sum(ss) OVER w - ss AS ss FROM g WINDOW w AS (PARTITION BY d)), m AS (SELECT b, d, n, s / n AS mu, greatest(sqrt(greatest(ss / n - (s / n) * (s / n), 0.0)), 1e-6) AS sd FROM t WHERE n > 0)
+SELECT vec_id AS sample_id, b AS batch_id, CAST(min(n) AS BIGINT) AS n_ref, round(sqrt(avg(pow((x - mu) / sd, 2))), 6) AS z FROM e JOIN m USING (b, d) GROUP BY ALL""")
+def ood_scores(spark, d):
+    return detect.ood_scores(*bindings.embedding_samples(spark, d)).select("sample_id", "batch_id", "n_ref", r6("z").alias("z"))
+
+
+@query("ood_injected")
+def ood_injected(spark, d):
+    s, b = bindings.embedding_samples(spark, d)
+    wild = scenarios.ood_injection(s.withColumn("label_class", F.col("batch_id")))
+    both = s.select(F.col("sample_id").cast("string").alias("sample_id"), "batch_id", F.col("embedding").cast("array<double>")).unionByName(wild.select("sample_id", "batch_id", F.col("embedding").cast("array<double>")))
+    return detect.ood(both, both.select("batch_id", F.lit("all").alias("dataset_id")).distinct())
+
+
+@query("near_duplicate_pairs", """WITH s AS (SELECT doc_id, source, left(md5(text), 16) AS h FROM documents), p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, list_sum([bit_count(xor(strpos('0123456789abcdef', substr(x.h, i, 1)) - 1, strpos('0123456789abcdef', substr(y.h, i, 1)) - 1)) FOR i IN range(1, 17)]) AS d FROM s x JOIN s y ON x.source = y.source AND x.doc_id < y.doc_id)
+SELECT source AS batch_id, a, b, CAST(d AS BIGINT) AS distance FROM p WHERE d <= 5""")
+def near_duplicate_pairs(spark, d):
+    return detect.near_pairs(bindings.label_samples(spark, d)[0]).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("duplicate_flood")
+def duplicate_flood(spark, d):
+    s, _ = bindings.label_samples(spark, d)
+    return detect.duplicates(scenarios.duplicate_flood(s, copies=20))
+
+
+@query("exact_duplicates", "SELECT source AS batch_id, md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, round(count(*) / any_value(t.n), 6) AS fraction FROM documents JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) t USING (source) GROUP BY ALL HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    s = load(spark, d, "documents").select(F.col("source").alias("batch_id"), F.md5("text").alias("digest"), "doc_id")
+    per = s.groupBy("batch_id").agg(F.count("*").alias("all"))
+    g = s.groupBy("batch_id", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").join(per, "batch_id")
+    return g.select("batch_id", "digest", "n", "first_id", r6(F.col("n") / F.col("all")).alias("fraction"))
+
+
+@query("fingerprint_distances", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL)
+SELECT a.label AS reference, b.label AS candidate, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS l2, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) AS cosine FROM m a JOIN m b ON a.d = b.d AND a.label < b.label GROUP BY ALL""")
+def fingerprint_distances(spark, d):
+    e = load(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    m = e.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("label", F.col("v.x").alias("v"))
+    p = m.select(F.col("label").alias("reference"), F.col("v").alias("x")).join(m.select(F.col("label").alias("candidate"), F.col("v").alias("y")), F.col("reference") < F.col("candidate"))
+    return p.select("reference", "candidate", r6(scalars.l2(F.col("x"), F.col("y"))).alias("l2"), r6(scalars.cosine(F.col("x"), F.col("y"))).alias("cosine"))
+
+
+@query("behaviour_findings")
+def behaviour_findings(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("reference")).join(e.withColumnRenamed("v", "candidate"), "vec_id")
+    return detect.behaviour(p.select(F.col("vec_id").cast("string").alias("model_id"), "reference", "candidate"))
+
+
+PART_FIELDS = ("p_brand", "p_type", "p_size")
+
+
+@query("structural_differences", "SELECT CAST(b.p_partkey AS VARCHAR) AS model_id, CAST((a.p_brand IS DISTINCT FROM b.p_brand)::INT + (a.p_type IS DISTINCT FROM b.p_type)::INT + (a.p_size IS DISTINCT FROM b.p_size)::INT AS INT) AS n_differences, CASE WHEN a.p_size IS DISTINCT FROM b.p_size THEN a.p_size || '>' || b.p_size END AS size_change FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def structural_differences(spark, d):
+    p = load(spark, d, "part")
+    a = p.select((F.col("p_partkey") + 1).alias("k"), *[F.col(f).alias(f"{f}_ref") for f in PART_FIELDS])
+    b = p.select(F.col("p_partkey").alias("k"), *[F.col(f).alias(f"{f}_new") for f in PART_FIELDS])
+    x = detect.differences(a.join(b, "k"), PART_FIELDS)
+    s = F.col("differences")["p_size"]
+    return x.select(F.col("k").cast("string").alias("model_id"), F.size("differences").alias("n_differences"), F.concat(s["reference"], F.lit(">"), s["candidate"]).alias("size_change"))
+
+
+@query("trigger_consistency", "WITH d AS (SELECT user_id, event_type, avg(value) / 60 AS delta FROM events GROUP BY ALL) SELECT CAST(user_id AS VARCHAR) AS model_id, count(*) FILTER (delta >= 0.5) AS suspicious, count(*) AS total, round(max(delta), 6) AS max_delta, round(count(*) FILTER (delta >= 0.5) / count(*), 6) AS consistency FROM d GROUP BY user_id HAVING count(*) FILTER (delta >= 0.5) > 0")
+def trigger_consistency(spark, d):
+    e = load(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("model_id"), F.col("event_type").alias("trigger")).agg((F.avg("value") / 60).alias("delta"))
+    x = F.from_json("details", "suspicious long, total long, max_delta double")
+    t = detect.triggers(e).select(F.col("source_id").alias("model_id"), x.alias("x")).select("model_id", "x.*")
+    return t.select("model_id", "suspicious", "total", r6("max_delta").alias("max_delta"), r6(F.col("suspicious") / F.col("total")).alias("consistency"))
+
+
+# --- lineage ----------------------------------------------------------------------------------------------------------
+
+
+@query("closure", TRADE + " SELECT case_id, anc, dst, CAST(dist AS INT) AS dist FROM closure")
+def closure(spark, d):
+    return bindings.trade_graph(spark, d).closure
+
+
+@query("blast_radius", TRADE + " SELECT case_id, anc AS node_id, count(*) AS n_below, CAST(max(dist) AS INT) AS depth FROM closure WHERE dist > 0 GROUP BY ALL")
+def blast_radius(spark, d):
+    g = bindings.trade_graph(spark, d)
+    return lineage.downstream(g, g.nodes).groupBy("case_id", "node_id").agg(F.count("*").alias("n_below"), F.max("dist").alias("depth"))
+
+
+@query("trace_back", TRADE + " SELECT case_id, dst AS node_id, anc AS found, CAST(dist AS INT) AS dist FROM closure WHERE dist > 0 AND dst LIKE 'O%'")
+def trace_back(spark, d):
+    g = bindings.trade_graph(spark, d)
+    return lineage.upstream(g, g.nodes.filter(F.col("node_id").startswith("O"))).select("case_id", "node_id", "found", "dist")
+
+
+@query("common_origins", TRADE + """, p AS (SELECT c.case_id, c.id AS a, s.id AS b FROM c JOIN s ON c.case_id = s.case_id AND c_custkey = s_suppkey), k AS (SELECT p.*, x.anc AS via, x.dist + y.dist AS dist, row_number() OVER (PARTITION BY p.case_id, a, b ORDER BY x.dist + y.dist, x.anc) AS rn FROM p JOIN closure x ON x.case_id = p.case_id AND x.dst = a JOIN closure y ON y.case_id = p.case_id AND y.dst = b AND x.anc = y.anc)
+SELECT case_id, a, b, 'COMMON_ORIGIN' AS kind, CAST(dist AS INT) AS dist, via FROM k WHERE rn = 1""")
+def common_origins(spark, d):
+    g = bindings.trade_graph(spark, d)
+    side = lambda p, c: g.nodes.filter(F.col("node_id").rlike(f"^{p}[0-9]")).select("case_id", F.col("node_id").alias(c), F.expr("substring(node_id, 2)").alias("k"))
+    return lineage.relation(g, side("C", "a").join(side("S", "b"), ["case_id", "k"]))
+
+
+@query("origins_by_region", TRADE + """, v AS (SELECT case_id, id, (o_orderkey % 100 / 100.0) * 0.5 AS w FROM o WHERE o_orderstatus = 'F'), t AS (SELECT case_id, sum(w) AS t FROM v GROUP BY ALL), z AS (SELECT case_id, anc, count(*) AS size FROM closure GROUP BY ALL), x AS (SELECT c.case_id, anc, sum(w) AS w FROM closure c JOIN v ON v.case_id = c.case_id AND v.id = c.dst GROUP BY ALL)
+SELECT case_id, anc AS node_id, round(w / t, 6) AS fraction, size AS closure_size, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(w / t, 9) DESC, size, anc) AS INT) AS rank FROM x JOIN t USING (case_id) JOIN z USING (case_id, anc)""")
+def origins_by_region(spark, d):
+    return lineage.candidate_origins(bindings.trade_graph(spark, d)).select("case_id", "node_id", r6("fraction").alias("fraction"), "closure_size", "rank")
+
+
+@query("provenance_gaps", ALL_CASES + " SELECT case_id, node_id, issue FROM gaps")
+def provenance_gaps(spark, d):
+    return lineage.provenance_gaps(user_cases(spark, d))
+
+
+@query("coverage", ALL_CASES + " SELECT case_id, n_nodes, n_inspected, round(CASE WHEN n_nodes > 0 THEN n_inspected / n_nodes ELSE 0 END, 6) AS coverage FROM coverage")
+def coverage(spark, d):
+    return lineage.coverage(user_cases(spark, d)).select("case_id", "n_nodes", "n_inspected", r6("coverage").alias("coverage"))
+
+
+@query("correlation_pairs", ALL_CASES + " SELECT x.case_id, x.evidence_id AS id_a, y.evidence_id AS id_b, kind, CAST(dist AS INT) AS dist, via, round(proximity, 6) AS proximity, x.stage <> y.stage AS cross_stage, x.detector = y.detector AS same_detector FROM weighted x JOIN weighted y ON x.case_id = y.case_id AND x.evidence_id < y.evidence_id JOIN near n ON n.case_id = x.case_id AND n.a = x.source_id AND n.b = y.source_id WHERE kind <> 'UNRELATED'")
+def correlation_pairs(spark, d):
+    p = lineage.correlation_pairs(user_cases(spark, d))
+    return p.select("case_id", "id_a", "id_b", "kind", "dist", "via", r6("proximity").alias("proximity"), "cross_stage", "same_detector")
+
+
+@query("candidate_origins", ALL_CASES + """, tot AS (SELECT case_id, sum(weight) AS t FROM weighted GROUP BY ALL HAVING sum(weight) > 0), z AS (SELECT case_id, anc, count(*) AS size FROM closure GROUP BY ALL), held AS (SELECT c.case_id, c.anc, sum(weight) AS w, count(*) AS n, string_agg(DISTINCT stage, ',' ORDER BY stage) AS st FROM closure c JOIN weighted v ON v.case_id = c.case_id AND v.source_id = c.dst GROUP BY ALL)
+SELECT case_id, anc AS node_id, round(w / t, 6) AS fraction, size AS closure_size, n AS n_evidence, st AS stages, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(w / t, 9) DESC, size, anc) AS INT) AS rank FROM held JOIN tot USING (case_id) JOIN z USING (case_id, anc)""")
+def candidate_origins(spark, d):
+    o = lineage.candidate_origins(user_cases(spark, d))
+    return o.select("case_id", "node_id", r6("fraction").alias("fraction"), "closure_size", F.size("evidence_ids").cast("long").alias("n_evidence"), F.array_join(F.array_sort("stages"), ",").alias("stages"), "rank")
+
+
+@query("attack_paths")
+def attack_paths(spark, d):
+    g = user_cases(spark, d)
+    best = lineage.candidate_origins(g).filter("rank = 1").select("case_id", F.col("node_id").alias("origin"))
+    return lineage.attack_paths(g, best)
+
+
+@query("lineage_paths")
+def lineage_paths(spark, d):
+    from plumbline.plans import fixtures
+
+    return lineage.lineage_paths(fixtures.demo(spark), "B17", "O982").select("case_id", F.array_join("path", "->").alias("path"))
+
+
+@query("validation", ALL_CASES + " SELECT case_id, 'illegal_edge' AS problem, '' AS subject FROM nodes WHERE false")
+def validation(spark, d):
+    return lineage.validate(user_cases(spark, d))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("isolated_nodes", ALL_CASES + " SELECT case_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.case_id = n.case_id AND (e.src = n.node_id OR e.dst = n.node_id))")
+def isolated_nodes(spark, d):
+    return lineage.isolated(user_cases(spark, d))
+
+
+@query("node_export", ALL_CASES + f" SELECT n.case_id, n.node_id, n.node_type, {STAGE_SQL.replace('node_type', 'n.node_type')} AS stage, count(v.evidence_id) AS evidence_count, round(coalesce(max(severity), 0), 6) AS max_severity FROM nodes n LEFT JOIN evidence v ON v.case_id = n.case_id AND v.source_id = n.node_id GROUP BY ALL")
+def node_export(spark, d):
+    return lineage.export(user_cases(spark, d)).select("case_id", "node_id", "node_type", "stage", "evidence_count", r6("max_severity").alias("max_severity"))
+
+
+@query("graph_documents")
+def graph_documents(spark, d):
+    return lineage.to_json(user_cases(spark, d))
+
+
+@query("layout_positions", ALL_CASES + " SELECT case_id, node_id, node_type, CAST(row_number() OVER (PARTITION BY node_type ORDER BY node_id) AS INT) AS position FROM nodes")
+def layout_positions(spark, d):
+    return user_cases(spark, d).nodes.select("case_id", "node_id", "node_type", F.row_number().over(W.partitionBy("node_type").orderBy("node_id")).alias("position"))
+
+
+@query("store_graph", """WITH c AS (SELECT DISTINCT lang FROM documents), b AS (SELECT DISTINCT source FROM documents)
+SELECT node_id, node_type, label, n_in FROM (SELECT lang AS node_id, 'CONTRIBUTOR' AS node_type, lang AS label, 0 AS n_in FROM c UNION ALL SELECT 'corpus', 'DATASET', 'corpus', 0 UNION ALL SELECT source, 'BATCH', 'Batch ' || source, 1 FROM b UNION ALL SELECT 'd' || doc_id, 'SAMPLE', 'Sample d' || doc_id, 1 FROM documents
+ UNION ALL SELECT 'run_' || source, 'TRAINING_RUN', 'Training Run run_' || source, 1 FROM b UNION ALL SELECT 'model_' || source, 'MODEL', source || ' v1', 1 FROM b) t""")
+def store_graph(spark, d):
+    doc = load(spark, d, "documents")
+    b = doc.select("source").distinct()
+    tables = {
+        "contributors": doc.select(F.col("lang").alias("id"), F.col("lang").alias("name")).distinct(), "datasets": spark.createDataFrame([("corpus", "corpus")], "id string, name string"),
+        "batches": b.select(F.col("source").alias("id"), F.lit("corpus").alias("dataset_id"), F.lit(None).cast("string").alias("contributor_id"), F.lit(None).cast("string").alias("label")), "samples": doc.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("batch_id")),
+        "training_runs": b.select(F.concat(F.lit("run_"), "source").alias("id"), F.lit("corpus").alias("dataset_id"), F.col("source").alias("batch_id")), "models": b.select(F.concat(F.lit("model_"), "source").alias("id"), F.concat(F.lit("run_"), "source").alias("training_run_id"), F.col("source").alias("name"), F.lit("v1").alias("version")),
+    }
+    g = relational.build_graph(tables)
+    into = g.edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").cast("int").alias("n_in"))
+    return g.nodes.join(into, "node_id", "left").na.fill(0, ["n_in"]).select("node_id", "node_type", "label", "n_in")
+
+
+# --- fusion and decisions ------------------------------------------------------------------------------------------------
+
+
+@query("fusion_scores", ALL_CASES + " SELECT case_id, hypothesis, round(base, 6) AS base, round(corr, 6) AS corr, round(contra, 6) AS contra, round(ctx, 6) AS ctx, round(raw, 6) AS raw, round(support, 6) AS support, round(share, 6) AS share, CASE WHEN support >= 0.6 THEN 'HIGH' WHEN support >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scores")
+def fusion_scores(spark, d):
+    s = fusion.fuse(user_cases(spark, d), CONFIG).scores
+    return s.select("case_id", "hypothesis", *[r6(c).alias(c) for c in ("base", "corr", "contra", "ctx", "raw", "support", "share")], "level")
+
+
+flagship = fusion_scores
+
+
+@query("strengths", ALL_CASES + " SELECT case_id, evidence_id, stage, round(strength, 6) AS strength FROM strong")
+def strengths(spark, d):
+    return fusion.strengths(user_cases(spark, d), CONFIG).select("case_id", "evidence_id", "stage", r6("strength").alias("strength"))
+
+
+@query("integrity_checks", ALL_CASES + ' SELECT case_id, name AS "check", status FROM status')
+def integrity_checks(spark, d):
+    return fusion.check_status(user_cases(spark, d), CONFIG).select("case_id", "check", "status")
+
+
+@query("fusion_context", ALL_CASES + " SELECT case_id, round(coverage, 6) AS coverage, n_gaps, n_pass, n_fail, round(shift_signal, 6) AS shift_signal FROM ctx")
+def fusion_context(spark, d):
+    return fusion.context(user_cases(spark, d), CONFIG).select("case_id", r6("coverage").alias("coverage"), "n_gaps", "n_pass", "n_fail", r6("shift_signal").alias("shift_signal"))
+
+
+DECIDE = """, lead AS (SELECT case_id, any_value(coverage) AS coverage, any_value(n_gaps) AS n_gaps, max(support) FILTER (rank = 1) AS top_support, max(raw) FILTER (rank = 1) AS top_raw, max(hypothesis) FILTER (rank = 1) AS top, max(is_attack) FILTER (rank = 1) AS top_attack, max(support) FILTER (rank = 2) AS second, max(support) FILTER (is_attack = 1) AS attack_support,
+ arg_min(hypothesis, rank) FILTER (is_attack = 1) AS attack, max(support) FILTER (hypothesis IN ('CLEAN', 'BENIGN_DISTRIBUTION_SHIFT')) AS innocent FROM scores GROUP BY case_id),
+coded AS (SELECT *, CASE WHEN attack_support >= 0.6 THEN 'ATTACK_HIGH' ELSE concat_ws(',', CASE WHEN attack_support >= 0.3 THEN 'ATTACK_MODERATE' WHEN top_raw > 0 AND top_attack = 1 THEN 'ATTACK_LOW' END, CASE WHEN top_raw > 0 AND top = 'BENIGN_DISTRIBUTION_SHIFT' THEN 'BENIGN_SHIFT' END, CASE WHEN top_raw <= 0 THEN 'INCONCLUSIVE' WHEN coverage < 0.75 THEN 'LOW_COVERAGE' END,
+ CASE WHEN n_gaps > 0 THEN 'PROVENANCE_GAPS' END, CASE WHEN top_raw > 0 AND top = 'CLEAN' AND coverage >= 0.75 AND top_support - second < 0.5 THEN 'CLEAN_NOT_DECISIVE' END) END AS codes FROM lead),
+stated AS (SELECT *, CASE WHEN attack_support >= 0.6 THEN 'RED' WHEN codes = '' THEN 'GREEN' ELSE 'AMBER' END AS state, CASE WHEN attack_support >= 0.6 THEN attack_support WHEN top_raw <= 0 THEN 0 ELSE top_support END AS leader, CASE WHEN attack_support >= 0.6 THEN innocent WHEN top_raw <= 0 THEN 0 ELSE second END AS rival FROM coded)
+SELECT case_id, state, round(attack_support, 6) AS attack_support, CASE WHEN state = 'RED' THEN attack WHEN top_raw <= 0 THEN 'INCONCLUSIVE' ELSE top END AS top_hypothesis, CASE WHEN codes LIKE 'ATTACK_%' THEN attack END AS focus, round(greatest(0, leader - rival), 6) AS decision_margin, CASE WHEN codes = '' THEN 'CLEAN_CONFIRMED' ELSE codes END AS codes FROM stated"""
+
+
+@query("decisions", ALL_CASES + DECIDE)
+def decisions(spark, d):
+    f = fusion.fuse(user_cases(spark, d), CONFIG)
+    x = assurance.decide(f.scores, f.context)
+    return x.select("case_id", "state", r6("attack_support").alias("attack_support"), "top_hypothesis", "focus", r6("decision_margin").alias("decision_margin"), F.array_join("codes", ",").alias("codes"))
+
+
+@query("attributed_origins")
+def attributed_origins(spark, d):
+    inv = assurance.investigate(user_cases(spark, d))
+    return inv.origins.select("case_id", "origin", "node_type", r6("fraction").alias("fraction"), F.size("evidence_ids").alias("n_evidence"), "n_detectors")
+
+
+@query("warnings")
+def warning_rows(spark, d):
+    return assurance.warning_rows(user_cases(spark, d))
+
+
+@query("counterfactuals")
+def counterfactuals(spark, d):
+    g = user_cases(spark, d)
+    t = g.nodes.filter("node_type in ('CONTRIBUTOR', 'BATCH', 'MODEL')")
+    r = counterfactual.simulate(g, t, nested_samples=False).results
+    return r.select("case_id", "target", "original_risk", "structural_risk", "final_risk", "risk_delta", "effect", "original_state", "final_state", "removed_nodes", "removed_evidence", "cleared_evidence", "retained_evidence")
+
+
+@query("removal_sets", ALL_CASES + """ SELECT t.case_id, t.node_id AS target, x.node_id FROM nodes t JOIN nodes x ON x.case_id = t.case_id WHERE t.node_type = 'BATCH' AND (x.node_id = t.node_id OR x.node_type = 'SAMPLE')""")
+def removal_sets(spark, d):
+    g = user_cases(spark, d)
+    t = g.nodes.filter("node_type = 'BATCH'").select("case_id", "node_id")
+    return counterfactual.removal_set(g, t, nested_samples=False).join(t.withColumnRenamed("node_id", "target"), "case_id").select("case_id", "target", "node_id")
+
+
+@query("evidence_by_stage", ALL_CASES + " SELECT case_id, stage, count(*) AS n, round(sum(weight), 6) AS weight, round(max(severity), 6) AS max_severity FROM weighted GROUP BY ALL")
+def evidence_by_stage(spark, d):
+    return user_cases(spark, d).weighted.groupBy("case_id", "stage").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("weight"), r6(F.max("severity")).alias("max_severity"))
+
+
+@query("evidence_facets", ALL_CASES + " SELECT 'detector' AS facet, detector AS value, count(*) AS n FROM evidence GROUP BY ALL UNION ALL SELECT 'type', evidence_type, count(*) FROM evidence GROUP BY ALL")
+def evidence_facets(spark, d):
+    e = user_cases(spark, d).evidence
+    f = lambda name, c: e.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")
+    return f("detector", "detector").union(f("type", "evidence_type"))
+
+
+@query("evidence_search", ALL_CASES + " SELECT case_id, evidence_id, source_id FROM weighted WHERE detector = 'trigger_detector' AND lower(concat_ws(' ', evidence_id, source_id, evidence_type, detector, stage)) LIKE '%m\\_1%' ESCAPE '\\'")
+def evidence_search(spark, d):
+    e = relational.search_evidence(user_cases(spark, d).weighted, " M_1", detector="trigger_detector")
+    return e.select("case_id", "evidence_id", "source_id")
+
+
+@query("conversation_search", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND lower(text) LIKE '%the and%'")
+def conversation_search(spark, d):
+    c = load(spark, d, "conversations")
+    return c.filter((F.col("role") == "user") & F.lower("text").contains("the and")).select("conv_id", "turn", "role")
+
+
+@query("ingest_counts", "SELECT lang AS label, count(*) AS n, count(DISTINCT source) AS batches FROM documents GROUP BY ALL")
+def ingest_counts(spark, d):
+    return load(spark, d, "documents").groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("batches"))
+
+
+@query("accepted_evidence", "SELECT 'u' || user_id AS source_node_id, event_id, CASE WHEN user_id % 3 = 0 THEN 'unsupported source type' WHEN user_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 0) THEN 'unknown node' END AS reason FROM events WHERE user_id % 3 < 2")
+def accepted_evidence(spark, d):
+    e = load(spark, d, "events").filter("user_id % 3 < 2").select(F.when(F.col("user_id") % 3 == 0, "gadget").otherwise("model").alias("source_node_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_node_id"), "event_id")
+    n = load(spark, d, "customer").filter("c_acctbal > 0").select(F.lit("MODEL").alias("node_type"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("node_id"))
+    good, bad = relational.accept_evidence(e, n)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("source_node_id", "event_id", "reason")
+
+
+# --- receipts ---------------------------------------------------------------------------------------------------------
+
+RECEIPTS = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, coalesce('h' || lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS prev_hash FROM events),
+r AS (SELECT CAST(user_id AS VARCHAR) AS dep, event_id AS arrival, sequence, CASE WHEN event_id % 13 = 0 THEN 'r' || event_id % 7 ELSE 'n' || event_id END AS nonce, event_id % 29 <> 0 AS sig_ok, prev_hash, 'h' || event_id AS own_hash FROM e WHERE event_id % 17 <> 0),
+p AS (SELECT *, sig_ok AND row_number() OVER (PARTITION BY dep, nonce, sig_ok ORDER BY arrival) > 1 AS replayed FROM r),
+s AS (SELECT *, coalesce(max(CASE WHEN sig_ok AND NOT replayed THEN sequence END) OVER w, 0) AS last_seq, coalesce(max(CASE WHEN NOT sig_ok THEN arrival END) OVER w, -1) > coalesce(max(CASE WHEN sig_ok AND NOT replayed THEN arrival END) OVER w, -1) AS reanchor,
+  max(CASE WHEN sig_ok AND NOT replayed THEN struct_pack(a := sequence, b := -arrival, c := own_hash) END) OVER w AS best FROM p WINDOW w AS (PARTITION BY dep ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, sig_ok AND NOT replayed AND sequence > last_seq + 1 + reanchor::INT AS gap, sig_ok AND NOT replayed AND prev_hash <> coalesce(best.c, 'GENESIS') AND NOT reanchor AS broken FROM s)"""
+
+
+@query("receipt_state", RECEIPTS + " SELECT dep AS deployment_id, arrival, replayed, last_seq, coalesce(best.c, 'GENESIS') AS last_hash, reanchor FROM v")
+def receipt_state(spark, d):
+    return passports.replay_state(bindings.receipts(spark, d)).select("deployment_id", "arrival", "replayed", "last_seq", "last_hash", "reanchor")
+
+
+@query("receipt_verdicts", RECEIPTS + ", f AS (SELECT dep, arrival, 'SIGNATURE_INVALID' AS kind, 1.0 AS severity, 1.0 AS confidence FROM v WHERE NOT sig_ok UNION ALL SELECT dep, arrival, 'REPLAY_DETECTED', 1.0, 1.0 FROM v WHERE replayed UNION ALL SELECT dep, arrival, 'SEQUENCE_GAP', least(1.0, 0.4 + 0.2 * (sequence - last_seq - 1)), 0.9 FROM v WHERE gap UNION ALL SELECT dep, arrival, 'CHAIN_BREAK', 0.9, 0.9 FROM v WHERE broken) SELECT dep AS deployment_id, arrival, kind, CAST(round(severity, 6) AS DOUBLE) AS severity, CAST(confidence AS DOUBLE) AS confidence FROM f")
+def receipt_verdicts(spark, d):
+    v = passports.verdicts(passports.replay_state(bindings.receipts(spark, d)))
+    return v.select("deployment_id", "arrival", F.explode("findings").alias("f")).select("deployment_id", "arrival", "f.kind", r6("f.severity").alias("severity"), "f.confidence")
+
+
+@query("receipt_totals", RECEIPTS + " SELECT dep AS deployment_id, count(*) AS n_total, count(*) FILTER (sig_ok AND NOT replayed AND NOT gap AND NOT broken) AS n_ok, bool_and(sig_ok AND NOT replayed AND NOT gap AND NOT broken) AS clean FROM v GROUP BY dep")
+def receipt_totals(spark, d):
+    v = passports.verdicts(passports.replay_state(bindings.receipts(spark, d)))
+    return passports.totals(v).select("deployment_id", "n_total", "n_ok", "clean")
+
+
+@query("timestamp_skew", "WITH g AS (SELECT event_id, user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT CAST(user_id AS VARCHAR) AS deployment_id, count(*) FILTER (gap > 300) AS n_skewed, count(gap) AS n FROM g GROUP BY user_id")
+def timestamp_skew(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    g = load(spark, d, "events").withColumn("gap", seconds("ts") - F.lag(seconds("ts")).over(w))
+    return g.groupBy(F.col("user_id").cast("string").alias("deployment_id")).agg(F.count_if(F.col("gap") > passports.MAX_SKEW).alias("n_skewed"), F.count("gap").alias("n"))
+
+
+@query("attack_detection")
+def attack_detection(spark, d):
+    return scenarios.evaluate(spark)
+
+
+@query("models_by_date", "SELECT o_orderkey AS model_id, o_orderdate AS created_at, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS INT) AS place, o_orderstatus AS format FROM orders QUALIFY place <= 5")
+def models_by_date(spark, d):
+    w = W.partitionBy("format").orderBy(F.desc("created_at"), "model_id")
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("format"))
+    return o.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("model_id", "created_at", "place", "format")
+
+
+def queries() -> dict:
+    return {name: f for name, (f, _) in _found.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _found.items() if sql}
