@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 A page becomes a tree of block elements whose leaves are its text blocks (runs of inline content; <br> ends a run). Every
-node has a hidden state, content or not. Its own potential comes from its tag, the words of its class, id and role, its length and its
-share of linked text; a potential on each edge ties a child to its parent. Sum-product messages up and down the tree
+node has a hidden state, content or not. Its own potential comes from its tag, the words of its class, id and role, its length, its share of
+the page's text and of linked text; a potential on each edge ties a child to its parent. Sum-product messages up and down the tree
 give each node's marginal, all pages of a batch at once, level by level. Parameters are fitted by exact gradients of the
 likelihood (observed minus expected counts, from the same messages) on labelled pages: (html, main text) pairs, in which
 a leaf is content if its block is a line of the text, and an element if it holds such a leaf.
@@ -48,10 +48,10 @@ GROUPS = (
 )
 _WORDS = {w: [k for k, g in enumerate(GROUPS) if w in g.split("|")] for g in GROUPS for w in g.split("|")}
 TAGS = sorted(BLOCK)
-LENGTHS, LINKS, MARKS = 12, 5, 4
+LENGTHS, LINKS, MARKS, SHARES = 12, 5, 4, 6
 N_TAG, N_GROUP = len(TAGS), len(GROUPS)
-N_ELEMENT = N_TAG + N_GROUP + LENGTHS + LINKS + 1
-N_LEAF = LENGTHS + LINKS + MARKS + N_TAG + 1
+N_ELEMENT = N_TAG + N_GROUP + LENGTHS + LINKS + SHARES + 1
+N_LEAF = LENGTHS + LINKS + MARKS + N_TAG + SHARES + 1
 N_UNARY = N_ELEMENT + N_LEAF
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -187,6 +187,8 @@ class Forest:
         for level in self.levels[:0:-1]:
             np.add.at(length, parent[level], length[level])
             np.add.at(linked, parent[level], linked[level])
+        whole = np.repeat(length[base], sizes)
+        share = np.minimum((length / np.maximum(whole, 1) * (SHARES - 1)).astype(int), SHARES - 1)  # of the page's text; the last is all of it
         rows, cols = [], []
 
         def add(where, column):
@@ -199,12 +201,14 @@ class Forest:
         add(el, tag[el])
         add(el, N_TAG + N_GROUP + size[el])
         add(el, N_TAG + N_GROUP + LENGTHS + link[el])
+        add(el, N_TAG + N_GROUP + LENGTHS + LINKS + share[el])
         add(el, np.full(len(el), N_ELEMENT - 1))
         groups = [g for p in pages for g in p.groups]
         add(np.repeat(np.arange(self.n), [len(g) for g in groups]), np.array([N_TAG + k for g in groups for k in g], dtype=int))
         add(lf, N_ELEMENT + np.minimum(np.log2(own[lf] + 1).astype(int), LENGTHS - 1))
         add(lf, N_ELEMENT + LENGTHS + link[lf])
         add(lf, N_ELEMENT + LENGTHS + LINKS + MARKS + tag[parent[lf]])
+        add(lf, N_ELEMENT + LENGTHS + LINKS + MARKS + N_TAG + share[lf])
         add(lf, np.full(len(lf), N_UNARY - 1))
         marks = [(k, m) for k in lf for m in _marks(text[k])]
         add(np.array([k for k, _ in marks], dtype=int), np.array([N_ELEMENT + LENGTHS + LINKS + m for _, m in marks], dtype=int))
@@ -299,7 +303,7 @@ def train(labelled: list[tuple[str, str]], steps: int = 120, rate: float = 0.25,
 # --- labelled pages ----------------------------------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = 360, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, str]]:
     """Pages of varied layout with their main text."""
     rng = random.Random(seed)
     return [_written_page(rng) for _ in range(n)]
@@ -420,6 +424,11 @@ def _written_page(rng) -> tuple[str, str]:
         main = f"<div>{inside}</div>"
     after = [noise(k) for k in kinds if k in ("footer", "aside", "ad", "comments", "form", "nav", "notice", "share") and rng.random() < 0.4]
     rng.shuffle(after)
+    for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):  # wrappers that say nothing
+        tag = rng.choice(["div", "div", "section"])
+        main = f"<{tag}>" + main + (after.pop() if after and rng.random() < 0.2 else "") + f"</{tag}>"
+    if rng.random() < 0.1:  # bare pages
+        before, after = [], []
     if rng.random() < 0.3:
         main = _named(rng, "div", "wrapper container page layout") + main + (after.pop() if after else "") + "</div>"
     html = f"<!DOCTYPE html><html><head><title>{_sentence(rng)}</title></head><body>{''.join(before)}{main}{''.join(after)}" + ("</body></html>" if rng.random() < 0.8 else "")
