@@ -123,3 +123,33 @@ def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge(pages, outcomes_of(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(key: str, parent: str) -> str:
+    """CTEs fit_<key> and post_<key> from cnt_<key>(key, parent, n, bad) and post_<parent>(parent, mean)."""
+    return f"""j_{key} AS (SELECT c.*, p.mean AS prior FROM cnt_{key} c JOIN post_{parent} p USING ({parent})),
+m_{key} AS (SELECT count(*) AS g, sum(n) AS n, sum(n * (bad / n - prior) * (bad / n - prior)) AS ss, sum(n * n) AS n2, sum(n * prior) / sum(n) AS m FROM j_{key}),
+t_{key} AS (SELECT m, greatest((ss / n - m * (1 - m) * g / n) / greatest(1e-12, 1 - n2 / (n * n)), 0.0) AS tau2 FROM m_{key}),
+k_{key} AS (SELECT least(greatest(coalesce(CASE WHEN tau2 > 0 THEN m * (1 - m) / tau2 - 1 ELSE {MOST} END, {MOST}), {LEAST}), {MOST}) AS k FROM t_{key}),
+post_{key} AS (SELECT {key}, {parent}, (bad + k * prior) / (n + k) AS mean, n + k AS weight FROM j_{key} CROSS JOIN k_{key})"""
+
+
+def oracle_sql(rules=RULES) -> str:
+    """The query in DuckDB's SQL."""
+    fits, said = "", ""
+    for kind, text in sorted(rules, key=lambda r: -len(r[1])):
+        name, _, rest = text.partition("/")
+        when = f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN "
+        fits, said = fits + when + f"'{text}' ", said + when + f"'{kind}' "
+    return rf"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS bad FROM p JOIN labels ON doc_id = CAST(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT)),
+once AS (SELECT page_id, max(bad) AS bad FROM o GROUP BY page_id),
+keyed AS (SELECT DISTINCT host, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix FROM p),
+cnt_host AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM p JOIN once USING (page_id) JOIN keyed USING (host) WHERE bad IS NOT NULL GROUP BY ALL),
+cnt_domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM cnt_host GROUP BY ALL), cnt_suffix AS (SELECT suffix, 0 AS root, sum(n) AS n, sum(bad) AS bad FROM cnt_domain GROUP BY ALL),
+post_root AS (SELECT 0 AS root, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM cnt_suffix),
+{_level_sql('suffix', 'root')},
+{_level_sql('domain', 'suffix')},
+{_level_sql('host', 'domain')},
+rep AS (SELECT k.host, coalesce(h.mean, d.mean, s.mean, (SELECT mean FROM post_root), 0.0) AS mean, coalesce(h.weight, d.weight, s.weight, {LEAST}) AS weight FROM keyed k LEFT JOIN post_host h USING (host) LEFT JOIN post_domain d ON d.domain = k.domain LEFT JOIN post_suffix s ON s.suffix = k.suffix)
+SELECT page_id, host, path, CASE {fits}END AS rule, CASE {said}WHEN greatest(mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)), 0.0) > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM p JOIN rep USING (host)"""

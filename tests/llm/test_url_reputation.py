@@ -47,3 +47,18 @@ def test_outcomes(spark):
     p = spark.createDataFrame([(1, "http://a/en/77.html?x=5"), (2, "http://a/none"), (3, None)], "page_id long, url string")
     lab = spark.createDataFrame([(77, 1, 1), (78, 0, 0)], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in ur.outcomes_of(p, lab).collect()] == [(1, 1)]
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for limit in (ur.LIMIT, 0.05):  # the second makes the method block
+        sql = ur.oracle_sql().replace(f"> {ur.LIMIT} THEN", f"> {limit} THEN")
+        pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+        got = ur.judge(pages, ur.outcomes_of(pages, labels), limit=limit).select("page_id", "host", "path", "rule", "verdict")
+        rows = con.execute(sql).fetchall()
+        assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in got.collect())
+    assert any(r[3] is None and r[4] == "block" for r in rows)
