@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_reputation": url_reputation.oracle_sql()}
+    return {"op2_warc_revisit": warc_revisit.oracle_sql(), "op3_url_reputation": url_reputation.oracle_sql()}

@@ -166,7 +166,7 @@ def warc_bytes(rows) -> bytes:
 def captures_of(pages: DataFrame) -> DataFrame:
     """Each page as a full response and two later revisits, some with foreign or missing validators."""
     p = pages.select(F.col("page_id").cast("string").alias("p"), F.coalesce(F.col("page_id"), F.lit(0)).alias("k"), "url", F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("m"))
-    part = p.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v")).withColumn("c", F.pmod(F.crc32(F.concat_ws("/", "p", F.col("v").cast("string")).cast("binary")), F.lit(5)))
+    part = p.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v")).withColumn("c", F.pmod(F.col("k") * 7 + F.col("v") * 3, F.lit(5)))
     first = F.col("v") == 0
     etag = F.when(first | (F.col("c") == 4), F.concat(F.lit('"'), F.substring("m", 1, 16), F.lit('"'))).when(F.col("c") == 3, F.concat(F.lit('W/"'), F.substring("m", 1, 16), F.lit('"'))).when(F.col("c") == 2, F.lit('"other"'))
     modified = F.when(first | (F.col("c") == 1), F.concat(F.lit("day "), F.col("k") % 28))
@@ -182,3 +182,22 @@ def captures_of(pages: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve(captures_of(table(spark, sf_dir, "pages")))
     return out.select("record_id", "url", "ts", "refers_to", "outcome", "digest", header_text(F.col("headers")).alias("headers"))
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB's SQL."""
+    clean = r"regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    return rf"""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS p, coalesce(page_id, 0) AS k, url, md5(coalesce(html, '')) AS m FROM pages),
+part AS (SELECT *, (k * 7 + v * 3) % 5 AS c FROM p CROSS JOIN (VALUES (0), (1), (2)) t(v)),
+cap AS (SELECT coalesce(p, '') || '-' || v AS record_id, CASE WHEN v = 0 THEN url ELSE url || '#again' END AS url, 1700000000 + (k % 1000) * 3600 + v * 86400 AS ts, v, c, m,
+  CASE WHEN v = 0 OR c = 4 THEN '"' || left(m, 16) || '"' WHEN c = 3 THEN 'W/"' || left(m, 16) || '"' WHEN c = 2 THEN '"other"' END AS etag, CASE WHEN v = 0 OR c = 1 THEN 'day ' || (k % 28) END AS modified FROM part),
+u AS (SELECT *, {clean} AS u FROM cap),
+parts AS (SELECT * EXCLUDE (url, u), regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host, regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  regexp_replace(regexp_replace(regexp_extract(u, '\?(.*)$', 1), '(^|&)({TRACKING})=[^&]*', '', 'g'), '^&+', '') AS q FROM u),
+r AS (SELECT *, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM parts),
+j AS (SELECT x.record_id, x.url, x.ts, x.v, x.etag, x.modified, f.record_id AS f_id, f.etag AS f_etag, f.modified AS f_modified, f.m AS f_digest, f.c AS f_c, row_number() OVER (PARTITION BY x.record_id ORDER BY f.ts DESC, f.record_id DESC) AS k
+  FROM r x LEFT JOIN r f ON f.v = 0 AND f.url = x.url AND f.ts < x.ts WHERE x.v > 0),
+s AS (SELECT *, coalesce(regexp_replace(trim(etag), '^W/', '') = regexp_replace(trim(f_etag), '^W/', ''), modified = f_modified) AS same FROM j WHERE k = 1),
+o AS (SELECT *, CASE WHEN f_id IS NULL THEN 'no_response' WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'mismatch' END AS outcome FROM s)
+SELECT record_id, url, ts, CASE WHEN good THEN f_id END AS refers_to, outcome, CASE WHEN good THEN f_digest END AS digest, CASE WHEN good THEN 'content-length: ' || f_c || chr(10) || 'content-type: text/html' || chr(10) || 'x-version: ' || v END AS headers
+FROM (SELECT *, outcome IN ('resolved', 'unverified') AS good FROM o)"""

@@ -59,3 +59,12 @@ def test_files(spark, tmp_path):
         assert {r.record_id: bytes(r.body) for r in df.collect()} == {"<urn:1>": rows[0]["body"], "<urn:2>": b""}
         r = wr.resolve(df).first()
         assert (r.refers_to, r.outcome, r.digest, r.headers["x-new"], r.headers["content-type"]) == ("<urn:1>", "resolved", "sha1:X", "1", "text/html")
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    rows = con.execute(wr.oracle_sql()).fetchall()
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in wr.query(spark, sf_dir).collect()) and len({r[4] for r in rows}) == 3
