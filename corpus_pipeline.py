@@ -7,32 +7,51 @@ that a lost executor costs the tasks it held.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import mix_cube, ngram_matrix, quality_subword, template_decon, token_planes
-from plumbline.llm.common import table, written
+from plumbline.llm.common import new_scratch, shared_dir, table
+
+
+def _stage(function):
+    """A stage's intermediate tables are removed when the next one begins, for its result has been written by then."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        new_scratch(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality_subword.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
     return ngram_matrix.one_of_each(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     return template_decon.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mix_cube.apply_mix(docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards."""
     import public_tokenizers
@@ -52,7 +71,9 @@ ORACLE_SQL = None  # no stage but the third has an equivalent in SQL; tests hold
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        df = written(stage(spark, df, sf_dir), name.replace(" ", "-").replace("/", "-"))
+    df, top = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, df, sf_dir)
+        made.write.parquet(f"{top}/{k}")
+        df = spark.read.schema(made.schema).parquet(f"{top}/{k}")
     return df

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CHUNK = 1 << 20  # bytes of text that one numpy pass handles; a longer text makes its own pass
+MAX_CHUNK = 1 << 18  # bytes of text that one numpy pass handles; a longer text makes its own pass
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +38,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows, for texts are long: a Python worker holds one at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of fewer rows and bytes, for texts and sets are long: a Python worker and its JVM hold one at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        digits = "".join(c for c in spark.conf.get(key) if c.isdigit())
+        if not digits or not spark.conf.get(key).strip("b B").isdigit() or int(digits) > most or int(digits) <= 0:
+            spark.conf.set(key, str(most))
 
 
 def trim() -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import sized_broadcast, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 4096
@@ -161,6 +161,7 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int =
     sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     chosen = sample_copies(narrow, targets(sums, weights), seed).filter("copies > 0")
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"), "copies")
+    chosen = sized_broadcast(written(chosen, "chosen"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
     return whole.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 

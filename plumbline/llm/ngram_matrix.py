@@ -31,14 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, shingle_sets, sized_broadcast, table, text_buffers, written
+from plumbline.llm.common import mix64, shingle_sets, sized_broadcast, table, text_buffers, trim, written
 from plumbline.llm.components import components
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # the least Jaccard similarity
-BATCH_BYTES = 16 << 20  # of text in a row batch
+BATCH_BYTES = 4 << 20  # of text in a row batch
 BATCH_ROWS = 1 << 15
-BLOCK_ENTRIES = 3 << 20  # of a column block
+BLOCK_ENTRIES = 1 << 20  # of a column block
 SALT = 256  # rows of a leader in one group
 MANY = 0xFFFF
 
@@ -46,14 +46,28 @@ MANY = 0xFFFF
 # --- row batches ----------------------------------------------------------------------------------------------------
 
 
-def _sub_batches(batch):
-    """Cut an Arrow batch (doc_id, text) by bytes and rows; yields (doc ids, list of sets)."""
-    raw, offsets = text_buffers(batch.column(1))
-    i, n = 0, batch.num_rows
+def _row_batches(batches):
+    """Gather and cut Arrow batches (doc_id, text) to BATCH_BYTES of text and BATCH_ROWS rows; yields (doc ids, list of sets)."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield from _cut(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield from _cut(pa.Table.from_batches(held))
+
+
+def _cut(rows):
+    ids, raw, offsets = rows.column(0), *text_buffers(rows.column(1).combine_chunks())
+    i, n = 0, len(ids)
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + 2 * BATCH_BYTES, side="right")) - 1
         j = min(n, i + BATCH_ROWS, max(j, i + 1))
-        yield i, j, [s for _, s in shingle_sets(raw, offsets[i : j + 1], SHINGLE)]
+        yield ids.slice(i, j - i).combine_chunks(), [s for _, s in shingle_sets(raw, offsets[i : j + 1], SHINGLE)]
         i = j
 
 
@@ -77,37 +91,40 @@ def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _batch_name(names: bytes) -> int:
+    """A batch is known by its documents; a task that runs again gives the same name."""
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(names, digest_size=8).digest(), "little", signed=True)
+
+
 def _cells(blocks: int):
     """Row batch -> a row for each column block: columns of the batch and, where a single row has one, which."""
 
     def run(batches):
         import pandas as pd
 
-        for batch in batches:
-            ids = batch.column(0)
-            for i, j, sets in _sub_batches(batch):
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                rows = np.repeat(np.arange(j - i, dtype=np.uint64), sizes)
-                keys = np.sort((keys >> np.uint64(32) << np.uint64(16)) | rows)
-                column = (keys >> np.uint64(16)).astype(np.uint32)
-                first = np.concatenate(([True], column[1:] != column[:-1]))[: len(column)]
-                single = first & np.concatenate((first[1:], [True]))[: len(column)]
-                row = np.where(single, keys & np.uint64(0xFFFF), MANY).astype(np.uint16)[first]
-                column = column[first]
-                cuts = np.searchsorted(column.astype(np.uint64), (np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks))
-                some = ids.slice(i, j - i)
-                known = np.array([v.is_valid for v in some])
-                docs = np.array([v.as_py() or 0 for v in some], dtype=np.int64)
-                step = np.diff(docs, prepend=0)
-                names = _pack(known.astype(np.uint8), step, sizes)
-                name = int(mix64(np.array([int(docs[0]) & (2**64 - 1)], np.uint64) + np.uint64(i))[0] >> np.uint64(1))
-                yield pd.DataFrame(
-                    {
-                        "batch": name, "block": np.arange(blocks), "n": np.diff(cuts), "rows": j - i, "names": [names if b == 0 else b"" for b in range(blocks)],
-                        "data": [_pack(np.diff(column[a:b], prepend=np.uint32(0)), row[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                    }
-                )
+        for ids, sets in _row_batches(batches):
+            sizes = np.array([len(s) for s in sets], dtype=np.int32)
+            keys = np.concatenate(sets)
+            keys >>= np.uint64(32)
+            keys <<= np.uint64(16)
+            keys |= np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
+            keys.sort()
+            column = (keys >> np.uint64(16)).astype(np.uint32)
+            first = np.concatenate(([True], column[1:] != column[:-1]))[: len(column)]
+            single = first & np.concatenate((first[1:], [True]))[: len(column)]
+            row = np.where(single, keys & np.uint64(0xFFFF), MANY).astype(np.uint16)[first]
+            column = column[first]
+            cuts = np.searchsorted(column, (((np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks)).clip(max=0xFFFFFFFF)).astype(np.uint32))
+            cuts[-1] = len(column)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = _pack(known.astype(np.uint8), np.diff(docs, prepend=0), sizes)
+            name = _batch_name(names)
+            data = [_pack(np.diff(column[i:j], prepend=np.uint32(0)), row[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame({"batch": name, "block": np.arange(blocks), "n": np.diff(cuts), "rows": len(sets), "names": [names if b == 0 else b"" for b in range(blocks)], "data": data})
+        trim()
 
     return run
 
@@ -129,7 +146,10 @@ def _own_columns(pdf):
         mine = row[flag[at : at + len(row)]]
         at += len(row)
         out.append(_pack(np.bincount(mine[mine != MANY], minlength=n_rows).astype(np.int32)))
-    return pd.DataFrame({"batch": pdf["batch"], "rows": pdf["rows"], "names": pdf["names"], "own": out})
+    found = pd.DataFrame({"batch": pdf["batch"], "rows": pdf["rows"], "names": pdf["names"], "own": out})
+    del cells, column, order, entry, first, alone, flag
+    trim()
+    return found
 
 
 def _sizes_of_batch(pdf):
@@ -175,13 +195,15 @@ def _set_rows(batches):
     """(doc_id, text) -> doc_id, rid, n, data: the set's hashes and its 128-bit name."""
     import pandas as pd
 
-    for batch in batches:
-        for i, j, sets in _sub_batches(batch):
-            names = []
-            for s in sets:
-                a, b = mix64(s + np.uint64(0x632BE59BD9B4E019)), mix64(s ^ np.uint64(0xA0761D6478BD642F))
-                names.append(f"{int(a.sum(dtype=np.uint64)):016x}{int(b.sum(dtype=np.uint64)):016x}")
-            yield pd.DataFrame({"doc_id": batch.column(0).slice(i, j - i).to_pandas().astype("Int64"), "rid": names, "n": [len(s) for s in sets], "data": [s.tobytes() for s in sets]})
+    for ids, sets in _row_batches(batches):
+        names = []
+        for s in sets:
+            a, b = mix64(s + np.uint64(0x632BE59BD9B4E019)), mix64(s ^ np.uint64(0xA0761D6478BD642F))
+            names.append(f"{int(a.sum(dtype=np.uint64)):016x}{int(b.sum(dtype=np.uint64)):016x}")
+        for k in range(0, len(sets), 500):
+            few = sets[k : k + 500]
+            yield pd.DataFrame({"doc_id": ids.slice(k, 500).to_pandas().astype("Int64"), "rid": names[k : k + 500], "n": [len(s) for s in few], "data": [s.tobytes() for s in few]})
+    trim()
 
 
 def _gather(batches):
@@ -372,12 +394,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each class the document whose doc_id names it; rows that repeat its doc_id leave one, the least by text. Rows without doc_id stay."""
-    kept = classes(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
-    kept = written(kept, "kept")
-    single = docs.join(kept.filter("c = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.filter("c > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    again = again.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(F.to_json("row")))).alias("row")).select("row.*")
-    return single.select(*docs.columns).unionByName(again).unionByName(docs.filter("doc_id is null"))
+    c = written(classes(docs), "class-rows")
+    lost = sized_broadcast(written(c.filter("component_id != doc_id").select("doc_id").distinct(), "lost"))
+    again = sized_broadcast(written(c.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "again"))
+    single = docs.join(lost, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
+    twice = docs.join(again, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    twice = twice.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(F.to_json("row")))).alias("row")).select("row.*")
+    return single.select(*docs.columns).unionByName(twice)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
