@@ -29,7 +29,7 @@ from plumbline.llm.common import fresh_path, trim, written
 
 MAGIC = b"PLPLANE1"
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 600_000
+MEMO_UNITS = 400_000
 SHARD_BYTES = 32 << 20
 
 
@@ -129,13 +129,15 @@ class MemoEncoder:
     between such spaces can be encoded by themselves. Texts with runs of spaces, or a space at their end, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, units: int = MEMO_UNITS):
         from tokenizers import Tokenizer
 
+        self.units = units  # of the memo's young generation; all in all it holds twice as many, of about 250 bytes
+
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's string within a text is ordinary text
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end, self.memo = np.array([end_id], f"<u{self.width}").tobytes(), {}
+        self.end, self.memo, self.old = np.array([end_id], f"<u{self.width}").tobytes(), {}, {}
         pre = self.tok.pre_tokenizer
         self.split = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
         vocab = self.tok.get_vocab()
@@ -145,69 +147,48 @@ class MemoEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str], between: str = "") -> None:
-        """Encode new units that keep their ids when joined by `between`, some hundreds in one text, and cut the ids by their bytes."""
-        groups = [units[k : k + 500] for k in range(0, len(units), 500)]
-        extra = len(between)  # a byte and a token of its own
-        for group, raw in zip(groups, self._ids([between.join(g) + between for g in groups]), strict=True):
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space. A hundred are encoded as one text and the ids cut at its spaces, for a word holds none."""
+        out = []
+        for k in range(0, len(words), 100):
+            group = words[k : k + 100]
+            text = " " + " ".join(group)
+            raw = self._ids([text])[0]
             at = np.cumsum(self.n_bytes[np.frombuffer(raw, f"<u{self.width}")])
-            ends = np.cumsum([len(u.encode()) + extra for u in group])
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
             cut = ((np.searchsorted(at, ends) + 1) * self.width).tolist()
-            less = extra * self.width
-            self.memo.update(zip(group, [raw[i : j - less] for i, j in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
-
-    @staticmethod
-    def _pieces(unit: str) -> tuple[str, ...]:
-        """Parts of a unit that the pre-tokeniser separates anyway: around a line feed, and before a last comma or full stop."""
-        head, feed, tail = unit.partition("\n")
-        if feed and (not head.strip() or head[-1].isspace() or not tail or "\n" in tail or tail[0].isspace()):
-            return (unit,)
-        out = []
-        for part in (head, feed, tail):
-            if len(part) > 2 and part[-1] in ",." and part[-2].isalpha():
-                out += [part[:-1], part[-1]]
-            elif part:
-                out.append(part)
-        return tuple(out)
+            out += [raw[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id; a few hundred texts at once are looked up together."""
         parted = [t.split(" ") if t and self.split and "  " not in t and not t[-1].isspace() else None for t in texts]
         whole = iter(self._ids([t for t, p in zip(texts, parted, strict=True) if p is None]))
-        parted = [p if p is None else [p[0], *[" " + u for u in p[1:]]] for p in parted]
-        memo, units = self.memo, set().union(*[p for p in parted if p])
-        units.discard("")
-        if len(memo) + len(units) > MEMO_UNITS:
-            memo.clear()
-        new = [u for u in units if u not in memo]
-        parts = {u: self._pieces(u) for u in new}
-        basic = {p for ps in parts.values() for p in ps if p not in memo}
-        if basic:
-            spaced = [p for p in basic if p[0] == " "]
-            bare = [p for p in basic if p.isalpha()]
-            rest = [p for p in basic if p[0] != " " and not p.isalpha()]
-            self._learn(spaced)
-            self._learn(bare, "\n")
-            memo.update(zip(rest, self._ids(rest), strict=True))
-        for u, ps in parts.items():
-            if len(ps) > 1:
-                memo[u] = b"".join([memo[p] for p in ps])
-        memo[""] = b""
-        return [(next(whole) if p is None else b"".join(map(memo.__getitem__, p))) + self.end for p in parted]
-
-
-def id_width(tokenizer: str, end_id: int) -> int:
-    return MemoEncoder(tokenizer, end_id).width
+        heads = iter(self._ids([p[0] for p in parted if p is not None]))
+        rest = [None if p is None else p[1:] for p in parted]
+        words = set().union(*[p for p in rest if p])
+        if len(self.memo) > self.units:  # words not met since the last change of generation are forgotten
+            self.memo, self.old = {}, self.memo
+        new = words.difference(self.memo)
+        if new:
+            known = new.intersection(self.old)
+            self.memo.update((w, self.old[w]) for w in known)
+            new = list(new.difference(known))
+            self.memo.update(zip(new, self._learn(new), strict=True))
+        get = self.memo.__getitem__
+        return [(next(whole) if p is None else next(heads) + b"".join(map(get, p))) + self.end for p in rest]
+
 
 
 _encoders: dict[tuple[str, int], MemoEncoder] = {}
 
 
-def _encoder(tokenizer: str, end_id: int) -> MemoEncoder:
+def _encoder(tokenizer: str, end_id: int, units: int = MEMO_UNITS) -> MemoEncoder:
     """One encoder for each Python worker, so that its memo serves the worker's later tasks too."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (tokenizer, end_id) not in _encoders:
-        _encoders[tokenizer, end_id] = MemoEncoder(tokenizer, end_id)
+        _encoders[tokenizer, end_id] = MemoEncoder(tokenizer, end_id, units)
     return _encoders[tokenizer, end_id]
 
 
@@ -224,7 +205,7 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, plane: str = "byte", shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, plane: str = "byte", shards: int | None = None, memo: int = MEMO_UNITS) -> DataFrame:
     """Write the ids of docs(doc_id, text) in ascending doc_id order under uri. Returns the manifest: shard, path, n_docs, n_ids, start.
 
     The range partitioning samples the keys, so the ranges are even without any count. A partition with more than
@@ -237,7 +218,7 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, pla
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id)
+        part, seq, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id, memo)
         store, root = _store(uri)
         store.create_dir(root, recursive=True)
         held, docs_, lengths, size = [], [], [], 0
@@ -254,8 +235,8 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, pla
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                few = batch.slice(at, 1024)
                 for doc, ids in zip(few.column(0).to_pylist(), enc.encode([t or "" for t in few.column(1).to_pylist()]), strict=True):
                     held.append(ids)
                     docs_.append(doc)
@@ -297,10 +278,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_to_planes(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 2, plane: str = "byte") -> tuple[DataFrame, DataFrame]:
+def encode_to_planes(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 2, plane: str = "byte", memo: int = MEMO_UNITS) -> tuple[DataFrame, DataFrame]:
     """Encode, write and read back. Returns (documents as read back, manifest)."""
     uri = uri or fresh_path(docs.sparkSession, "planes")
-    manifest = write_shards(docs, tokenizer, uri, end_id, plane)
+    manifest = write_shards(docs, tokenizer, uri, end_id, plane, memo=memo)
     return read_shards(manifest), manifest
 
 
@@ -309,4 +290,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from plumbline.llm.common import table
 
-    return encode_to_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))[0]
+    return encode_to_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), memo=1_300_000)[0]
