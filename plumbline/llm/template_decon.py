@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Texts and benchmark items become templates word by word: a number becomes #n, a unit after a number #u, a capitalised word
-within a sentence #p, punctuation after a word goes, the rest is lower-cased. Words with such placeholders are slots. Windows of WINDOW template words are hashed and joined. Documents take every stride-th window and items take
-all of theirs; the stride is so small that a document that holds an item whole always hits it.
+within a sentence #p, punctuation after a word goes, the rest is lower-cased. Words with such placeholders are slots. Windows of WINDOW template words are hashed and joined. Documents and items take
+all of theirs, so any WINDOW words in a row that a document shares with an item are a hit, wherever they stand.
 
 A hit proposes an alignment (item at an offset of the document), which is then checked word by word: how many template words
 agree, and whether the slots are consistent, that is, whether each value of the item always has the same value in the
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import sized_broadcast, table, written
 
 WINDOW = 8
-MOST_STRIDE = 6
 COVERAGE = 0.5
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|mile|miles|meter|meters|metre|metres|inch|inches|foot|feet|yard|yards|kilometers|kilograms|grams|pound|pounds|ton|tons|liter|liters|litre|litres|ml|gallon|gallons|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|percent|degrees|mph|hz|watts|volts"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -45,14 +44,14 @@ def words(text: Column) -> Column:
     return F.split(text, SPACES)
 
 
-def windows(tokens: Column, stride: int) -> Column:
-    """Hashes of every stride-th window. The words are bound to a lambda variable, so that they are made once for each text."""
+def windows(tokens: Column) -> Column:
+    """Hashes of every window. The words' hashes are bound to a lambda variable, so that they are made once for each text."""
 
     def of(t: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(t) - WINDOW, F.lit(stride))
-        return F.when(F.size(t) >= WINDOW, F.transform(at, lambda i: F.xxhash64(F.slice(t, i + 1, WINDOW))))
+        at = F.sequence(F.lit(0), F.size(t) - WINDOW)
+        return F.when(F.size(t) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(WINDOW)])))
 
-    return F.transform(F.array(tokens), of)[0]
+    return F.transform(F.array(F.transform(tokens, lambda w: F.xxhash64(w))), of)[0]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -60,14 +59,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     b = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
     b = b.select("item_id", template(F.col("text")).alias("bt"), words(F.col("text")).alias("bw"))
     b = written(b.withColumn("item_words", F.size("bt")).filter(F.col("item_words") >= WINDOW), "items")
-    least = b.agg(F.min("item_words")).first()[0] or WINDOW
-    stride = max(1, min(MOST_STRIDE, least - WINDOW + 1))
-    keys = b.select("item_id", F.posexplode(windows(F.col("bt"), 1)).alias("at", "h"))
+    keys = b.select("item_id", F.posexplode(windows(F.col("bt"))).alias("at", "h"))
     keys = written(keys.groupBy("h", "item_id").agg(F.collect_set("at").alias("places")), "item-windows")
     d = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    w = d.select("doc_id", windows(template(F.col("text")), stride).alias("w")).select("doc_id", F.posexplode("w").alias("i", "h"))
+    w = d.select("doc_id", windows(template(F.col("text"))).alias("w")).select("doc_id", F.posexplode("w").alias("i", "h"))
     hits = w.join(sized_broadcast(keys), "h").select("doc_id", "item_id", F.explode("places").alias("place"), "i")
-    hits = written(hits.select("doc_id", "item_id", (F.col("i") * stride - F.col("place")).alias("shift")).distinct(), "hits")
+    hits = written(hits.select("doc_id", "item_id", (F.col("i") - F.col("place")).alias("shift")).distinct(), "hits")
 
     found = hits.select("doc_id").distinct()
     texts = d.join(sized_broadcast(written(found, "hit-docs")), "doc_id", "left_semi").distinct()

@@ -48,3 +48,16 @@ def test_native_plan(spark):
     docs, bench = frame(spark, [(1, ITEM)]), items(spark, [(10, ITEM)])
     plan = td.leaks(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_partial_copies_at_every_offset(spark):
+    bench = [(n, " ".join(f"item{chr(97 + n)}word{chr(97 + k)}" for k in range(n))) for n in (15, 16, 19, 22, 25)]
+    rows, want = [], set()
+    for item, text in bench:
+        w = text.split()
+        for part in (w[: -(-len(w) // 2)], ["altered" if k % 10 == 9 else x for k, x in enumerate(w)]):
+            for offset in range(12):
+                want.add((len(rows), item))
+                rows.append((len(rows), " ".join(["before"] * offset + part + ["after"] * 5)))
+    got = {(r.doc_id, r.item_id) for r in td.leaks(frame(spark, rows), items(spark, bench)).collect()}
+    assert got == want
