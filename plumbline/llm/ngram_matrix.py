@@ -91,20 +91,17 @@ def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _batch_name(names: bytes) -> int:
-    """A batch is known by its documents; a task that runs again gives the same name."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(names, digest_size=8).digest(), "little", signed=True)
-
-
 def _cells(blocks: int):
-    """Row batch -> a row for each column block: columns of the batch and, where a single row has one, which."""
+    """Row batch -> a row for each column block: columns of the batch and, where a single row has one, which.
+
+    A batch is known by its partition and its place there: equal batches stay apart, and a task that runs again over the
+    same rows gives the same names."""
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
-        for ids, sets in _row_batches(batches):
+        for name, (ids, sets) in enumerate(_row_batches(batches), TaskContext.get().partitionId() << 32):
             sizes = np.array([len(s) for s in sets], dtype=np.int32)
             keys = np.concatenate(sets)
             keys >>= np.uint64(32)
@@ -121,7 +118,6 @@ def _cells(blocks: int):
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             names = _pack(known.astype(np.uint8), np.diff(docs, prepend=0), sizes)
-            name = _batch_name(names)
             data = [_pack(np.diff(column[i:j], prepend=np.uint32(0)), row[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pd.DataFrame({"batch": name, "block": np.arange(blocks), "n": np.diff(cuts), "rows": len(sets), "names": [names if b == 0 else b"" for b in range(blocks)], "data": data})
         trim()

@@ -84,3 +84,10 @@ def test_components_of_a_random_graph(spark):
             label[u] = label[v] = m
     got = {r.u: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: m for v, m in label.items() if v != m}
+
+
+def test_equal_row_batches(spark):
+    # four partitions of a row each: one document twice, and no document twice
+    df = spark.range(0, 4, 1, 4).selectExpr("if(id < 2, 1L, null) AS doc_id", "if(id < 2, 'one two three four five six seven', '') AS text")
+    assert df.rdd.getNumPartitions() == 4 and result(df) == [(-1, 0, -1), (-1, 0, -1), (1, 3, 1), (1, 3, 1)]
+    assert [r.doc_id for r in nm.one_of_each(df).collect() if r.doc_id is not None] == [1]
