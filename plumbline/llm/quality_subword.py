@@ -18,6 +18,7 @@ several times counts once (its smallest value); when labels hold one class only,
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,17 +154,19 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most so many rows and bytes, in the order of a hash of doc_id."""
+    """Whole texts and labels of at most so many rows and bytes, in the order of a hash of doc_id; a doc_id whose texts don't fit is passed over."""
     once = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"))  # texts stay out of the join
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
     first = sized.join(once, "doc_id").select("doc_id", "_n", "_y", order.alias("_h")).orderBy("_h", "doc_id", "_n").limit(rows).collect()
     chosen, total = {}, 0
-    for r in first:
-        total += r["_n"]
-        if total > size:
-            break
-        chosen[r["doc_id"]] = int(r["_y"] > 0)
+    for i, same in itertools.groupby(first, lambda r: r["doc_id"]):
+        same = list(same)
+        n = sum(r["_n"] for r in same)
+        if total + n > size:
+            continue
+        total += n
+        chosen[i] = int(same[0]["_y"] > 0)
     if not chosen:
         return [], []
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # rows of them at most

@@ -53,3 +53,10 @@ def test_query_rules(spark):
     kept = qs.accepted(docs, lab)
     assert kept.columns == docs.columns
     assert qs.fit(docs.limit(0), lab).bias == 0.0 and qs.fit(docs, lab.filter("quality = 1")).bias > 5
+
+
+def test_sample_passes_over_a_long_text(spark):
+    ids = [r.id for r in spark.range(20).orderBy(F.xxhash64(F.lit(7), F.col("id"))).collect()]
+    docs = spark.createDataFrame([(i, "x" * (1000 if k in (0, 7) else 10)) for k, i in enumerate(ids)] + [(ids[9], "y" * 1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    assert qs.sample(docs, labels, size=500) == (["x" * 10] * 17, [1] * 17)  # ids[9] has a long text too
