@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_CHUNK = 1 << 18  # bytes of text that one numpy pass handles; a longer text makes its own pass
@@ -61,6 +62,25 @@ def trim() -> None:
         pass
 
 
+_forget: list[Callable[[], object]] = []  # how to drop what operators keep in a Python worker between tasks
+_at_work = ""
+
+
+def held_by_worker(forget: Callable[[], object]) -> None:
+    """Register how to drop something that an operator keeps in a Python worker for its next task there."""
+    _forget.append(forget)
+
+
+def begin(operator: str) -> None:
+    """Called first in a task's Python function: workers outlive tasks, so what another operator left in this one is dropped."""
+    global _at_work
+    if _at_work not in ("", operator):
+        for forget in _forget:
+            forget()
+        trim()
+    _at_work = operator
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and every later use is a plain scan."""
     spark = df.sparkSession
@@ -75,9 +95,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df (a cheap plan, such as a written table of keys) marked for broadcast if it has few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def text_key(text: Column) -> Column:
+    """Stands in for a missing doc_id: 62 bits of the text's hash over the range that ids take, so equal texts have equal keys and real ids come first."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+
+
+def sized_broadcast(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """df (a cheap plan, such as a written table of keys) marked for broadcast if it has few rows and bytes, else as it is."""
+    wide = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c)}
+    of = lambda c, kind: wide[kind](c) if kind in wide else (32 if "string" in kind else 12) * F.size(c) if kind.startswith("array") else F.lit(8)
+    each = sum((F.coalesce(of(f"`{c}`", kind), F.lit(0)) + 8 for c, kind in df.dtypes), F.lit(16))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 # --- byte kernels -------------------------------------------------------------------------------------------------

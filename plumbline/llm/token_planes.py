@@ -9,27 +9,32 @@ transposed into planes, one plane for each bit ("bit") or byte ("byte") of a wor
 zstandard on its own. The index stores offset and length of each plane of each block, so a reader seeks to what it needs.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first; rows that repeat a doc_id are each
-written, in the order of a hash of their text; an empty table gives no shard and no rows; other columns are ignored.
-Lost executors: a shard is written under a name of its own attempt and renamed to the shard's name, so that a repeated
-task replaces it by the same bytes.
+written, in the order of a hash of their text; very long texts are encoded one at a time; an empty table gives no shard and no
+rows; other columns, of whatever name, are ignored.
+Lost executors: a shard's file has a name of its own attempt, and the manifest, which Spark commits, names the files of the
+attempts that count; what a lost attempt leaves is never read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_path, trim, written
+from plumbline.llm.common import begin, fresh_path, held_by_worker, trim, written
 
 MAGIC = b"PLPLANE1"
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 400_000
+MEMO_UNITS = 200_000
+ENCODE_BYTES = 4 << 20  # of text that are encoded at once, or one text
 SHARD_BYTES = 32 << 20
 
 
@@ -121,23 +126,38 @@ class Shard:
 
 # --- tokenising -----------------------------------------------------------------------------------------------------
 
+_LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u0530-\U0010ffff]"  # of scripts whose letters are long settled
+_MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII marks but the apostrophe, which may begin a piece of its own kind
+_PIECE = re.compile(rf"\n+(?!\S)|\n| ?{_LETTER}+| ?[0-9]+| ?{_MARK}+")
+_PLAIN = re.compile(rf"(?:{_LETTER}|{_MARK}|[0-9\n])+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SETTLED = r"^[\x{00}-\x{52F}]*$"
+LEARN = 200  # pieces in one call of the library
+GATHER = 1 << 18  # units that are gathered at once
+
 
 class MemoEncoder:
-    """The ids that tokenizers gives for whole texts, with repeated units looked up.
+    """The ids that tokenizers gives for whole texts, with repeated pieces looked up.
+
+    The byte-level pre-tokeniser ends a piece before a space that a visible character follows, so the units between such
+    spaces can be encoded by themselves. A batch's units are numbered by a hash table in Arrow, each distinct one is looked up once, and the
+    texts' ids are gathered by numpy. A unit of letters, digits, ASCII marks and line ends is itself a row of the pre-tokeniser's
+    pieces, which recur more often than units do; only pieces are kept. Texts with runs of spaces, or with a space before other
+    white space or at their end, are encoded whole.
 
-    The byte-level pre-tokeniser always ends a piece before a space that a visible character follows, so the units
-    between such spaces can be encoded by themselves. Texts with runs of spaces, or a space at their end, are encoded whole.
+    The memo has two generations of at most `units` pieces and a batch's (about 200 bytes each); what has not been met since the
+    last change of generation is forgotten.
     """
 
     def __init__(self, path: str, end_id: int, units: int = MEMO_UNITS):
         from tokenizers import Tokenizer
 
-        self.units = units  # of the memo's young generation; all in all it holds twice as many, of about 250 bytes
-
+        self.units = units
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a special token's string within a text is ordinary text
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end, self.memo, self.old = np.array([end_id], f"<u{self.width}").tobytes(), {}, {}
+        self.kind = f"<u{self.width}"
+        self.end, self.memo, self.old = end_id, {" ": {}, "\n": {}}, {" ": {}, "\n": {}}
         pre = self.tok.pre_tokenizer
         self.split = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
         vocab = self.tok.get_vocab()
@@ -145,51 +165,124 @@ class MemoEncoder:
         self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a space. A hundred are encoded as one text and the ids cut at its spaces, for a word holds none."""
+    def _learn(self, pieces: list[str], mark: str) -> list[bytes]:
+        """Ids of pieces without `mark` (a space or a line end), after a space or after none. Many are encoded as one text, whose ids are cut at the marks."""
         out = []
-        for k in range(0, len(words), 100):
-            group = words[k : k + 100]
-            text = " " + " ".join(group)
+        for k in range(0, len(pieces), LEARN):
+            text = mark + mark.join(pieces[k : k + LEARN])
             raw = self._ids([text])[0]
-            at = np.cumsum(self.n_bytes[np.frombuffer(raw, f"<u{self.width}")])
+            at = np.cumsum(self.n_bytes[np.frombuffer(raw, self.kind)])
             data = np.frombuffer(text.encode(), np.uint8)
-            ends = np.append(np.flatnonzero(data == 0x20)[1:], len(data))
-            cut = ((np.searchsorted(at, ends) + 1) * self.width).tolist()
-            out += [raw[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)]
+            marks = np.flatnonzero(data == ord(mark))
+            if mark == " ":
+                ends = (np.searchsorted(at, np.append(marks[1:], len(data))) + 1) * self.width
+                starts = np.concatenate(([0], ends[:-1]))
+            else:  # the line end is a token of its own
+                starts = (np.searchsorted(at, marks + 1) + 1) * self.width
+                ends = np.append(starts[1:] - self.width, len(raw))
+            out += [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id; a few hundred texts at once are looked up together."""
-        parted = [t.split(" ") if t and self.split and "  " not in t and not t[-1].isspace() else None for t in texts]
-        whole = iter(self._ids([t for t, p in zip(texts, parted, strict=True) if p is None]))
-        heads = iter(self._ids([p[0] for p in parted if p is not None]))
-        rest = [None if p is None else p[1:] for p in parted]
-        words = set().union(*[p for p in rest if p])
-        if len(self.memo) > self.units:  # words not met since the last change of generation are forgotten
-            self.memo, self.old = {}, self.memo
-        new = words.difference(self.memo)
-        if new:
-            known = new.intersection(self.old)
-            self.memo.update((w, self.old[w]) for w in known)
-            new = list(new.difference(known))
-            self.memo.update(zip(new, self._learn(new), strict=True))
-        get = self.memo.__getitem__
-        return [(next(whole) if p is None else next(heads) + b"".join(map(get, p))) + self.end for p in rest]
-
-
-
-_encoders: dict[tuple[str, int], MemoEncoder] = {}
+    def _look_up(self, wanted: set[str], mark: str) -> Callable[[str], bytes]:
+        """Memo of the pieces after a space (mark " ") or after none, with all that are wanted."""
+        memo, old = self.memo[mark], self.old[mark]
+        if len(memo) > self.units:
+            self.memo[mark], self.old[mark] = memo, old = {}, memo
+        new = wanted.difference(memo)
+        if old:
+            known = new.intersection(old)
+            memo.update((p, old[p]) for p in known)
+            new.difference_update(known)
+        ends = [p for p in new if p[0] == "\n"] if mark != " " else []
+        memo.update(zip(ends, self._ids(ends), strict=True))
+        rest = list(new.difference(ends))
+        memo.update(zip(rest, self._learn(rest, mark), strict=True))
+        return memo.__getitem__
+
+    def _units(self, units) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Distinct units that follow a space, an Arrow array -> their order here, the ids of their pieces in that order, number of pieces of each."""
+        import pyarrow.compute as pc
+
+        strings = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        alone = flag(pc.utf8_is_alpha(units))
+        stem = pc.utf8_rtrim(units, characters=_MARKS)
+        marked = ~alone & flag(pc.utf8_is_alpha(stem)) & flag(pc.match_substring_regex(units, _SETTLED))
+        order = [np.flatnonzero(alone), np.flatnonzero(marked), np.flatnonzero(~alone & ~marked)]
+        words, stems = strings(units.take(order[0])), strings(stem.take(order[1]))
+        marks = [u[len(w) :] for u, w in zip(strings(units.take(order[1])), stems, strict=True)]
+        odd = [_PIECE.findall(" " + u) if _PLAIN.fullmatch(u) else [" " + u] for u in strings(units.take(order[2]))]
+        flat = [p for row in odd for p in row]
+        spaced = self._look_up({*words, *stems, *(p[1:] for p in flat if p[0] == " ")}, " ")
+        bare = self._look_up({*marks, *(p for p in flat if p[0] != " ")}, "\n")
+        values = list(map(spaced, words))
+        values += [x for pair in zip(map(spaced, stems), map(bare, marks), strict=True) for x in pair]
+        values += [spaced(p[1:]) if p[0] == " " else bare(p) for p in flat]
+        n = np.concatenate([np.ones(len(words), np.int64), np.full(len(stems), 2), np.array([len(r) for r in odd], np.int64)])
+        return np.concatenate(order), values, n
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Arrow strings (null: empty) -> (ids of all texts, each with the end id after it, end of each text's ids)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        parts = pc.split_pattern(texts, " ")
+        codes = parts.flatten().dictionary_encode()
+        units, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
+        count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(count) - count
+        # a text without units that are empty or begin with white space (but for its first) is taken apart
+        inner = np.ones(len(code), dtype=bool)
+        inner[first] = False
+        lead = pc.utf8_slice_codeunits(units, 0, 1)
+        odd = pc.or_(pc.equal(lead, ""), pc.utf8_is_space(lead)).to_numpy(zero_copy_only=False)
+        whole = np.full(len(count), not self.split)
+        hits = np.flatnonzero(inner & odd[code]) if odd.any() else np.zeros(0, np.int64)
+        whole[np.searchsorted(first, hits, side="right") - 1] = True
+        inner &= ~np.repeat(whole, count)
+        used = np.zeros(len(units), dtype=bool)
+        used[code[inner]] = True
+        at = np.flatnonzero(used)
+        order, values, pieces = self._units(units.take(pa.array(at)))
+        place = np.zeros(len(units), dtype=np.int64)
+        place[at[order]] = np.arange(len(at))
+        heads, rest = np.flatnonzero(~whole), np.flatnonzero(whole)
+        head, where = np.unique(code[first[heads]], return_inverse=True)
+        values += [np.array([self.end], self.kind).tobytes(), *self._ids(units.take(pa.array(head)).to_pylist()), *self._ids(texts.take(pa.array(rest)).to_pylist())]
+        # every text as rows of ids: its head, its units, the end; or whole, the end
+        row = np.where(inner, place[code], -1)
+        row[first[heads]] = len(at) + 1 + where
+        row[first[rest]] = len(at) + 1 + len(head) + np.arange(len(rest))
+        row = np.insert(row, first + count, len(at))
+        last = np.cumsum(count + 1) - 1
+        kept = row >= 0
+        last, row = np.cumsum(kept)[last], row[kept]
+        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values))) // self.width
+        ends = np.concatenate(([0], ends[np.cumsum(np.concatenate((pieces, np.ones(len(values) - int(pieces.sum()), np.int64)))) - 1]))
+        start, long = ends[:-1], np.diff(ends)[row]
+        to = np.concatenate(([0], np.cumsum(long)))
+        flat, out = np.frombuffer(b"".join(values), self.kind), np.empty(to[-1], self.kind)
+        for k in range(0, len(row), GATHER):
+            part = slice(k, k + GATHER)
+            a, b = to[k], to[min(k + GATHER, len(row))]
+            out[a:b] = flat[np.repeat(start[row[part]] - to[:-1][part], long[part]) + np.arange(a, b)]
+        return out, to[last]
+
+
+_encoders: dict[tuple[str, int, int], MemoEncoder] = {}
+held_by_worker(_encoders.clear)
 
 
 def _encoder(tokenizer: str, end_id: int, units: int = MEMO_UNITS) -> MemoEncoder:
-    """One encoder for each Python worker, so that its memo serves the worker's later tasks too."""
+    """One encoder for each Python worker, so that its memo serves the worker's later tasks of this operator; other operators' tasks drop it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (tokenizer, end_id) not in _encoders:
-        _encoders[tokenizer, end_id] = MemoEncoder(tokenizer, end_id, units)
-    return _encoders[tokenizer, end_id]
+    if (tokenizer, end_id, units) not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer, end_id, units] = MemoEncoder(tokenizer, end_id, units)
+    return _encoders[tokenizer, end_id, units]
 
 
 # --- shards ---------------------------------------------------------------------------------------------------------
@@ -208,8 +301,9 @@ def _store(uri: str):
 def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, plane: str = "byte", shards: int | None = None, memo: int = MEMO_UNITS) -> DataFrame:
     """Write the ids of docs(doc_id, text) in ascending doc_id order under uri. Returns the manifest: shard, path, n_docs, n_ids, start.
 
-    The range partitioning samples the keys, so the ranges are even without any count. A partition with more than
-    SHARD_BYTES of ids becomes several files.
+    The range partitioning samples the keys, so the ranges are even without any count; rows that agree in doc_id and text may lie in
+    several ranges. A partition with more than SHARD_BYTES of ids becomes several files. The manifest is kept under uri too and names the files
+    that count: a task that runs again writes files of its own, so no store needs an atomic rename.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -218,6 +312,7 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, pla
         import pyarrow as pa
         from pyspark import TaskContext
 
+        begin("token planes")
         part, seq, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer, end_id, memo)
         store, root = _store(uri)
         store.create_dir(root, recursive=True)
@@ -225,23 +320,29 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, pla
 
         def flush():
             nonlocal seq, held, docs_, lengths, size
-            name = f"shard-{part:06d}-{seq:04d}.planes"
-            trial = f"{root}/{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(trial) as out:
+            name = f"shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.planes"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(pack_shard(docs_, lengths, b"".join(held), enc.width, plane))
-            store.move(trial, f"{root}/{name}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [f"{uri}/{name}"], "n_docs": [len(docs_)], "n_ids": [sum(lengths)]})
             seq, held, docs_, lengths, size = seq + 1, [], [], [], 0
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                few = batch.slice(at, 1024)
-                for doc, ids in zip(few.column(0).to_pylist(), enc.encode([t or "" for t in few.column(1).to_pylist()]), strict=True):
-                    held.append(ids)
-                    docs_.append(doc)
-                    lengths.append(len(ids) // enc.width)
-                    size += len(ids)
+            ends = np.cumsum(pc_lengths(batch.column(1)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENCODE_BYTES, side="right")))
+                few = batch.slice(at, to - at)
+                at = to
+                ids, stop = enc.encode(few.column(1))
+                names, done = few.column(0).to_pylist(), 0
+                while done < len(names):  # as many documents as the shard takes
+                    past = int(stop[done - 1]) if done else 0
+                    k = min(len(names), done + 1 + int(np.searchsorted(stop[done:], past + (SHARD_BYTES - size) // enc.width)))
+                    held.append(ids[past : stop[k - 1]].tobytes())
+                    docs_ += names[done:k]
+                    lengths += np.diff(stop[done:k], prepend=past).tolist()
+                    size, done = size + len(held[-1]), k
                     if size >= SHARD_BYTES:
                         yield flush()
         if docs_:
@@ -249,15 +350,27 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int = 2, pla
         trim()
 
     # rows of the same doc_id differ in text, which is part of the order, or are the same
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = dealt.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     made = written(dealt.mapInArrow(run, "part int, seq int, name string, n_docs long, n_ids long"), "shards")
-    # one row for each file: their number is bounded by total bytes / SHARD_BYTES + partitions
-    rows, start, out = sorted(made.collect(), key=lambda r: (r.part, r.seq)), 0, []
-    for k, r in enumerate(rows):
-        out.append((k, r.name, r.n_docs, r.n_ids, start))
-        start += r.n_ids
-    return spark.createDataFrame(out, "shard int, path string, n_docs long, n_ids long, start long")
+    per = made.groupBy("part").agg(F.count("*").alias("files"), F.sum("n_ids").alias("ids"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    per = per.select("part", offset("files").alias("files"), offset("ids").alias("ids"))
+    own = W.partitionBy("part").orderBy("seq")
+    earlier = F.coalesce(F.sum("n_ids").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    manifest = made.withColumn("earlier", earlier).join(per, "part")
+    manifest = manifest.select((F.col("files") + F.col("seq")).cast("int").alias("shard"), F.col("name").alias("path"), "n_docs", "n_ids", (F.col("ids") + F.col("earlier")).alias("start"))
+    manifest.write.mode("overwrite").parquet(f"{uri}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{uri}/manifest")
+
+
+def pc_lengths(texts) -> np.ndarray:
+    """Bytes of each Arrow string; a null has none."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -266,6 +379,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        begin("token planes")
         for pdf in batches:
             for path, start in zip(pdf["path"], pdf["start"], strict=True):
                 store, name = _store(path)
@@ -290,4 +404,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from plumbline.llm.common import table
 
-    return encode_to_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), memo=1_300_000)[0]
+    return encode_to_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))[0]
