@@ -2,7 +2,8 @@
 
 Each of ORDERS orderings projects the vectors to DIMS dimensions by its own random rotation, turns the coordinates into
 quantiles, shifts them by its own offset and takes the Hilbert key of BITS bits a dimension. A key range (block) of an
-ordering is a task's unit: blocks have about BLOCK vectors. A query goes to its own block and the neighbouring ones that make
+ordering is a task's unit: blocks have about BLOCK vectors, and a block of more than twice that, as in tables beyond what the
+sample can cut, is dealt to several tasks by a hash, each of which sees all of the block's queries. A query goes to its own block and the neighbouring ones that make
 up REACH of the ordering, is multiplied with their vectors, and the best of every block are merged over blocks and
 orderings and ranked by the exact cosine in double precision of the original vectors.
 
@@ -16,7 +17,7 @@ the shuffle too.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part, nor do rows without vec_id;
 vectors of different lengths are searched apart; rows that repeat id and vector count once; ties go to the smaller vec_id; a
-query with fewer than K candidates returns them all; an empty table gives no rows.
+query with fewer than K candidates returns them all; other columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import begin, table, written
 
 ORDERS, DIMS, BITS = 16, 8, 6
 BLOCK, MOST_BLOCKS = 2048, 2048
@@ -66,6 +67,7 @@ class Orderings:
         rng = np.random.default_rng([seed, dim])
         unit = _unit(sample)
         self.blocks = max(1, min(-(-n // BLOCK), MOST_BLOCKS, max(1, len(sample) // 4)))
+        self.salts = max(1, -(-n // (2 * BLOCK * self.blocks)))  # of a block that is larger than a task should hold
         self.turns = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :DIMS] for _ in range(orders)]
         self.shifts = rng.random((orders, min(dim, DIMS)))
         at = np.linspace(0, 1, 258)[1:-1]
@@ -99,7 +101,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosine of pairs of rows in double precision; components are added in their order, so equal pairs get equal results."""
+    """Cosine of pairs of rows in double precision; components are added in their order, so equal pairs get equal results.
+
+    Rows are scaled by powers of two first, which changes no digit but keeps squares of huge and tiny components in range."""
+    x, y = (a * np.exp2(-np.frexp(np.abs(a).max(axis=1, initial=0))[1].astype(float))[:, None] for a in (x, y))
     dot, xx, yy = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
     for d in range(x.shape[1]):
         dot, xx, yy = dot + x[:, d] * y[:, d], xx + x[:, d] * x[:, d], yy + y[:, d] * y[:, d]
@@ -150,6 +155,7 @@ def _search_one(own: DataFrame, asked: DataFrame, plan: Orderings, orders: int,
         """Every vector to its block of every ordering; a query also to the other blocks of its window."""
         import pandas as pd
 
+        begin("curve search")
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -157,16 +163,17 @@ def _search_one(own: DataFrame, asked: DataFrame, plan: Orderings, orders: int,
             unit, raw = _unit(x), [r.tobytes() for r in x]
             for o in range(orders):
                 block = plan.block(unit, o)
-                yield pd.DataFrame({"o": o, "block": block, "kind": 0, "v": pdf["v"], "least": pdf["least"], "data": raw})
-                at = [(i, b) for i in np.flatnonzero(pdf["asked"].to_numpy()) for b in plan.window(int(block[i]), reach)]
+                yield pd.DataFrame({"o": o, "block": block, "salt": pdf["v"].to_numpy() % plan.salts, "kind": 0, "v": pdf["v"], "least": pdf["least"], "data": raw})
+                at = [(i, b, salt) for i in np.flatnonzero(pdf["asked"].to_numpy()) for b in plan.window(int(block[i]), reach) for salt in range(plan.salts)]
                 if at:
-                    rows, blocks = zip(*at, strict=True)
+                    rows, blocks, salts = zip(*at, strict=True)
                     some = pdf.iloc[list(rows)]
-                    yield pd.DataFrame({"o": o, "block": blocks, "kind": 1, "v": some["v"].to_numpy(), "least": some["least"].to_numpy(), "data": [raw[i] for i in rows]})
+                    yield pd.DataFrame({"o": o, "block": blocks, "salt": salts, "kind": 1, "v": some["v"].to_numpy(), "least": some["least"].to_numpy(), "data": [raw[i] for i in rows]})
 
     def multiply(pdf):
         import pandas as pd
 
+        begin("curve search")
         there, here = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         empty = pd.DataFrame({"q": [], "v": [], "least": [], "score": []})
         if not len(there) or not len(here):
@@ -187,8 +194,8 @@ def _search_one(own: DataFrame, asked: DataFrame, plan: Orderings, orders: int,
         return pd.concat(out) if out else empty
 
     vectors = own.select("v", "embedding", F.col("ids")[0].alias("least")).join(asked.withColumn("asked", F.lit(True)), "v", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    dealt = vectors.mapInPandas(deal, "o int, block int, kind int, v long, least long, data binary")
-    return dealt.groupBy("o", "block").applyInPandas(multiply, "q long, v long, least long, score double")
+    dealt = vectors.mapInPandas(deal, "o int, block int, salt long, kind int, v long, least long, data binary")
+    return dealt.groupBy("o", "block", "salt").applyInPandas(multiply, "q long, v long, least long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

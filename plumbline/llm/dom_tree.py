@@ -10,7 +10,9 @@ a leaf is content if its block is a line of the text, and an element if it holds
 No page labels come with the driver's tables; labelled_pages() writes pages of many layouts whose text is known.
 
 Defined cases: null, empty or tag-free html gives the text that there is (empty if none); unclosed, misnested and cut tags are
-repaired as browsers do in the common cases; very long pages are read whole; repeated rows are each extracted.
+repaired as browsers do in the common cases, in time that grows with the page; very long pages are read whole; a node whose marginal is
+a half exactly is content; repeated rows are each extracted; an empty table gives no rows. extract() keeps other columns, a column
+`text` of the pages gives way to its own; the query reads page_id, url and html alone.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import begin, table
 
 # fixed values: HTML's element classes
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,10 +89,20 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack = [("html", 0)]  # open block elements
-        pieces, linked, in_link, at, hidden = [], 0, 0, 0, 0
+        opened: dict[str, int] = {}  # how many of each are open, so that an end tag without its element costs nothing
+        pieces, linked, in_link, at, hidden, under = [], 0, 0, 0, 0, 0  # under: the stack's height where hiding began
         name_of = {t: k for k, t in enumerate(TAGS)}
         n = len(html)
 
+        def close_from(k):
+            """The elements from place k of the stack end, and with them what hides within them."""
+            nonlocal hidden
+            for name, _ in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+            if len(stack) < under:
+                hidden = 0
+
         def flush():
             nonlocal pieces, linked
             if pieces:
@@ -118,6 +130,7 @@ class Page:
                 continue
             if tag in HIDDEN:
                 if not attrs.endswith("/"):
+                    under = under if hidden else len(stack)
                     hidden = max(0, hidden + (-1 if close else 1))
                 continue
             if hidden and tag in ("body", "article", "main", "div", "p"):
@@ -133,24 +146,22 @@ class Page:
             flush()
             in_link = 0
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
                 continue
             if tag == "html":
                 continue
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k][0] in ("div", "td", "th", "li", "blockquote", "article", "section"):
                         break
-            if tag in SELF_END:
+            if tag in SELF_END and any(map(opened.get, SELF_END[tag])):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in SELF_END[tag]:
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k][0] in HOLDS.get(tag, ()):
                         break
@@ -161,6 +172,7 @@ class Page:
             self.linked.append(0)
             if not attrs.endswith("/"):
                 stack.append((tag, len(self.parent) - 1))
+                opened[tag] = opened.get(tag, 0) + 1
         flush()
 
 
@@ -452,6 +464,7 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
     import pandas as pd
 
     def run(series):
+        begin("dom tree")
         m = Model(unary, edge)
         for s in series:
             out, held, size = [], [], 0

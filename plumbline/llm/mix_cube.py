@@ -13,7 +13,8 @@ among its smallest as units are settled in descending size.
 
 Defined cases: a null text has size 0; sources rank by code point, null last; rows that agree in doc_id, source and size
 are one unit and share one decision; sources without words have target 0; an empty table gives no rows. The same rows
-always give the same result: the random numbers come from hashes of source, group and level.
+always give the same result: the random numbers come from hashes of source, group and level. Very long texts are counted whole; other
+columns, of whatever name, are kept by apply_mix() and ignored by mix().
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sized_broadcast, table, written
+from plumbline.llm.common import begin, sized_broadcast, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 4096
@@ -34,7 +35,7 @@ EPS = 1e-9
 
 
 def fly(pi: np.ndarray, count: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight phase under sum(count * s) and sum(size * s): few entries of the result, the smallest, lie between 0 and 1.
+    """Flight phase under sum(count * s) and sum(size * s): few entries of the result, mostly the smallest, lie between 0 and 1.
 
     Units are settled from the largest down. A step moves one unit's probability and spreads the compensation over all
     that are still open, in proportion to pi * (1 - pi), by the projection that keeps both sums; it ends at the first wall.
@@ -51,8 +52,10 @@ def fly(pi: np.ndarray, count: np.ndarray, size: np.ndarray, rng: np.random.Gene
         gram[1, 0] = gram[0, 1]
         lead = np.array([c[0], z[0]])
         mult = np.linalg.lstsq(gram, lead, rcond=1e-12)[0]
-        if np.abs(gram @ mult - lead).max() > 1e-7:
-            break  # the open units cannot make up for this one
+        if np.abs(gram @ mult - lead).max() > 1e-7:  # the others cannot make up for this one: it stays open, they fly on
+            pi[open_[0]] = p[0]
+            open_, p, c, z = open_[1:], p[1:], c[1:], z[1:]
+            continue
         u = np.concatenate(([1.0], -(mult[0] * wc + mult[1] * wz)))
         with np.errstate(divide="ignore", invalid="ignore"):
             to_one, to_zero = (1 - p) / u, -p / u
@@ -106,6 +109,7 @@ def _flown(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     """One level of the tree over the undecided units; at the last level each source is a single group."""
 
     def run(pdf):
+        begin("mix")
         pdf = pdf.sort_values(["doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
         source, group = pdf["source"].iloc[0], int(pdf["group"].iloc[0])
         name = b"" if source is None or source != source else b"s" + source.encode()
@@ -122,16 +126,17 @@ def sample_copies(sized: DataFrame, goal: DataFrame, seed: int = 42) -> DataFram
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     g = goal.select(F.col("source").alias("of"), "source_size", "target", F.floor(ratio).cast("int").alias("sure"), (ratio - F.floor(ratio)).alias("pi"))
-    units = units.join(g, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    units = units.join(sized_broadcast(g), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    decided, level = None, 0
+    decided, level, before = None, 0, None
     open_ = (F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)
     while True:
         count = units.filter(open_).groupBy("source").agg(F.count("*").alias("m"))
-        groups = count.select(F.col("source").alias("of"), F.ceil(F.col("m") / GROUP).alias("groups"))
-        most = groups.agg(F.max("groups")).first()[0] or 1
-        last = most <= 1
-        flying = units.filter(open_).join(groups, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        groups = written(count.select(F.col("source").alias("of"), F.ceil(F.col("m") / GROUP).alias("groups")), f"groups-{level}")
+        most, left = groups.agg(F.max("groups"), F.sum("groups")).first()
+        # groups that no longer settle their units are landed as they are, so the tree always ends
+        last, before = (most or 1) <= 1 or (before is not None and left > before / 2), left or 0
+        flying = units.filter(open_).join(sized_broadcast(groups), F.col("source").eqNullSafe(F.col("of"))).drop("of")
         flying = flying.withColumn("group", F.pmod(F.xxhash64(F.lit(level), h), F.col("groups"))).drop("groups")
         flown = _flown(flying, level, last, seed).drop("group")
         stay = units.filter(~open_)

@@ -22,7 +22,9 @@ column are ordinary joins (that Spark splits when skewed), and a leader's rows a
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component; texts below five words have
 one shingle; rows that repeat a doc_id are each returned, as one vertex that has the links of all of them; a row without
-doc_id has component_id null; an empty table gives no rows.
+doc_id has component_id null in classes() and is judged by its text in one_of_each(); of links that tie for a class the least doc_id names
+it; very long texts take part whole, each a row batch of its own; other columns, of whatever name, are ignored by classes() and kept by
+one_of_each(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, shingle_sets, sized_broadcast, table, text_buffers, trim, written
+from plumbline.llm.common import begin, mix64, shingle_sets, sized_broadcast, table, text_buffers, text_key, trim, written
 from plumbline.llm.components import components
 
 SHINGLE = 5
@@ -101,6 +103,7 @@ def _cells(blocks: int):
         import pandas as pd
         from pyspark import TaskContext
 
+        begin("n-gram matrix")
         for name, (ids, sets) in enumerate(_row_batches(batches), TaskContext.get().partitionId() << 32):
             sizes = np.array([len(s) for s in sets], dtype=np.int32)
             keys = np.concatenate(sets)
@@ -191,6 +194,7 @@ def _set_rows(batches):
     """(doc_id, text) -> doc_id, rid, n, data: the set's hashes and its 128-bit name."""
     import pandas as pd
 
+    begin("n-gram matrix")
     for ids, sets in _row_batches(batches):
         names = []
         for s in sets:
@@ -389,14 +393,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class the document whose doc_id names it; rows that repeat its doc_id leave one, the least by text. Rows without doc_id stay."""
-    c = written(classes(docs), "class-rows")
-    lost = sized_broadcast(written(c.filter("component_id != doc_id").select("doc_id").distinct(), "lost"))
-    again = sized_broadcast(written(c.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "again"))
-    single = docs.join(lost, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
-    twice = docs.join(again, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    twice = twice.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64(F.to_json("row")))).alias("row")).select("row.*")
-    return single.select(*docs.columns).unionByName(twice)
+    """Of each class the document whose doc_id names it; rows that repeat its doc_id leave one, the least by text. A row without doc_id goes
+    by a hash of its text, beyond the range of ids, and so gives way to a copy that has one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), text_key(F.col("text")))
+    whole = docs.select(key.alias("key"), F.col("text").alias("body"), F.struct(*docs.columns).alias("row"))
+    c = written(classes(whole.select(F.col("key").alias("doc_id"), F.col("body").alias("text"))), "class-rows").withColumnRenamed("doc_id", "key")
+    lost = sized_broadcast(written(c.filter("component_id != key").select("key").distinct(), "lost"))
+    again = sized_broadcast(written(c.filter("component_id = key").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "again"))
+    single = whole.join(lost, "key", "left_anti").join(again, "key", "left_anti").select("row")
+    twice = whole.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.struct("body", F.xxhash64(F.to_json("row")))).alias("row")).select("row")
+    return single.unionByName(twice).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, mix64, table, text_buffers, word_hashes
+from plumbline.llm.common import begin, chunks, mix64, table, text_buffers, word_hashes
 
 BUCKETS = 1 << 18
 RELATIONS = 16  # the last rows are kept for relation n-grams
@@ -191,6 +191,7 @@ def scorer(spark: SparkSession, model: Model):
         import pandas as pd
         import pyarrow as pa
 
+        begin("quality")
         m = Model(*shared.value)
         for s in series:
             yield pd.Series(m.scores(pa.array(s, pa.string(), from_pandas=True)))

@@ -7,12 +7,15 @@ numpy on labelled findings decides. labelled_findings() writes such findings; tr
 
 Texts are scanned whole, one by one, so a task's memory is that of its longest text.
 
-Defined cases: null and empty texts have no findings; overlapping candidates are one finding (the earliest, then longest); a document
-with many findings has a row for each; repeated rows are each scanned; an empty table gives no rows.
+Defined cases: null and empty texts have no findings; of overlapping candidates that the forest keeps one is the finding (known formats
+before assigned values before runs, then the earliest, then the longest); a document with many findings has a row for each; a row
+without doc_id is scanned like any other; repeated rows are each scanned; other columns, of whatever name, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -24,12 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import begin, table
 
 # fixed values: public formats of keys
 FORMATS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9a-zA-Z]{16,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?(?P<value>[^\s\"',;<>]{6,})"
-RUN = r"[A-Za-z0-9+/_=.-]{16,}"
+ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?(?P<value>[^\s\"',;<>&]{6,})"
+RUN = r"[A-Za-z0-9+/_.-]{16,}={0,2}"
+ORDER = ("format", "assigned", "run")  # of candidates that overlap, the first kind that the forest keeps is the finding
 _RUN, _FORMAT, _ASSIGNED = re.compile(RUN), re.compile(FORMATS), re.compile(ASSIGNED)
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential")
 KEY_WORDS = set("password passwd pwd secret token key apikey api_key access_key auth authorization bearer credential credentials private client_secret".split())
@@ -47,22 +51,30 @@ CUT = 0.5
 
 
 def candidates(text: str):
-    """Yield (start, end, kind) of what may be a secret, in order, without overlap."""
+    """(start, end, kind) of all that may be a secret. Candidates of different kinds may overlap; each is judged for itself."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0].rstrip(".=-/") if m[0][-1] in ".-/" else m[0]
+        run = m[0].rstrip(".-/")
         if any(c.isdigit() for c in run) and len(run) >= 16:
             found.append((m.start(), m.start() + len(run), "run"))
     if "-----BEGIN" in text or "AKIA" in text or "_" in text or "-" in text or "eyJ" in text or "AIza" in text:
         found += [(m.start(), m.end(), "format") for m in _FORMAT.finditer(text)]
     if _HINT.search(text):
         found += [(*m.span("value"), "assigned") for m in _ASSIGNED.finditer(text)]
-    found.sort(key=lambda f: (f[0], -f[1], f[2]))
-    last = -1
-    for start, end, kind in found:
-        if start >= last:
-            yield start, end, kind
-            last = end
+    return found
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of findings (start, end, kind, ...) those that stand when overlaps are resolved: by ORDER of kinds, then the earliest, then the longest."""
+    out, starts, ends = [], [], []
+    for f in sorted(found, key=lambda f: (ORDER.index(f[2]), f[0], -f[1])):
+        k = bisect.bisect_right(starts, f[0])
+        if (k and ends[k - 1] > f[0]) or (k < len(starts) and starts[k] < f[1]):
+            continue
+        starts.insert(k, f[0])
+        ends.insert(k, f[1])
+        out.append(f)
+    return sorted(out)
 
 
 def _transitions() -> np.ndarray:
@@ -199,9 +211,8 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int,
         text = _filler(rng) + before + value + after + _filler(rng)
         at = text.find(before + value) + len(before)
         for a, b, kind in candidates(text):
-            if a < at + len(value) and b > at:
+            if (a, b) == (at, at + len(value)) if label else a < at + len(value) and b > at:
                 out.append((text, a, b, kind, path, label))
-                break
     return out
 
 
@@ -225,7 +236,7 @@ def _secret(rng) -> tuple[str, str, str, str]:
         [
             lambda: _chars(rng, _HEX, rng.choice([32, 40, 40, 48, 64])), lambda: _chars(rng, _ALNUM, rng.randint(20, 48)), lambda: _chars(rng, _B64, rng.choice([40, 43, 64])) + rng.choice(["", "="]),
             lambda: "AKIA" + _chars(rng, string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + _chars(rng, _ALNUM, 36), lambda: "sk_live_" + _chars(rng, _ALNUM, 24), lambda: "sk-" + _chars(rng, _ALNUM, 40),
-            lambda: "xoxb-" + _chars(rng, string.digits, 11) + "-" + _chars(rng, _ALNUM, 24), lambda: "AIza" + _chars(rng, _ALNUM + "_-", 35), lambda: _chars(rng, _ALNUM + "!@#%^&*", rng.randint(9, 16)),
+            lambda: "xoxb-" + _chars(rng, string.digits, 11) + "-" + _chars(rng, _ALNUM, 24), lambda: "AIza" + _chars(rng, _ALNUM + "_-", 35), lambda: _chars(rng, _ALNUM + "!@#%^*", rng.randint(9, 16)),
             lambda: "eyJ" + _chars(rng, _ALNUM, 20) + ".eyJ" + _chars(rng, _ALNUM, 40) + "." + _chars(rng, _ALNUM + "_-", 43),
         ]
     )()
@@ -284,18 +295,22 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str | None = "sour
 
         names = ["doc_id", "start", "end", "kind", "score"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+        begin("secret forest")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts, paths = (batch.column(k).slice(at, 256).to_pylist() for k in range(3))
                 rows, x = [], []
-                for i, t, p in zip(ids, texts, paths, strict=True):
+                for at_row, (t, p) in enumerate(zip(texts, paths, strict=True)):
                     for a, b, kind in candidates(t or ""):
-                        rows.append((i, a, b, kind))
+                        rows.append((at_row, a, b, kind))
                         x.append(describe(t, a, b, kind, p))
                 if not rows:
                     continue
-                score = forest.scores(np.array(x))
-                kept = [(*r, float(s)) for r, s in zip(rows, score, strict=True) if s >= cut]
+                good: dict[int, list] = {}
+                for (r, *f), s in zip(rows, forest.scores(np.array(x)), strict=True):
+                    if s >= cut:
+                        good.setdefault(r, []).append((*f, float(s)))
+                kept = [(ids[r], *f) for r, found in good.items() for f in apart(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)] if kept else [pa.array([], k) for k in kinds], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path")).mapInArrow(run, "doc_id long, start long, end long, kind string, score double")

@@ -12,12 +12,13 @@ read_warc() reads WARC files (plain, or gzipped by record), write_warc() writes
 
 Defined cases: a revisit without url, time or earlier response has outcome no_response; equal times do not count as earlier;
 of several responses of the same time the one with the greatest record id holds; with no validator in common the outcome
-is unverified and the reference stands; repeated records are each resolved; an empty table gives no rows.
+is unverified and the reference stands; repeated records are each resolved; very long headers and pages are read whole; columns beyond
+SCHEMA, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -65,6 +66,7 @@ def resolve(records: DataFrame) -> DataFrame:
     """records (SCHEMA and more) -> record_id, url, ts, refers_to, outcome, headers of every revisit record."""
     spark = records.sparkSession
     r = records.select("record_id", canonical_url(F.col("url")).alias("url"), "ts", "kind", "etag", "last_modified", "digest", _lower_keys(F.col("headers")).alias("headers"))
+    r = written(r, "records")  # range partitioning reads its input twice, and what makes the records may be dear
     placed = r.filter("url is not null and ts is not null").withColumn("rank", (F.col("kind") == "response").cast("int"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartitionByRange(n, "url", "ts", "rank", "record_id").withColumn("part", F.spark_partition_id())
@@ -100,24 +102,74 @@ def header_text(headers: Column) -> Column:
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-def parse_warc(data: bytes):
-    """Yield (WARC headers, HTTP headers, body) of the records of a file. Header names are lower-cased."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def inflated(data: bytes, step: int = 1 << 20):
+    """Yield pieces of a file's content: of every gzip member in turn, or of a plain file as it is. A cut or damaged member ends it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            piece = data[at : at + step]
+            try:
+                out = member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+            yield out
+
+
+def parse_warc(data: bytes):
+    """Yield (WARC headers, HTTP headers, body, problem) of the records of a file. Header names are lower-cased.
+
+    problem: None; "no length" where a record's Content-Length is missing or no number (its block is taken to reach to the next
+    record); "cut" where the file ends before the record does. One record is held at a time besides the file's own bytes.
+    """
+    source, held, more = inflated(data), b"", True
+
+    def read(n: int) -> None:
+        nonlocal held, more
+        parts, size = [held], len(held)
+        while more and size < n:
+            piece = next(source, None)
+            more = piece is not None
+            parts.append(piece or b"")
+            size += len(parts[-1])
+        held = b"".join(parts)
+
+    while True:
+        read(1 << 16)
+        at = held.find(b"WARC/")
+        if at < 0:
+            if not more:
+                return
+            held = held[-4:]
+            read(len(held) + 1)
+            continue
+        held = held[at:]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more:
+            read(len(held) + (1 << 16))
         if end < 0:
             return
-        head = _fields(data[at:end])
-        size = int(head.get("content-length", 0))
-        block, at = data[end + 4 : end + 4 + size], end + 4 + size
+        head, problem = _fields(held[:end]), None
+        if head.get("content-length", "").isdecimal():
+            size = int(head["content-length"])
+            read(end + 4 + size)
+            if len(held) < end + 4 + size:
+                problem = "cut"
+        else:
+            problem = "no length"
+            while (stop := held.find(b"\r\n\r\nWARC/", end)) < 0 and more:
+                read(len(held) + (1 << 20))
+            size = max(0, (stop if stop >= 0 else len(held)) - end - 4)
+        block, held = held[end + 4 : end + 4 + size], held[end + 4 + size :]
         http, body = {}, block
         if block[:5] == b"HTTP/":
             cut = block.find(b"\r\n\r\n")
             cut = len(block) if cut < 0 else cut
             http, body = _fields(block[:cut]), block[cut + 4 :]
-        yield head, http, body
+        yield head, http, body, problem
 
 
 def _fields(raw: bytes) -> dict[str, str]:
@@ -126,23 +178,31 @@ def _fields(raw: bytes) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as SCHEMA plus body. A file is read as a whole by one task: archives are cut at about 1 GB."""
+    """Response and revisit records of WARC files as SCHEMA plus body and problem (see parse_warc; null where a record is sound).
+
+    A file is one task's work, so archives are cut at about 1 GB, as crawlers do; its members are unpacked one after another.
+    """
 
     def run(batches):
         import pandas as pd
 
+        columns = ["record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers", "body", "problem"]
         for pdf in batches:
             for content in pdf["content"]:
-                rows = []
-                for head, http, body in parse_warc(content):
+                rows, size = [], 0
+                for head, http, body, problem in parse_warc(content):
                     if head.get("warc-type") not in ("response", "revisit"):
                         continue
                     ts = pd.to_datetime(head.get("warc-date"), utc=True, errors="coerce")
-                    rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), None if ts is pd.NaT else int(ts.timestamp()), head["warc-type"], http.get("etag"), http.get("last-modified"), head.get("warc-payload-digest"), http, body))
-                yield pd.DataFrame(rows, columns=["record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers", "body"])
+                    rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), None if ts is pd.NaT else int(ts.timestamp()), head["warc-type"], http.get("etag"), http.get("last-modified"), head.get("warc-payload-digest"), http, body, problem))
+                    size += len(body)
+                    if size > 16 << 20:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInPandas(run, SCHEMA + ", body binary")
+    return files.mapInPandas(run, SCHEMA + ", body binary, problem string")
 
 
 def warc_bytes(rows) -> bytes:
