@@ -35,6 +35,11 @@ def decode(data: bytes) -> np.ndarray:
         return np.asarray(image.convert("RGB"))
 
 
+def to_ppm(image: np.ndarray) -> bytes:
+    """The bytes of a binary PPM file."""
+    return b"P6 %d %d 255\n" % (image.shape[1], image.shape[0]) + np.ascontiguousarray(image, np.uint8).tobytes()
+
+
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area means; an image smaller than the target repeats its pixels."""
     out = image.astype(float)

@@ -50,6 +50,11 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
+def sha256_of_base64(text: Column) -> Column:
+    """Hash of the bytes that a base64 text stands for; null where it is none."""
+    return F.sha2(F.try_to_binary(text, F.lit("base64")), 256)
+
+
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, ASCII, floats by their shortest representation."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)

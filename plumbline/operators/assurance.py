@@ -94,13 +94,9 @@ def select_origins(g: Graph, decisions: DataFrame, config: AssuranceConfig | Non
         if types:
             fits = F.when(F.col("focus") == hypothesis, F.col("node_type").isin(*types)).otherwise(fits)
     j = o.join(decisions.filter("focus is not null").select("case_id", "focus"), "case_id").withColumn("fits", fits)
-    best = W.partitionBy("case_id", "fits").orderBy("rank")
-    j = j.withColumn("k", F.row_number().over(best))
-    first = j.groupBy("case_id").agg(
-        F.min_by(F.struct("node_id", "node_type", "label", "fraction", "evidence_ids", "stages", "n_detectors"), F.when(F.col("fits") & (F.col("fraction") >= c.origin_min_fraction), F.col("rank"))).alias("scoped"),
-        F.min_by(F.struct("node_id", "node_type", "label", "fraction", "evidence_ids", "stages", "n_detectors"), "rank").alias("any"),
-    )
-    return first.select("case_id", F.coalesce("scoped", "any").alias("o")).select("case_id", F.col("o.node_id").alias("origin"), "o.node_type", "o.label", "o.fraction", "o.evidence_ids", "o.stages", "o.n_detectors")
+    row = F.struct("node_id", "node_type", "label", "fraction", "n_evidence", "stages", "n_detectors")
+    first = j.groupBy("case_id").agg(F.min_by(row, F.when(F.col("fits") & (F.col("fraction") >= c.origin_min_fraction), F.col("rank"))).alias("scoped"), F.min_by(row, "rank").alias("any"))
+    return first.select("case_id", F.coalesce("scoped", "any").alias("o")).select("case_id", F.col("o.node_id").alias("origin"), "o.node_type", "o.label", "o.fraction", "o.n_evidence", "o.stages", "o.n_detectors")
 
 
 @dataclass(frozen=True)
@@ -148,6 +144,9 @@ def report(inv: Investigation, case_id: str) -> dict:
     origin = of(inv.origins).first()
     target = of(g.nodes).filter(F.col("node_id") == (origin["origin"] if origin else "")).select("case_id", F.col("node_id").alias("origin"), "node_id")
     path = lineage.attack_paths(g, target.select("case_id", "origin")).first() if origin else None
+    leading = of(inv.candidates).filter(F.col("rank") <= cfg.top_origins).orderBy("rank").collect()
+    named = target.select("case_id", "node_id").union(of(inv.candidates).filter(F.col("rank") <= cfg.top_origins).select("case_id", "node_id"))
+    ids = {r["node_id"]: list(r["evidence_ids"]) for r in lineage.converging(g, named).collect()}
     labels = {r["node_id"]: r["label"] for r in of(g.nodes).collect()}
     below = sorted(lineage.downstream(g, target).collect(), key=lambda r: (r["dist"], r["found"])) if origin else []
     reasons = _reasons(d, by, ctx, cfg)
@@ -157,11 +156,11 @@ def report(inv: Investigation, case_id: str) -> dict:
         "assurance_state": d["state"], "risk_score": d["risk"], "confidence": d["confidence"], "coverage": d["coverage"], "top_hypothesis": d["top_hypothesis"],
         "implicated_source": origin["origin"] if origin else None, "implicated_source_label": origin["label"] if origin else None, "implicated_source_type": origin["node_type"] if origin else None,
         "origin_explained_fraction": origin["fraction"] if origin else 0.0, "attack_path": list(path["nodes"]) if path else [], "attack_path_edges": [e.split("->") for e in path["edges"]] if path else [],
-        "attack_path_evidence_nodes": list(path["evidence_nodes"]) if path else [], "converging_evidence": list(origin["evidence_ids"]) if origin else [],
+        "attack_path_evidence_nodes": list(path["evidence_nodes"]) if path else [], "converging_evidence": ids.get(origin["origin"], []) if origin else [],
         "human_readable_summary": _summary(d, by, scores, ctx, origin, reasons, advice, cfg), "recommended_action": d["action"], "top_hypothesis_support": top["support"] if top else 0.0,
         "supporting_evidence": list(top["supporting"] or []) if top else [],
         "hypotheses": [{"hypothesis": s["hypothesis"], "support": round(s["support"], 4), "level": s["level"], "supporting_evidence": list(s["supporting"] or []), "contradicting_evidence": list(s["contradicting"] or [])} for s in scores],
-        "origin_candidates": [r.asDict() for r in of(inv.candidates).filter(F.col("rank") <= cfg.top_origins).orderBy("rank").collect()],
+        "origin_candidates": [r.asDict() | {"evidence_ids": ids.get(r["node_id"], [])} for r in leading],
         "integrity_checks": {name: next(k["status"] for k in ctx["checks"] if k["check"] == name) for name in dims.CHECKS}, "decision_margin": d["decision_margin"],
         "reason_codes": list(d["codes"]), "reasons": reasons, "warnings": warnings(inv, case_id),
     }
@@ -231,7 +230,7 @@ def _summary(d, by, scores, ctx, origin, reasons: list[str], advice: str, cfg: A
         else:
             text = f"{phrase[d['focus']].capitalize()} has {'moderate' if 'ATTACK_MODERATE' in codes else 'low'} support ({focus['support']:.2f}), not enough to quarantine but enough to review"
         if origin:
-            n, stages = len(origin["evidence_ids"]), list(origin["stages"])
+            n, stages = origin["n_evidence"], list(origin["stages"])
             text += f". {_many(n, 'evidence item')} from {_many(origin['n_detectors'], 'detector')} across the {_and(stages)} stage{'' if len(stages) == 1 else 's'} converge{'s' if n == 1 else ''} on {origin['label']} ({origin['fraction']:.0%} of observed anomaly weight)"
         return f"{head} {text}. {tail}"
     if "BENIGN_SHIFT" in codes:

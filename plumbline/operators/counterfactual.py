@@ -68,6 +68,24 @@ def removal_set(g: Graph, targets: DataFrame, nested_samples: bool | None = None
         gone = grown
 
 
+def _scenarios(g: Graph, targets: DataFrame | None) -> tuple[DataFrame, Graph]:
+    """((case_id, node_id, scenario), the graph with each case once for each of its scenarios)."""
+    targets = g.nodes.select("case_id", "node_id") if targets is None else targets.select("case_id", "node_id").distinct()
+    s = targets.select("case_id", "node_id", F.concat_ws(SEP, "case_id", "node_id").alias("scenario"))
+    return s, Graph(*(_spread(df, s).select(*df.columns) for df in (g.nodes, g.edges, g.evidence, g.inspections)), g.depth)
+
+
+def _unnamed(df: DataFrame) -> DataFrame:
+    part = F.split("case_id", SEP)
+    return df.select(part[0].alias("case_id"), part[1].alias("target"), *[x for x in df.columns if x != "case_id"])
+
+
+def removals(g: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """case_id, target, node_id: what goes with each target (None: every node)."""
+    s, whole = _scenarios(g, targets)
+    return _unnamed(removal_set(whole, s.select(F.col("scenario").alias("case_id"), "node_id")))
+
+
 @dataclass(frozen=True)
 class Simulation:
     results: DataFrame
@@ -79,10 +97,7 @@ class Simulation:
 def simulate(g: Graph, targets: DataFrame | None = None, config: CounterfactualConfig | None = None, fusion_config: FusionConfig | None = None, assurance_config: AssuranceConfig | None = None, nested_samples: bool | None = None) -> Simulation:
     """targets(case_id, node_id); None: every node. results has a row for each scenario."""
     c, acfg = config or CounterfactualConfig(), assurance_config or AssuranceConfig()
-    targets = g.nodes.select("case_id", "node_id") if targets is None else targets.select("case_id", "node_id").distinct()
-    name = F.concat_ws(SEP, "case_id", "node_id")
-    s = targets.select("case_id", "node_id", name.alias("scenario"))
-    whole = Graph(*(_spread(df, s).select(*df.columns) for df in (g.nodes, g.edges, g.evidence, g.inspections)), g.depth)
+    s, whole = _scenarios(g, targets)
     aim = s.select(F.col("scenario").alias("case_id"), "node_id")
     gone = cut(removal_set(whole, aim, nested_samples))
     left = lineage.without_nodes(whole, gone)
@@ -121,8 +136,7 @@ def simulate(g: Graph, targets: DataFrame | None = None, config: CounterfactualC
     delta = F.round(F.col("original_risk") - F.col("final_risk"), 1)
     effect = F.when(F.abs(delta) < c.material, "NONE").when(delta < 0, "INCREASED").when(delta >= c.substantial, "SUBSTANTIAL").when(delta >= c.moderate, "MODERATE").otherwise("SLIGHT")
     r = r.withColumns({"risk_delta": delta, "effect": effect}).withColumnRenamed("node_id", "target").drop("scenario")
-    unname = lambda df: df.select(F.split("case_id", SEP)[0].alias("case_id"), F.split("case_id", SEP)[1].alias("target"), *[x for x in df.columns if x != "case_id"])
-    return Simulation(r.withColumn("summary", summary()), unname(gone), unname(cleared), unname(retained))
+    return Simulation(r.withColumn("summary", summary()), _unnamed(gone), _unnamed(cleared), _unnamed(retained))
 
 
 def _outcome(g: Graph, fusion_config: FusionConfig | None, config: AssuranceConfig) -> DataFrame:

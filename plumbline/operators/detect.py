@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip01, cosine, hamming_hex, l2, norm, py_round
+from plumbline.sources.storage import cut
 
 JS_LIMIT, LEAST_LABELS = 0.25, 10
 Z_LIMIT, LEAST_REFERENCE = 3.0, 8
 NEAR_BITS, LEAST_HASHED, FLOOD_SHARE = 5, 5, 0.15
+SHOWN = 50  # names that a finding's details list
 
 
 def finding(rows: DataFrame, kind: str, source: str, severity: Column, confidence: Column, detector: str, *details: str) -> DataFrame:
@@ -23,9 +25,21 @@ def finding(rows: DataFrame, kind: str, source: str, severity: Column, confidenc
     )
 
 
+def first_names(rows: DataFrame, keys: list[str], name: str, alias: str, n: int = SHOWN) -> DataFrame:
+    """keys and the first n names of each group; a window limit, which Spark applies before its shuffle too, keeps the rest from being gathered."""
+    first = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(name))).filter(F.col("_k") <= n)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(name)).alias(alias))
+
+
 # --- labels ---------------------------------------------------------------------------------------------------------
 
 
+def class_frequencies(samples: DataFrame) -> DataFrame:
+    """batch_id, label_class, n, share of the batch."""
+    c = samples.filter("label_class is not null and label_class != ''").groupBy("batch_id", "label_class").agg(F.count("*").alias("n"))
+    return c.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("batch_id")))
+
+
 def label_skew(samples: DataFrame, batches: DataFrame) -> DataFrame:
     """batch_id, n_batch, n_rest, js: Jensen-Shannon distance (base 2) of a batch's classes from all other batches of its dataset.
 
@@ -76,7 +90,9 @@ def ood_scores(samples: DataFrame, batches: DataFrame, reference: DataFrame | No
 def ood(samples: DataFrame, batches: DataFrame, reference: DataFrame | None = None, limit: float = Z_LIMIT) -> DataFrame:
     z = ood_scores(samples, batches, reference).filter(F.col("n_ref") >= LEAST_REFERENCE)
     hit = F.col("z") >= limit
-    b = z.groupBy("batch_id").agg(F.max("z").alias("max_z"), F.count_if(hit).alias("n_flagged"), F.avg(hit.cast("double")).alias("fraction"), F.slice(F.array_sort(F.collect_list(F.when(hit, F.col("sample_id").cast("string")))), 1, 50).alias("flagged"))
+    z = z.withColumn("name", F.col("sample_id").cast("string"))
+    b = z.groupBy("batch_id").agg(F.max("z").alias("max_z"), F.count_if(hit).alias("n_flagged"), F.avg(hit.cast("double")).alias("fraction"))
+    b = b.join(first_names(z.filter(hit), ["batch_id"], "name", "flagged"), "batch_id")
     return finding(b.filter("n_flagged > 0"), "OOD_ANOMALY", "batch_id", F.least(F.lit(1.0), F.col("max_z") / 6.0), F.lit(0.7), "ood_detector", "max_z", "n_flagged", "fraction", "flagged")
 
 
@@ -89,7 +105,7 @@ def near_pairs(samples: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     cuts = [64 * k // bands for k in range(bands + 1)]
     hexes = F.lpad("phash", 16, "0")
     binary = F.concat(*[F.lpad(F.conv(F.substring(hexes, 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(2)])
-    s = samples.filter("phash is not null").select("batch_id", F.col("sample_id"), hexes.alias("phash"), binary.alias("bin"))
+    s = samples.filter("phash is not null").select("batch_id", "sample_id", F.lower(hexes).alias("phash"), binary.alias("bin"))
     keys = F.array(*[F.substring("bin", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     band = s.select("batch_id", "sample_id", "phash", F.posexplode(keys).alias("k", "key"))
     a, b = band.withColumnsRenamed({"sample_id": "a", "phash": "x"}), band.withColumnsRenamed({"sample_id": "b", "phash": "y"})
@@ -98,16 +114,33 @@ def near_pairs(samples: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
 
 
 def leader_clusters(samples: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
-    """batch_id, sample_id, leader: in order of sample_id a sample joins the first leader within `bits`, or leads. Batch by batch, as the rule is sequential."""
+    """batch_id, sample_id, leader: in order of sample_id a sample joins the first leader within `bits`, or leads.
+
+    The rule is sequential, but only samples that chains of near fingerprints connect can touch one another: equal fingerprints are one
+    entry, near_pairs() finds the entries within `bits`, labels spread along them until nothing changes, and the rule runs in
+    each connected group. A sample without any near one leads itself and reaches no group.
+    """
+    s = samples.filter("phash is not null").select("batch_id", "sample_id", F.lower(F.lpad("phash", 16, "0")).alias("phash"))
+    kinds = dict(s.dtypes)
+    once = cut(s.groupBy("batch_id", "phash").agg(F.min("sample_id").alias("sample_id")))
+    pairs = cut(near_pairs(once, bits).select("batch_id", "a", "b"))
+    ends = pairs.union(pairs.select("batch_id", "b", "a"))
+    label = cut(ends.groupBy("batch_id", F.col("a").alias("x")).agg(F.least(F.min("a"), F.min("b")).alias("l")))
+    while True:  # the least id spreads along chains and through the labels themselves, so rounds grow with the logarithm of a chain
+        by = label.select("batch_id", F.col("x").alias("b"), F.col("l").alias("m"))
+        near = ends.join(by, ["batch_id", "b"]).groupBy("batch_id", F.col("a").alias("x")).agg(F.min("m").alias("m"))
+        jump = label.join(label.select("batch_id", F.col("x").alias("l"), F.col("l").alias("j")), ["batch_id", "l"], "left").select("batch_id", "x", "l", "j")
+        new = cut(jump.join(near, ["batch_id", "x"]).select("batch_id", "x", F.least("l", "j", "m").alias("l"), (F.least("j", "m") < F.col("l")).alias("moved")))
+        label = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            break
 
     def run(pdf):
         import numpy as np
 
         pdf = pdf.sort_values("sample_id")
-        codes = np.array([int(h, 16) for h in pdf["phash"]], dtype=np.uint64)
-        leaders, out = np.zeros(0, np.uint64), []
-        ids, names = pdf["sample_id"].to_numpy(), []
-        for i, c in zip(ids, codes, strict=True):
+        leaders, names, out = np.zeros(0, np.uint64), [], []
+        for i, c in zip(pdf["sample_id"].to_numpy(), [np.uint64(int(h, 16)) for h in pdf["phash"]], strict=True):
             near = np.flatnonzero(np.bitwise_count(leaders ^ c) <= bits)
             if len(near):
                 out.append(names[near[0]])
@@ -115,23 +148,47 @@ def leader_clusters(samples: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
                 leaders = np.append(leaders, c)
                 names.append(i)
                 out.append(i)
-        return pdf.assign(leader=out)[["batch_id", "sample_id", "leader"]]
+        return pdf.assign(leader=out)[["batch_id", "phash", "leader"]]
 
-    s = samples.filter("phash is not null").select("batch_id", "sample_id", "phash")
-    kinds = dict(s.dtypes)
-    return s.groupBy("batch_id").applyInPandas(run, f"batch_id {kinds['batch_id']}, sample_id {kinds['sample_id']}, leader {kinds['sample_id']}")
+    grouped = once.join(label.withColumnRenamed("x", "sample_id"), ["batch_id", "sample_id"])
+    led = grouped.groupBy("batch_id", "l").applyInPandas(run, f"batch_id {kinds['batch_id']}, phash string, leader {kinds['sample_id']}")
+    alone = once.join(label.withColumnRenamed("x", "sample_id"), ["batch_id", "sample_id"], "left_anti").select("batch_id", "phash", F.col("sample_id").alias("leader"))
+    return s.join(led.unionByName(alone), ["batch_id", "phash"]).select("batch_id", "sample_id", "leader")
 
 
 def duplicates(samples: DataFrame, bits: int = NEAR_BITS, share: float = FLOOD_SHARE) -> DataFrame:
-    c = leader_clusters(samples, bits).groupBy("batch_id", "leader").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list(F.col("sample_id").cast("string"))), 1, 50).alias("members"))
+    c = leader_clusters(samples, bits).withColumn("name", F.col("sample_id").cast("string"))
+    members = first_names(c, ["batch_id", "leader"], "name", "members")
+    c = c.groupBy("batch_id", "leader").agg(F.count("*").alias("size")).join(members, ["batch_id", "leader"])
     c = c.withColumn("hashed", F.sum("size").over(W.partitionBy("batch_id"))).withColumn("fraction", F.col("size") / F.col("hashed"))
     c = c.filter((F.col("hashed") >= LEAST_HASHED) & (F.col("size") >= 2) & (F.col("fraction") >= share))
     return finding(c, "NEAR_DUPLICATE_CLUSTER", "batch_id", F.least(F.lit(1.0), 1.5 * F.col("fraction")), F.lit(0.9), "duplicate_detector", "size", "fraction", "members")
 
 
+def all_batches(samples: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings of the three data detectors over every batch, one inspection (node_id, detector) of each batch by each, found or not)."""
+    found = duplicates(samples).unionByName(labels(samples, batches)).unionByName(ood(samples, batches))
+    ran = F.explode(F.array(*map(F.lit, ("duplicate_detector", "label_detector", "ood_detector"))))
+    return found, batches.select(F.col("batch_id").alias("node_id")).distinct().select("node_id", ran.alias("detector"))
+
+
+def exact_duplicates(samples: DataFrame) -> DataFrame:
+    """samples(sample_id, batch_id, digest) -> batch_id, digest, n, first (sample), fraction of the batch, of digests that recur in a batch."""
+    per = samples.groupBy("batch_id").agg(F.count("*").alias("every"))
+    g = samples.groupBy("batch_id", "digest").agg(F.count("*").alias("n"), F.min("sample_id").alias("first")).filter("n > 1").join(per, "batch_id")
+    return g.select("batch_id", "digest", "n", "first", (F.col("n") / F.col("every")).alias("fraction"))
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 
 
+def fingerprint_distances(fingerprints: DataFrame) -> DataFrame:
+    """fingerprints(model_id, fingerprint) of a suite's few models -> reference, candidate (each pair once), l2, cosine."""
+    a, b = (fingerprints.select(F.col("model_id").alias(n), F.col("fingerprint").alias(x)) for n, x in (("reference", "x"), ("candidate", "y")))
+    p = a.join(b, F.col("reference") < F.col("candidate"))
+    return p.select("reference", "candidate", l2(F.col("x"), F.col("y")).alias("l2"), cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
 def behaviour(pairs: DataFrame) -> DataFrame:
     """pairs(model_id, reference, candidate) of fingerprints -> BEHAVIORAL_DEVIATION where they deviate."""
     p = pairs.withColumns({"distance": l2(F.col("reference"), F.col("candidate")), "similarity": cosine(F.col("reference"), F.col("candidate"))})

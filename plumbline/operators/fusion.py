@@ -35,17 +35,25 @@ def base_scores(g: Graph, config: FusionConfig) -> DataFrame:
 
 
 def corroboration(g: Graph, config: FusionConfig) -> DataFrame:
-    """Sum of pair bonuses by case and hypothesis. Pairs join on the hypothesis that both support before their sources' relation."""
-    s = signed(g, config).filter("coef > 0").select("case_id", "hypothesis", "evidence_id", "source_id", "stage", "detector", (F.col("strength") * F.col("coef")).alias("m"))
-    a, b = (s.withColumnsRenamed({c: f"{c}_{k}" for c in ("evidence_id", "source_id", "stage", "detector", "m")}) for k in "ab")
-    own = g.weighted.select("case_id", "source_id").distinct()
-    pairs = own.select("case_id", F.col("source_id").alias("a")).join(own.select("case_id", F.col("source_id").alias("b")), "case_id")
-    rel = lineage.relation(g, pairs).filter("kind != 'UNRELATED'").withColumn("near", lineage.proximity(F.col("kind"), F.col("dist"), config))
+    """Sum of pair bonuses by case and hypothesis.
+
+    A bonus hangs on the two sources, stages and detectors and on sqrt(m_a * m_b), so evidence is summed to one row for each source and
+    detector first, and a pair of such rows gives the product of their sums of sqrt(m): no evidence meets other evidence. Only related
+    sources are paired. Detectors that are not known speak for themselves each, so a group of them has pairs of its own.
+    """
+    m = F.col("strength") * F.col("coef")
+    s = signed(g, config).filter("coef > 0").groupBy("case_id", "hypothesis", "source_id", "stage", "detector").agg(F.sum(F.sqrt(m)).alias("root"), F.sum(m).alias("m"))
+    s = cut(s)
+    key = F.struct("source_id", "detector")
+    a, b = (s.select("case_id", "hypothesis", *[F.col(c).alias(f"{c}_{k}") for c in ("source_id", "stage", "detector", "root")], key.alias(f"key_{k}")) for k in "ab")
+    rel = lineage.related(g, s.select("case_id", "source_id").distinct()).withColumn("near", lineage.proximity(F.col("kind"), F.col("dist"), config))
     rel = rel.select("case_id", F.col("a").alias("source_id_a"), F.col("b").alias("source_id_b"), "near")
-    p = a.join(b, ["case_id", "hypothesis"]).filter("evidence_id_a < evidence_id_b and (detector_a != detector_b or detector_a = 'unknown')")
-    p = p.join(rel, ["case_id", "source_id_a", "source_id_b"])
+    p = a.join(rel, ["case_id", "source_id_a"]).join(b, ["case_id", "hypothesis", "source_id_b"])
+    p = p.filter("key_a < key_b and (detector_a != detector_b or detector_a = 'unknown')")
     factor = F.when(F.col("stage_a") != F.col("stage_b"), 1.0).otherwise(config.same_stage)
-    return p.groupBy("case_id", "hypothesis").agg(F.sum(config.gain * F.col("near") * factor * F.sqrt(F.col("m_a") * F.col("m_b"))).alias("corr"))
+    between = p.select("case_id", "hypothesis", (F.col("near") * factor * F.col("root_a") * F.col("root_b")).alias("bonus"))
+    within = s.filter("detector = 'unknown'").select("case_id", "hypothesis", (F.lit(config.same_stage) * (F.col("root") * F.col("root") - F.col("m")) / 2).alias("bonus"))
+    return between.union(within).groupBy("case_id", "hypothesis").agg((config.gain * F.sum("bonus")).alias("corr"))
 
 
 def check_status(g: Graph, config: FusionConfig) -> DataFrame:

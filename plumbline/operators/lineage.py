@@ -125,6 +125,24 @@ def relation(g: Graph, pairs: DataFrame) -> DataFrame:
     return p.select("case_id", "a", "b", kind.alias("kind"), F.coalesce("d_up", "d_down", "m.d").alias("dist"), F.col("m.via").alias("via"))
 
 
+def related(g: Graph, sources: DataFrame) -> DataFrame:
+    """sources(case_id, source_id) -> case_id, a, b, kind, dist, via of every ordered pair of them that is related (a = b too).
+
+    Pairs come from the closure (one above the other, or ancestors in common), so unrelated sources never meet.
+    """
+    s = sources.select("case_id", "source_id").distinct()
+    up = g.closure.join(s.withColumnRenamed("source_id", "dst"), ["case_id", "dst"])
+    up = cut(up.select("case_id", "anc", F.col("dst").alias("x"), "dist"))
+    y = up.select("case_id", "anc", F.col("x").alias("b"), F.col("dist").alias("db"))
+    both = up.withColumnsRenamed({"x": "a", "dist": "da"}).join(y, ["case_id", "anc"])
+    direct = lambda c, d: F.min(F.when(F.col("anc") == F.col(c), F.col(d)))
+    p = both.groupBy("case_id", "a", "b").agg(
+        direct("a", "db").alias("down"), direct("b", "da").alias("up"), F.min(F.struct((F.col("da") + F.col("db")).alias("d"), F.col("anc").alias("via"))).alias("m")
+    )
+    kind = F.when(F.col("a") == F.col("b"), "SAME_NODE").when(F.col("down").isNotNull(), "UPSTREAM").when(F.col("up").isNotNull(), "DOWNSTREAM").otherwise("COMMON_ORIGIN")
+    return p.select("case_id", "a", "b", kind.alias("kind"), F.coalesce("down", "up", "m.d").alias("dist"), F.when(kind == "COMMON_ORIGIN", F.col("m.via")).alias("via"))
+
+
 def proximity(kind: Column, dist: Column, config: dims.FusionConfig = dims.FusionConfig()) -> Column:
     near = F.pow(F.lit(config.direct_decay), dist - 1)
     return F.when(kind == "SAME_NODE", 1.0).when(kind == "UNRELATED", 0.0).when(kind == "COMMON_ORIGIN", near * config.common_discount).otherwise(near)
@@ -133,15 +151,13 @@ def proximity(kind: Column, dist: Column, config: dims.FusionConfig = dims.Fusio
 def correlation_pairs(g: Graph, config: dims.FusionConfig = dims.FusionConfig(), least: float = 0.0) -> DataFrame:
     """Pairs of evidence (id_a < id_b) whose sources are related, with proximity, cross_stage and same_detector.
 
-    The relation is computed once for each distinct pair of sources.
+    The relation is computed once for each distinct pair of related sources, and evidence joins its two ends.
     """
     e = g.weighted.select("case_id", "evidence_id", "source_id", "stage", "detector")
     a, b = (e.select("case_id", *[F.col(c).alias(f"{c}_{k}") for c in ("evidence_id", "source_id", "stage", "detector")]) for k in "ab")
-    s = g.weighted.select("case_id", "source_id").distinct()
-    sources = s.select("case_id", F.col("source_id").alias("a")).join(s.select("case_id", F.col("source_id").alias("b")), "case_id")
-    rel = relation(g, sources).filter("kind != 'UNRELATED'").withColumn("proximity", proximity(F.col("kind"), F.col("dist"), config)).filter(F.col("proximity") >= least)
+    rel = related(g, e.select("case_id", "source_id")).withColumn("proximity", proximity(F.col("kind"), F.col("dist"), config)).filter(F.col("proximity") >= least)
     rel = rel.withColumnsRenamed({"a": "source_id_a", "b": "source_id_b"})
-    p = a.join(b, "case_id").filter("evidence_id_a < evidence_id_b").join(rel, ["case_id", "source_id_a", "source_id_b"])
+    p = a.join(rel, ["case_id", "source_id_a"]).join(b, ["case_id", "source_id_b"]).filter("evidence_id_a < evidence_id_b")
     return p.select(
         "case_id", F.col("evidence_id_a").alias("id_a"), F.col("evidence_id_b").alias("id_b"), "kind", "dist", "via", "proximity",
         (F.col("stage_a") != F.col("stage_b")).alias("cross_stage"), (F.col("detector_a") == F.col("detector_b")).alias("same_detector"),
@@ -151,20 +167,30 @@ def correlation_pairs(g: Graph, config: dims.FusionConfig = dims.FusionConfig(),
 
 def candidate_origins(g: Graph, node_types: tuple[str, ...] | None = None, exclude_positive: bool = False) -> DataFrame:
     """Nodes by the share of all evidence weight at or below them; ties go to the smaller blast radius, then the id."""
-    ev = g.weighted
-    if exclude_positive:
-        good = [t for t, row in dims.COEFFICIENTS.items() if max(row.values()) < 0]
-        ev = ev.filter(~F.col("evidence_type").isin(good))
+    ev = _without_positive(g.weighted) if exclude_positive else g.weighted
     total = ev.groupBy("case_id").agg(F.sum("weight").alias("total")).filter("total > 0")
     size = g.closure.groupBy("case_id", F.col("anc").alias("node_id")).agg(F.count("*").alias("closure_size"))
-    below = g.closure.select("case_id", F.col("anc").alias("node_id"), F.col("dst").alias("source_id")).join(ev, ["case_id", "source_id"])
-    held = below.groupBy("case_id", "node_id").agg(F.sum("weight").alias("w"), F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"), F.collect_set("stage").alias("st"), F.count_distinct("detector").alias("n_detectors"))
+    own = ev.groupBy("case_id", "source_id", "stage", "detector").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    below = g.closure.select("case_id", F.col("anc").alias("node_id"), F.col("dst").alias("source_id")).join(own, ["case_id", "source_id"])
+    held = below.groupBy("case_id", "node_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n_evidence"), F.collect_set("stage").alias("st"), F.count_distinct("detector").alias("n_detectors"))
     n = g.nodes if node_types is None else g.nodes.filter(F.col("node_type").isin(*node_types))
     o = held.join(total, "case_id").join(size, ["case_id", "node_id"]).join(n, ["case_id", "node_id"])
     o = o.withColumn("fraction", F.col("w") / F.col("total"))
     stages = F.filter(F.array(*map(F.lit, dims.STAGES)), lambda s: F.array_contains("st", s))
     order = W.partitionBy("case_id").orderBy(F.desc(F.round("fraction", 9)), "closure_size", "node_id")
-    return o.select("case_id", "node_id", "node_type", "label", "fraction", "closure_size", "evidence_ids", stages.alias("stages"), "n_detectors", F.row_number().over(order).alias("rank"))
+    return o.select("case_id", "node_id", "node_type", "label", "fraction", "closure_size", "n_evidence", stages.alias("stages"), "n_detectors", F.row_number().over(order).alias("rank"))
+
+
+def converging(g: Graph, origins: DataFrame, exclude_positive: bool = False) -> DataFrame:
+    """origins(case_id, node_id) -> case_id, node_id, evidence_ids at or below each: for the few nodes of a report, not for a ranking."""
+    ev = _without_positive(g.weighted) if exclude_positive else g.weighted
+    o = origins.select("case_id", "node_id").distinct()
+    below = g.closure.select("case_id", F.col("anc").alias("node_id"), F.col("dst").alias("source_id")).join(o, ["case_id", "node_id"])
+    return below.join(ev.select("case_id", "source_id", "evidence_id"), ["case_id", "source_id"]).groupBy("case_id", "node_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+
+
+def _without_positive(ev: DataFrame) -> DataFrame:
+    return ev.filter(~F.col("evidence_type").isin([t for t, row in dims.COEFFICIENTS.items() if max(row.values()) < 0]))
 
 
 def provenance_gaps(g: Graph) -> DataFrame:
@@ -197,18 +223,31 @@ def evidence_for(g: Graph, targets: DataFrame, include_upstream: bool = False, i
 
 def lineage_paths(g: Graph, src: str, dst: str, limit: int = 20) -> DataFrame:
     """Simple paths between two nodes of each case as arrays, shortest first."""
+    ends = g.nodes.filter(F.col("node_id").isin(src, dst)).groupBy("case_id").agg(F.lit(src).alias("src"), F.lit(dst).alias("dst"))
+    return paths_between(g, ends, limit).select("case_id", "path")
+
+
+def paths_between(g: Graph, ends: DataFrame, limit: int = 20) -> DataFrame:
+    """ends(case_id, src, dst) -> case_id, src, dst, path of the first `limit` simple paths of each, by length and then by the nodes' ids.
+
+    Lineage has no cycles, so of the paths of one length that reach a node only the first `limit` can begin one of the answers: a
+    hop never holds more for a pair of ends and a node, however many paths there are.
+    """
     step = g.edges.select("case_id", F.col("src").alias("mid"), F.col("dst").alias("to")).distinct()
-    reach = g.closure.filter(F.col("dst") == dst).select("case_id", F.col("anc").alias("to"))
-    front = g.nodes.filter(F.col("node_id") == src).select("case_id", F.array("node_id").alias("path"))
-    done = front.filter(F.element_at("path", -1) == dst)
+    reach = g.closure.select("case_id", F.col("anc").alias("to"), "dst")
+    known = g.nodes.select("case_id", F.col("node_id").alias("src"))
+    front = ends.select("case_id", "src", "dst").distinct().join(known, ["case_id", "src"]).withColumn("path", F.array("src"))
+    done = front.filter("src = dst")
     while True:
-        last = front.filter(F.element_at("path", -1) != dst).withColumn("mid", F.element_at("path", -1))
-        front = last.join(step, ["case_id", "mid"]).join(reach, ["case_id", "to"], "left_semi").filter(~F.array_contains("path", F.col("to")))
-        front = cut(front.select("case_id", F.concat("path", F.array("to")).alias("path")))
+        last = front.filter(F.element_at("path", -1) != F.col("dst")).withColumn("mid", F.element_at("path", -1))
+        more = last.join(step, ["case_id", "mid"]).join(reach, ["case_id", "to", "dst"], "left_semi").filter(~F.array_contains("path", F.col("to")))
+        more = more.select("case_id", "src", "dst", "to", F.concat("path", F.array("to")).alias("path"))
+        first = W.partitionBy("case_id", "src", "dst", "to").orderBy("path")
+        front = cut(more.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).select("case_id", "src", "dst", "path"))
         if not front.limit(1).count():
             break
-        done = done.union(front.filter(F.element_at("path", -1) == dst))
-    order = W.partitionBy("case_id").orderBy(F.size("path"), "path")
+        done = done.union(front.filter(F.element_at("path", -1) == F.col("dst")))
+    order = W.partitionBy("case_id", "src", "dst").orderBy(F.size("path"), "path")
     return done.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit).drop("k")
 
 
@@ -302,6 +341,39 @@ def validate(g: Graph, strict: bool = True) -> DataFrame:
     return out.union(lost.select("case_id", F.lit("unknown_source"), "evidence_id"))
 
 
+def merged(additions: DataFrame) -> DataFrame:
+    """additions(case_id, node_id, node_type, label, at) of nodes, some added again -> one row for each node.
+
+    The last label that is given holds (the id where none is). A node keeps its first type; validate() names the nodes whose types conflict.
+    """
+    label = F.when(F.col("label") != "", F.col("label"))
+    m = additions.groupBy("case_id", "node_id").agg(F.min_by("node_type", "at").alias("node_type"), F.max_by(label, F.when(label.isNotNull(), F.col("at"))).alias("label"))
+    return m.select("case_id", "node_id", "node_type", F.coalesce("label", "node_id").alias("label"))
+
+
+def layout(g: Graph) -> DataFrame:
+    """case_id, node_id, node_type, rank (of the stage; 0 where a type has none), position (from 1, among the case's nodes of the type by id)."""
+    stage = stage_of(F.col("node_type"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, dims.STAGES)), stage) - 1, F.lit(0)).cast("int")
+    place = F.row_number().over(W.partitionBy("case_id", "node_type").orderBy("node_id"))
+    return g.nodes.select("case_id", "node_id", "node_type", rank.alias("rank"), place.alias("position"))
+
+
+def in_display_order(rows: DataFrame) -> DataFrame:
+    """Rows of layout() or export() by case, rank and id."""
+    return rows.orderBy("case_id", F.coalesce("rank", F.lit(0)), F.lower("node_id"), "node_id")
+
+
+def evidence_where(g: Graph, predicate: Column) -> DataFrame:
+    """Evidence with stage and weight for which a condition on its columns holds."""
+    return g.weighted.filter(predicate)
+
+
+def by_stage(g: Graph) -> DataFrame:
+    """case_id, stage, n, weight, max_severity of the evidence."""
+    return g.weighted.groupBy("case_id", "stage").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.max("severity").alias("max_severity"))
+
+
 def isolated(g: Graph) -> DataFrame:
     ends = g.edges.select("case_id", F.col("src").alias("node_id")).union(g.edges.select("case_id", "dst"))
     return g.nodes.join(ends, ["case_id", "node_id"], "left_anti").select("case_id", "node_id")

@@ -96,15 +96,18 @@ def verdicts(state: DataFrame, checks: dict[str, Column] | None = None) -> DataF
 def verify_batch(records: DataFrame, expected: DataFrame, key: bytes, now: Column | None = None, max_skew: float = MAX_SKEW) -> DataFrame:
     """records (COLUMNS, arrival; optionally seen_output_hash, seen_input_hash, seen_at), expected(deployment_id, expected_model, expected_preproc, expected_config)."""
     r = with_digests(records, key).join(expected, "deployment_id", "left")
-    return verdicts(replay_state(r), _checks(r.columns, now, max_skew))
+    return verdicts(replay_state(r), mismatches(r.columns, now, max_skew))
 
 
-def _checks(columns: list[str], now: Column | None, max_skew: float) -> dict[str, Column]:
+def mismatches(columns: list[str], now: Column | None = None, max_skew: float = MAX_SKEW) -> dict[str, Column]:
+    """Conditions by kind, for verdicts(), of a table with some of the columns that verify_batch() knows."""
     out = {}
     if "seen_output_hash" in columns:
         out["OUTPUT_HASH_MISMATCH"] = F.col("seen_output_hash") != F.col("output_hash")
     if "seen_input_hash" in columns:
         out["INPUT_HASH_MISMATCH"] = F.col("seen_input_hash") != F.col("input_hash")
+    if "expected_model" not in columns:
+        return out
     out["MODEL_ARTIFACT_MISMATCH"] = F.col("expected_model") != F.col("model_hash")
     out["CONFIG_MISMATCH"] = (F.col("expected_config") != F.col("config_hash")) | (F.col("expected_preproc") != F.col("preproc_hash"))
     at = now if now is not None else (F.col("seen_at") if "seen_at" in columns else None)

@@ -20,8 +20,8 @@ START = 1_700_000_000.0
 
 
 def _ranked(samples: DataFrame, seed: int) -> DataFrame:
-    """Samples with their place in a seeded random order of their batch, and the batch's size."""
-    order = W.partitionBy("batch_id").orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id")
+    """Samples with their place in a seeded random order of their batch (by md5, so that any engine can repeat it), and the batch's size."""
+    order = W.partitionBy("batch_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"))), F.col("sample_id").cast("string"))
     return samples.withColumns({"place": F.row_number().over(order), "size": F.count("*").over(W.partitionBy("batch_id"))})
 
 
@@ -39,7 +39,8 @@ def duplicate_flood(samples: DataFrame, share: float = 0.4, copies: int = 6, fli
     hit = F.col("place") <= n
     r = r.withColumn("copy", F.explode(F.when(hit, F.sequence(F.lit(1), F.lit(copies))).otherwise(F.array(F.lit(0)))))
     last = F.conv(F.substring("phash", -1, 1), 16, 10).cast("int")
-    jitter = F.when(F.lit(flips) > 0, F.pmod(F.xxhash64("sample_id", "copy"), F.lit(4)).cast("int")).otherwise(0)
+    draw = F.substring(F.md5(F.concat_ws("-", F.col("sample_id").cast("string"), F.col("copy").cast("string"))), 1, 1)
+    jitter = F.when(F.lit(flips) > 0, F.conv(draw, 16, 10).cast("int") % 4).otherwise(0)
     bit = F.when(F.col("copy") > 0, F.element_at(F.array(*map(F.lit, (0, 1, 2, 4))), jitter + 1)).otherwise(0)
     phash = F.concat(F.expr("substring(phash, 1, length(phash) - 1)"), F.lower(F.hex(last.bitwiseXOR(bit).cast("long"))))
     name = F.when(F.col("copy") > 0, F.concat(F.col("sample_id").cast("string"), F.lit("-"), F.col("copy").cast("string"))).otherwise(F.col("sample_id").cast("string"))
@@ -63,6 +64,40 @@ def triggered(samples: DataFrame, share: float = 0.3, target: str | None = None,
     return r.withColumns({"has_trigger": hit, "label_class": label, "batch_id": F.concat("batch_id", F.lit(suffix))}).drop("place", "size")
 
 
+def substitution(authorized: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate models put in the place of authorized ones.
+
+    authorized(model_id, training_run_id, sha256), candidates(model_id: the authorized one, path, sha256, name, version; the last two may be
+    null) -> (rows for models: id, training_run_id, name, version, format, sha256; comparison: authorized_model_id, candidate_model_id, both hashes,
+    artifact_mismatch). A candidate of a model that is not known is no row of either. A hash that is missing proves no mismatch.
+    """
+    known = authorized.select("model_id", "training_run_id", F.col("sha256").alias("authorized_sha256"))
+    base = F.element_at(F.split("path", "/"), -1)
+    c = candidates.join(known, "model_id").select(
+        F.concat(F.lit("model_"), F.substring(F.sha2(F.concat_ws("|", "model_id", "path", "sha256"), 256), 1, 12)).alias("id"), "training_run_id", F.coalesce("name", F.regexp_replace(base, r"\.[^.]*$", "")).alias("name"),
+        F.coalesce("version", F.lit("candidate")).alias("version"), F.coalesce(F.nullif(F.regexp_extract(base, r"\.([^.]+)$", 1), F.lit("")), F.lit("unknown")).alias("format"), "sha256", F.col("model_id").alias("of"), "authorized_sha256",
+    )
+    compared = c.select(F.col("of").alias("authorized_model_id"), F.col("id").alias("candidate_model_id"), "authorized_sha256", F.col("sha256").alias("candidate_sha256"), F.coalesce(F.col("authorized_sha256") != F.col("sha256"), F.lit(False)).alias("artifact_mismatch"))
+    return c.select("id", "training_run_id", "name", "version", "format", "sha256"), compared
+
+
+def patched(images: DataFrame, share: float = 0.3, target: str | None = None, seed: int = 42, suffix: str = "-triggered") -> DataFrame:
+    """triggered() on images: samples with a column content of BMP or PPM bytes, of which those that carry the trigger get a red corner patch (as PPM)."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from plumbline.functions import media
+
+    def run(parts):
+        for content, hit in parts:
+            yield pd.Series([media.to_ppm(media.corner_patch(media.decode(bytes(c)))) if h and c is not None else c for c, h in zip(content, hit, strict=True)])
+
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    t = triggered(samples=images, share=share, target=target, seed=seed, suffix=suffix)
+    return t.withColumn("content", F.pandas_udf(run, "binary")("content", "has_trigger"))
+
+
 def passport_stream(attack: str, n: int = 50, seed: int = 0, at: int = 25) -> list[dict]:
     """Records of one deployment in arrival order, each with what the verifier sees beside it."""
     rng = random.Random(seed)

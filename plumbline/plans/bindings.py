@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import hmac_sha256
 from plumbline.operators.lineage import Graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -44,6 +46,27 @@ def user_cases(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(made["nodes"], made["edges"], cast(made["evidence"]), made["inspections"], depth=6)
 
 
+# faults of some of the cases, as rows beside theirs
+FAULTS = {
+    "nodes": "SELECT 'u' || CAST(u AS STRING), 'M_' || CAST(u AS STRING), 'BATCH' FROM users WHERE u % 7 = 0",
+    "edges": """SELECT 'u' || CAST(u AS STRING), a || '_' || CAST(u AS STRING), b || '_' || CAST(u AS STRING), edge_type FROM users
+JOIN (VALUES ('B', 'X', 'CONTAINS', 3, 0), ('TR', 'TR', 'DERIVED_FROM', 4, 0), ('O', 'B', 'CONTAINS', 5, 1), ('B', 'TR', 'CONTAINS', 6, 0)) AS k(a, b, edge_type, every, rest) ON u % every = rest""",
+    "evidence": """SELECT 'u' || CAST(u AS STRING), code || '_' || CAST(u AS STRING), source || '_' || CAST(u AS STRING), severity, 0.5 FROM users
+JOIN (VALUES ('F', 'M', 1.5, 2, 0), ('N', 'M', CAST(NULL AS DOUBLE), 8, 1), ('R', 'B', 0.5, 3, 1), ('R', 'S', 0.5, 3, 1), ('U', 'nowhere', 0.5, 5, 2)) AS k(code, source, severity, every, rest) ON u % every = rest""",
+}
+
+
+def faulty_cases(spark: SparkSession, sf_dir: str) -> Graph:
+    """user_cases() with FAULTS."""
+    g = user_cases(spark, sf_dir)
+    users = load(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
+    rows = {t: spark.sql(sql.replace(" users", " {users}", 1), users=users) for t, sql in FAULTS.items()}
+    nodes = g.nodes.union(rows["nodes"].toDF("case_id", "node_id", "node_type").withColumn("label", F.lit("again")))
+    ev = rows["evidence"].toDF("case_id", "evidence_id", "source_id", "severity", "confidence")
+    ev = ev.select("case_id", "evidence_id", "source_id", F.lit("TRIGGER_SENSITIVITY"), F.col("severity").cast("double"), F.col("confidence").cast("double"), F.lit("trigger_detector"))
+    return Graph(nodes, g.edges.union(rows["edges"]), g.evidence.union(ev), g.inspections, depth=6)
+
+
 # region -> nation -> {supplier, customer}; customer -> orders; a case for each region
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = {n: load(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "orders")}
@@ -75,15 +98,31 @@ def embedding_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as receipts: a deployment for each user; every 17th is lost, every 13th repeats a nonce, every 29th has a bad signature."""
+    """Events as receipts: a deployment for each user; every 17th is lost, every 13th repeats a nonce, every 29th has a bad signature, every
+    19th another model, every 23rd another configuration, every 31st another output, every 37th another input; a receipt bears the time of the event before it."""
     e = load(spark, sf_dir, "events")
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.withColumn("sequence", F.row_number().over(w).cast("long")).withColumn("prev", F.coalesce(F.concat(F.lit("h"), F.lag("event_id").over(w).cast("string")), F.lit("GENESIS")))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = e.withColumn("timestamp", F.coalesce(F.lag(seconds).over(w), seconds)).withColumn("seen_at", seconds)
     e = e.filter("event_id % 17 != 0")
+    other = lambda every, name: F.when(F.col("event_id") % every == 0, "other").otherwise(name)
+    good = {"output_hash": (31, "o"), "input_hash": (37, "i"), "model_hash": (19, "m"), "config_hash": (23, "c"), "preproc_hash": (0, "p")}
+    beside = {"output_hash": "seen_output_hash", "input_hash": "seen_input_hash", "model_hash": "expected_model", "config_hash": "expected_config", "preproc_hash": "expected_preproc"}
     return e.select(
         F.col("user_id").cast("string").alias("deployment_id"), F.col("event_id").cast("string").alias("inference_id"), F.col("event_id").alias("arrival"), "sequence",
         F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string"))).otherwise(F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("nonce"),
-        (F.col("event_id") % 29 != 0).alias("sig_ok"), F.col("prev").alias("prev_hash"), F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("own_hash"),
+        (F.col("event_id") % 29 != 0).alias("sig_ok"), F.col("prev").alias("prev_hash"), F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("own_hash"), "timestamp", "seen_at",
+        *[(other(every, name) if every else F.lit(name)).alias(c) for c, (every, name) in good.items()], *[F.lit(good[c][1]).alias(s) for c, s in beside.items()],
     )
+
+
+def signed_receipts(spark: SparkSession, sf_dir: str, key: bytes) -> DataFrame:
+    """receipts() as records with a signature (every 29th over something else) whose times are whole seconds; signed by column functions."""
+    r = receipts(spark, sf_dir).withColumn("timestamp", F.floor("timestamp").cast("double"))
+    text = lambda c: F.concat(F.lit(f'"{c}":"'), F.col(c), F.lit('"'))
+    head = [text(c) for c in ("config_hash", "deployment_id", "inference_id", "input_hash", "model_hash", "nonce", "output_hash", "preproc_hash", "prev_hash")]
+    number = [F.concat(F.lit('"sequence":'), F.col("sequence").cast("string")), F.concat(F.lit('"timestamp":'), F.col("timestamp").cast("long").cast("string"), F.lit(".0"))]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *head, *number), F.lit("}"))
+    signature = hmac_sha256(key, F.when(F.col("sig_ok"), body).otherwise("forged"))
+    return r.withColumn("signature", signature).drop("sig_ok", "own_hash")

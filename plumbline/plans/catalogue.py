@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,22 +80,29 @@ LABELS = "WITH s AS (SELECT source AS b, quality || '_' || toxic AS k FROM docum
 
 @query("class_frequencies", LABELS + " SELECT b AS batch_id, k AS label_class, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY b), 6) AS share FROM s GROUP BY b, k")
 def class_frequencies(spark, d):
-    s, _ = bindings.label_samples(spark, d)
-    c = s.filter("label_class is not null").groupBy("batch_id", "label_class").agg(F.count("*").alias("n"))
-    return c.withColumn("share", r6(F.col("n") / F.sum("n").over(W.partitionBy("batch_id"))))
+    return detect.class_frequencies(bindings.label_samples(spark, d)[0]).withColumn("share", r6("share"))
+
 
+SKEW = LABELS + """, c AS (SELECT b, k, count(*) AS n FROM s GROUP BY ALL), pb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), pk AS (SELECT k, sum(n) AS nk FROM c GROUP BY k), t AS (SELECT sum(n) AS nt FROM c),
+d AS (SELECT pb.b, nb, nt - nb AS nr, coalesce(n, 0) / nb AS p, (nk - coalesce(n, 0)) / (nt - nb) AS q FROM pb CROSS JOIN pk CROSS JOIN t LEFT JOIN c ON c.b = pb.b AND c.k = pk.k),
+skew AS (SELECT b AS batch_id, CAST(nb AS BIGINT) AS n_batch, CAST(nr AS BIGINT) AS n_rest,
+ sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))) AS js FROM d GROUP BY b, nb, nr)"""
 
-@query("label_skew", LABELS + """, c AS (SELECT b, k, count(*) AS n FROM s GROUP BY ALL), pb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), pk AS (SELECT k, sum(n) AS nk FROM c GROUP BY k), t AS (SELECT sum(n) AS nt FROM c),
-d AS (SELECT pb.b, nb, nt - nb AS nr, coalesce(n, 0) / nb AS p, (nk - coalesce(n, 0)) / (nt - nb) AS q FROM pb CROSS JOIN pk CROSS JOIN t LEFT JOIN c ON c.b = pb.b AND c.k = pk.k)
-SELECT b AS batch_id, CAST(nb AS BIGINT) AS n_batch, CAST(nr AS BIGINT) AS n_rest, round(sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))), 6) AS js FROM d GROUP BY b, nb, nr""")
+
+@query("label_skew", SKEW + " SELECT batch_id, n_batch, n_rest, round(js, 6) AS js FROM skew")
 def label_skew(spark, d):
     s, b = bindings.label_samples(spark, d)
     return detect.label_skew(s, b).select("batch_id", "n_batch", "n_rest", r6("js").alias("js"))
 
 
-@query("label_findings")
+LABEL_FOUND = "n_batch >= 10 AND n_rest >= 10 AND js >= 0.25"
+
+
+@query("label_findings", SKEW + f" SELECT batch_id AS source_id, 'LABEL_DISTRIBUTION_ANOMALY' AS evidence_type, round(least(1.0, js / 0.6), 3) AS severity, CAST(0.85 AS DOUBLE) AS confidence, 'label_detector' AS detector, n_batch, n_rest, round(js, 6) AS js FROM skew WHERE {LABEL_FOUND}")
 def label_findings(spark, d):
-    return detect.labels(*bindings.label_samples(spark, d))
+    x = F.from_json("details", "n_batch long, n_rest long, js double")
+    f = detect.labels(*bindings.label_samples(spark, d)).withColumn("x", x)
+    return f.select("source_id", "evidence_type", "severity", "confidence", "detector", "x.n_batch", "x.n_rest", r6("x.js").alias("js"))
 
 
 @query("ood_scores", """WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS b, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), g AS (SELECT b, d, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM e GROUP BY ALL),
@@ -104,12 +112,21 @@ def ood_scores(spark, d):
     return detect.ood_scores(*bindings.embedding_samples(spark, d)).select("sample_id", "batch_id", "n_ref", r6("z").alias("z"))
 
 
-@query("ood_injected")
+@query("ood_injected", """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS b, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY md5('42:' || id), id) AS place, count(*) OVER (PARTITION BY b) AS size FROM e),
+every AS (SELECT id, b, v FROM e UNION ALL SELECT id, b || '-injected', v FROM r UNION ALL SELECT 'ood-' || id, b || '-injected', [v[i] + 8.0 * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END FOR i IN range(1, len(v) + 1)] FROM r WHERE place <= greatest(1, floor(size * 0.15))),
+x AS (SELECT id, b, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM every), g AS (SELECT b, d, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM x GROUP BY ALL),
+t AS (SELECT b, d, sum(n) OVER w - n AS n, sum(s) OVER w - s AS s, sum(ss) OVER w - ss AS ss FROM g WINDOW w AS (PARTITION BY d)), m AS (SELECT b, d, n, s / n AS mu, greatest(sqrt(greatest(ss / n - (s / n) * (s / n), 0.0)), 1e-6) AS sd FROM t WHERE n > 0),
+z AS (SELECT id, b, min(n) AS n, sqrt(avg(pow((x - mu) / sd, 2))) AS z FROM x JOIN m USING (b, d) GROUP BY ALL)
+SELECT b AS source_id, round(least(1.0, max(z) / 6), 3) AS severity, round(max(z), 6) AS max_z, count(*) FILTER (z >= 3) AS n_flagged, round(count(*) FILTER (z >= 3) / count(*), 6) AS fraction, array_to_string((list(id ORDER BY id) FILTER (z >= 3))[1:50], ',') AS flagged
+FROM z WHERE n >= 8 GROUP BY b HAVING count(*) FILTER (z >= 3) > 0""")
 def ood_injected(spark, d):
     s, b = bindings.embedding_samples(spark, d)
     wild = scenarios.ood_injection(s.withColumn("label_class", F.col("batch_id")))
     both = s.select(F.col("sample_id").cast("string").alias("sample_id"), "batch_id", F.col("embedding").cast("array<double>")).unionByName(wild.select("sample_id", "batch_id", F.col("embedding").cast("array<double>")))
-    return detect.ood(both, both.select("batch_id", F.lit("all").alias("dataset_id")).distinct())
+    f = detect.ood(both, both.select("batch_id", F.lit("all").alias("dataset_id")).distinct())
+    f = f.withColumn("x", F.from_json("details", "max_z double, n_flagged long, fraction double, flagged array<string>"))
+    return f.select("source_id", "severity", r6("x.max_z").alias("max_z"), "x.n_flagged", r6("x.fraction").alias("fraction"), F.array_join("x.flagged", ",").alias("flagged"))
 
 
 @query("near_duplicate_pairs", """WITH s AS (SELECT doc_id, source, left(md5(text), 16) AS h FROM documents), p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, list_sum([bit_count(xor(strpos('0123456789abcdef', substr(x.h, i, 1)) - 1, strpos('0123456789abcdef', substr(y.h, i, 1)) - 1)) FOR i IN range(1, 17)]) AS d FROM s x JOIN s y ON x.source = y.source AND x.doc_id < y.doc_id)
@@ -118,34 +135,51 @@ def near_duplicate_pairs(spark, d):
     return detect.near_pairs(bindings.label_samples(spark, d)[0]).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query("duplicate_flood")
+# fingerprints are digests, so near ones are only the jittered copies, which differ in their last digit
+@query("duplicate_flood", """WITH s AS (SELECT doc_id, source, left(md5(text), 15) AS h, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), CAST(doc_id AS VARCHAR)) AS place, count(*) OVER (PARTITION BY source) AS size FROM documents),
+c AS (SELECT source || '-flooded' AS b, h, CASE WHEN k = 0 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '-' || k END AS name FROM s, unnest(CASE WHEN place <= greatest(1, floor(size * 0.4 / 20)) THEN range(1, 21) ELSE [0] END) AS u(k) WHERE h IS NOT NULL),
+g AS (SELECT b, count(*) AS size, array_to_string((list(name ORDER BY name))[1:50], ',') AS members FROM c GROUP BY b, h), f AS (SELECT *, sum(size) OVER (PARTITION BY b) AS hashed FROM g)
+SELECT b AS source_id, round(least(1.0, 1.5 * size / hashed), 3) AS severity, size, round(size / hashed, 6) AS fraction, members FROM f WHERE hashed >= 5 AND size >= 2 AND size / hashed >= 0.15""")
 def duplicate_flood(spark, d):
     s, _ = bindings.label_samples(spark, d)
-    return detect.duplicates(scenarios.duplicate_flood(s, copies=20))
+    f = detect.duplicates(scenarios.duplicate_flood(s, copies=20)).withColumn("x", F.from_json("details", "size long, fraction double, members array<string>"))
+    return f.select("source_id", "severity", "x.size", r6("x.fraction").alias("fraction"), F.array_join("x.members", ",").alias("members"))
+
+
+@query("detect_all", SKEW + f""", b AS (SELECT DISTINCT source FROM documents), h AS (SELECT source, count(*) AS size FROM documents WHERE text IS NOT NULL GROUP BY source, md5(text)), f AS (SELECT *, sum(size) OVER (PARTITION BY source) AS hashed FROM h)
+SELECT batch_id AS source_id, 'LABEL_DISTRIBUTION_ANOMALY' AS kind, round(least(1.0, js / 0.6), 3) AS severity FROM skew WHERE {LABEL_FOUND} UNION ALL SELECT source, 'NEAR_DUPLICATE_CLUSTER', round(least(1.0, 1.5 * size / hashed), 3) FROM f WHERE hashed >= 5 AND size >= 2 AND size / hashed >= 0.15
+UNION ALL SELECT source, 'inspected by ' || x, NULL FROM b CROSS JOIN (VALUES ('duplicate_detector'), ('label_detector'), ('ood_detector')) t(x)""")
+def detect_all(spark, d):
+    s, b = bindings.label_samples(spark, d)
+    found, ran = detect.all_batches(s.withColumn("embedding", F.lit(None).cast("array<double>")), b)
+    ran = ran.select(F.col("node_id").alias("source_id"), F.concat(F.lit("inspected by "), "detector").alias("kind"), F.lit(None).cast("double").alias("severity"))
+    return found.select("source_id", F.col("evidence_type").alias("kind"), "severity").unionByName(ran)
 
 
 @query("exact_duplicates", "SELECT source AS batch_id, md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, round(count(*) / any_value(t.n), 6) AS fraction FROM documents JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) t USING (source) GROUP BY ALL HAVING count(*) > 1")
 def exact_duplicates(spark, d):
-    s = load(spark, d, "documents").select(F.col("source").alias("batch_id"), F.md5("text").alias("digest"), "doc_id")
-    per = s.groupBy("batch_id").agg(F.count("*").alias("all"))
-    g = s.groupBy("batch_id", "digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").join(per, "batch_id")
-    return g.select("batch_id", "digest", "n", "first_id", r6(F.col("n") / F.col("all")).alias("fraction"))
+    s = load(spark, d, "documents").select(F.col("source").alias("batch_id"), F.md5("text").alias("digest"), F.col("doc_id").alias("sample_id"))
+    return detect.exact_duplicates(s).withColumnRenamed("first", "first_id").withColumn("fraction", r6("fraction"))
 
 
 @query("fingerprint_distances", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL)
 SELECT a.label AS reference, b.label AS candidate, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS l2, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) AS cosine FROM m a JOIN m b ON a.d = b.d AND a.label < b.label GROUP BY ALL""")
 def fingerprint_distances(spark, d):
     e = load(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
-    m = e.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("label", F.col("v.x").alias("v"))
-    p = m.select(F.col("label").alias("reference"), F.col("v").alias("x")).join(m.select(F.col("label").alias("candidate"), F.col("v").alias("y")), F.col("reference") < F.col("candidate"))
-    return p.select("reference", "candidate", r6(scalars.l2(F.col("x"), F.col("y"))).alias("l2"), r6(scalars.cosine(F.col("x"), F.col("y"))).alias("cosine"))
+    m = e.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select(F.col("label").alias("model_id"), F.col("v.x").alias("fingerprint"))
+    p = detect.fingerprint_distances(m)
+    return p.select("reference", "candidate", r6("l2").alias("l2"), r6("cosine").alias("cosine"))
 
 
-@query("behaviour_findings")
+@query("behaviour_findings", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT y.vec_id, sqrt(list_sum([(x.v[i] - y.v[i]) * (x.v[i] - y.v[i]) FOR i IN range(1, len(x.v) + 1)])) AS l2,
+ list_sum([x.v[i] * y.v[i] FOR i IN range(1, len(x.v) + 1)]) / (sqrt(list_sum([a * a FOR a IN x.v])) * sqrt(list_sum([a * a FOR a IN y.v]))) AS sim FROM e x JOIN e y ON y.vec_id = x.vec_id + 1),
+s AS (SELECT *, greatest(least(1.0, l2 / 2), least(1.0, greatest(0.0, (1 - sim) / 0.5))) AS severity, least(0.99, 0.65 + 0.2 * least(1.0, l2) + 0.15 * least(1.0, greatest(0.0, 1 - sim))) AS confidence FROM p)
+SELECT CAST(vec_id AS VARCHAR) AS source_id, round(severity, 3) AS severity, round(confidence, 3) AS confidence, round(l2, 6) AS distance, round(sim, 6) AS similarity FROM s WHERE severity >= 0.25""")
 def behaviour_findings(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     p = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("reference")).join(e.withColumnRenamed("v", "candidate"), "vec_id")
-    return detect.behaviour(p.select(F.col("vec_id").cast("string").alias("model_id"), "reference", "candidate"))
+    f = detect.behaviour(p.select(F.col("vec_id").cast("string").alias("model_id"), "reference", "candidate")).withColumn("x", F.from_json("details", "distance double, similarity double"))
+    return f.select("source_id", "severity", "confidence", r6("x.distance").alias("distance"), r6("x.similarity").alias("similarity"))
 
 
 PART_FIELDS = ("p_brand", "p_type", "p_size")
@@ -223,31 +257,61 @@ def correlation_pairs(spark, d):
 SELECT case_id, anc AS node_id, round(w / t, 6) AS fraction, size AS closure_size, n AS n_evidence, st AS stages, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(w / t, 9) DESC, size, anc) AS INT) AS rank FROM held JOIN tot USING (case_id) JOIN z USING (case_id, anc)""")
 def candidate_origins(spark, d):
     o = lineage.candidate_origins(user_cases(spark, d))
-    return o.select("case_id", "node_id", r6("fraction").alias("fraction"), "closure_size", F.size("evidence_ids").cast("long").alias("n_evidence"), F.array_join(F.array_sort("stages"), ",").alias("stages"), "rank")
+    return o.select("case_id", "node_id", r6("fraction").alias("fraction"), "closure_size", F.col("n_evidence").cast("long").alias("n_evidence"), F.array_join(F.array_sort("stages"), ",").alias("stages"), "rank")
 
 
-@query("attack_paths")
+# in these cases a node has one predecessor below any origin, and topological order is that of the codes
+PLACE = "list_position(['C', 'DS', 'B', 'IN', 'S', 'TR', 'M', 'D', 'I', 'O'], split_part({0}, '_', 1))"
+RANKED = """, tot AS (SELECT case_id, sum(weight) AS t FROM weighted GROUP BY ALL HAVING sum(weight) > 0), z AS (SELECT case_id, anc, count(*) AS size FROM closure GROUP BY ALL), held AS (SELECT c.case_id, c.anc, sum(weight) AS w, count(*) AS n, count(DISTINCT detector) AS nd, string_agg(DISTINCT stage, ',' ORDER BY stage) AS st FROM closure c JOIN weighted v ON v.case_id = c.case_id AND v.source_id = c.dst GROUP BY ALL),
+ranked AS (SELECT case_id, anc AS node_id, w / t AS fraction, size AS closure_size, n AS n_evidence, nd AS n_detectors, st AS stages, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(w / t, 9) DESC, size, anc) AS INT) AS rank FROM held JOIN tot USING (case_id) JOIN z USING (case_id, anc))"""
+
+
+@query("attack_paths", ALL_CASES + RANKED + f""", origin AS (SELECT case_id, node_id AS origin FROM ranked WHERE rank = 1), hit AS (SELECT DISTINCT o.case_id, o.origin, dst AS n FROM origin o JOIN closure c ON c.case_id = o.case_id AND c.anc = origin JOIN src ON src.case_id = c.case_id AND src.source_id = c.dst),
+way AS (SELECT DISTINCT o.case_id, o.origin, c.dst AS n FROM origin o JOIN closure c ON c.case_id = o.case_id AND c.anc = origin JOIN closure k ON k.case_id = c.case_id AND k.anc = c.dst JOIN hit h ON h.case_id = k.case_id AND h.n = k.dst)
+SELECT case_id, origin, (SELECT string_agg(n, ',' ORDER BY {PLACE.format('n')}) FROM way w WHERE w.case_id = o.case_id) AS nodes, coalesce((SELECT string_agg(src || '->' || dst, ',' ORDER BY {PLACE.format('src')}, {PLACE.format('dst')}) FROM edges e JOIN way a ON a.case_id = e.case_id AND a.n = src JOIN way b ON b.case_id = e.case_id AND b.n = dst WHERE e.case_id = o.case_id), '') AS edges,
+ (SELECT string_agg(n, ',' ORDER BY {PLACE.format('n')}) FROM hit h WHERE h.case_id = o.case_id) AS evidence_nodes FROM origin o""")
 def attack_paths(spark, d):
     g = user_cases(spark, d)
     best = lineage.candidate_origins(g).filter("rank = 1").select("case_id", F.col("node_id").alias("origin"))
-    return lineage.attack_paths(g, best)
+    return lineage.attack_paths(g, best).select("case_id", "origin", *[F.array_join(c, ",").alias(c) for c in ("nodes", "edges", "evidence_nodes")])
 
 
-@query("lineage_paths")
+# shortcuts DS -> TR and B -> M make several paths, of which the first three count
+@query("lineage_paths", ALL_CASES + """, more AS (SELECT case_id, src, dst FROM edges UNION ALL SELECT case_id, node_id, 'TR' || substr(node_id, 3) FROM nodes WHERE node_type = 'DATASET' UNION ALL SELECT case_id, node_id, 'M' || substr(node_id, 2) FROM nodes WHERE node_type = 'BATCH'),
+walk(case_id, path) AS (SELECT case_id, [node_id] FROM nodes WHERE node_type IN ('CONTRIBUTOR', 'DATASET', 'INPUT') UNION ALL SELECT w.case_id, list_append(path, dst) FROM walk w JOIN more m ON m.case_id = w.case_id AND m.src = path[-1]),
+ends AS (SELECT *, row_number() OVER (PARTITION BY case_id, path[1] ORDER BY len(path), path) AS k FROM walk WHERE path[-1] LIKE 'O\\_%' ESCAPE '\\') SELECT case_id, array_to_string(path, '->') AS path FROM ends WHERE k <= 3""")
 def lineage_paths(spark, d):
-    from plumbline.plans import fixtures
+    g = user_cases(spark, d)
+    extra = lambda kind, code, cut: g.nodes.filter(F.col("node_type") == kind).select("case_id", F.col("node_id").alias("src"), F.concat(F.lit(code), F.expr(f"substring(node_id, {cut})")).alias("dst"), F.lit("TRAINED_ON").alias("edge_type"))
+    g = replace(g, edges=g.edges.union(extra("DATASET", "TR", 3)).union(extra("BATCH", "M", 2)))
+    ends = g.nodes.filter("node_type in ('CONTRIBUTOR', 'DATASET', 'INPUT')").select("case_id", F.col("node_id").alias("src"), F.regexp_replace("node_id", "^[A-Z]+", "O").alias("dst"))
+    return lineage.paths_between(g, ends, limit=3).select("case_id", F.array_join("path", "->").alias("path"))
 
-    return lineage.lineage_paths(fixtures.demo(spark), "B17", "O982").select("case_id", F.array_join("path", "->").alias("path"))
 
+LEGAL = _values([(e, a, b) for e, pairs in dims.LEGAL.items() for a, b in pairs])
 
-@query("validation", ALL_CASES + " SELECT case_id, 'illegal_edge' AS problem, '' AS subject FROM nodes WHERE false")
+
+# every kind of fault, in some of the cases
+@query("validation", ALL_CASES + f""", n AS (SELECT case_id, node_id, node_type FROM nodes UNION ALL {bindings.FAULTS['nodes']}), e AS (SELECT case_id, src, dst, edge_type FROM edges UNION ALL {bindings.FAULTS['edges']}), v AS (SELECT case_id, evidence_id, source_id, severity, confidence FROM evidence UNION ALL {bindings.FAULTS['evidence']}),
+t AS (SELECT e.*, a.node_type AS st, b.node_type AS dt FROM e LEFT JOIN n a ON a.case_id = e.case_id AND a.node_id = e.src LEFT JOIN n b ON b.case_id = e.case_id AND b.node_id = e.dst)
+SELECT case_id, 'unknown_node' AS problem, src || '->' || dst AS subject FROM t WHERE st IS NULL OR dt IS NULL UNION ALL SELECT case_id, 'self_loop', src || '->' || dst FROM e WHERE src = dst
+UNION ALL SELECT case_id, 'illegal_edge', src || '->' || dst FROM t WHERE src <> dst AND st IS NOT NULL AND dt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (VALUES {LEGAL}) l(x, y, z) WHERE x = edge_type AND y = st AND z = dt)
+UNION ALL SELECT case_id, 'conflicting_edge', src || '->' || dst FROM e GROUP BY case_id, src, dst HAVING count(DISTINCT edge_type) > 1 UNION ALL SELECT case_id, 'conflicting_node', node_id FROM n GROUP BY case_id, node_id HAVING count(DISTINCT node_type) > 1
+UNION ALL SELECT case_id, 'bad_number', evidence_id FROM v WHERE NOT coalesce(severity BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1, false) UNION ALL SELECT case_id, 'repeated_evidence', evidence_id FROM v GROUP BY case_id, evidence_id HAVING count(*) > 1
+UNION ALL SELECT case_id, 'unknown_source', evidence_id FROM v WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.case_id = v.case_id AND n.node_id = v.source_id)""")
 def validation(spark, d):
-    return lineage.validate(user_cases(spark, d))
+    return lineage.validate(bindings.faulty_cases(spark, d))
+
 
+# the samples of every fourth case have lost their edge
+LOST = "dst LIKE 'S\\_%' ESCAPE '\\' AND CAST(substr(case_id, 2) AS INT) % 4 = 0"
 
-@query("isolated_nodes", ALL_CASES + " SELECT case_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.case_id = n.case_id AND (e.src = n.node_id OR e.dst = n.node_id))")
+
+@query("isolated_nodes", ALL_CASES + f" SELECT case_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE NOT ({LOST}) AND e.case_id = n.case_id AND (e.src = n.node_id OR e.dst = n.node_id))")
 def isolated_nodes(spark, d):
-    return lineage.isolated(user_cases(spark, d))
+    g = user_cases(spark, d)
+    lost = F.col("dst").startswith("S_") & (F.expr("cast(substring(case_id, 2) as int)") % 4 == 0)
+    return lineage.isolated(replace(g, edges=g.edges.filter(~lost)))
 
 
 @query("node_export", ALL_CASES + f" SELECT n.case_id, n.node_id, n.node_type, {STAGE_SQL.replace('node_type', 'n.node_type')} AS stage, count(v.evidence_id) AS evidence_count, round(coalesce(max(severity), 0), 6) AS max_severity FROM nodes n LEFT JOIN evidence v ON v.case_id = n.case_id AND v.source_id = n.node_id GROUP BY ALL")
@@ -255,14 +319,27 @@ def node_export(spark, d):
     return lineage.export(user_cases(spark, d)).select("case_id", "node_id", "node_type", "stage", "evidence_count", r6("max_severity").alias("max_severity"))
 
 
-@query("graph_documents")
+# each case written as a document and read again
+@query("graph_documents", ALL_CASES + " SELECT case_id, 'node' AS part, node_id AS id, node_type AS kind, label AS text, CAST(NULL AS DOUBLE) AS weight FROM nodes UNION ALL SELECT case_id, 'edge', src, edge_type, dst, NULL FROM edges UNION ALL SELECT case_id, 'evidence', evidence_id, evidence_type, source_id || ' ' || detector, round(severity * confidence, 6) FROM evidence")
 def graph_documents(spark, d):
-    return lineage.to_json(user_cases(spark, d))
+    g = lineage.from_json(lineage.to_json(user_cases(spark, d)))
+    row = lambda df, part, i, kind, text, weight: df.select("case_id", F.lit(part).alias("part"), F.col(i).alias("id"), F.col(kind).alias("kind"), text.alias("text"), weight.cast("double").alias("weight"))
+    none = F.lit(None)
+    out = row(g.nodes, "node", "node_id", "node_type", F.col("label"), none).union(row(g.edges, "edge", "src", "edge_type", F.col("dst"), none))
+    return out.union(row(g.evidence, "evidence", "evidence_id", "evidence_type", F.concat_ws(" ", "source_id", "detector"), r6(F.col("severity") * F.col("confidence"))))
 
 
-@query("layout_positions", ALL_CASES + " SELECT case_id, node_id, node_type, CAST(row_number() OVER (PARTITION BY node_type ORDER BY node_id) AS INT) AS position FROM nodes")
+@query("layout_positions", ALL_CASES + f" SELECT case_id, node_id, node_type, CAST(list_position({list(dims.STAGES)}, {STAGE_SQL}) - 1 AS INT) AS rank, CAST(row_number() OVER (PARTITION BY case_id, node_type ORDER BY node_id) AS INT) AS position FROM nodes")
 def layout_positions(spark, d):
-    return user_cases(spark, d).nodes.select("case_id", "node_id", "node_type", F.row_number().over(W.partitionBy("node_type").orderBy("node_id")).alias("position"))
+    return lineage.layout(user_cases(spark, d))
+
+
+# every node added three times: with an empty label, with its own, with a later one
+@query("merged_nodes", ALL_CASES + " SELECT case_id, node_id, node_type, 'again ' || node_id AS label FROM nodes")
+def merged_nodes(spark, d):
+    n = user_cases(spark, d).nodes
+    again = lambda label, at: n.select("case_id", "node_id", "node_type", label.alias("label"), F.lit(at).alias("at"))
+    return lineage.merged(again(F.concat(F.lit("again "), "node_id"), 3).union(again(F.col("label"), 1)).union(again(F.lit(""), 4)))
 
 
 @query("store_graph", """WITH c AS (SELECT DISTINCT lang FROM documents), b AS (SELECT DISTINCT source FROM documents)
@@ -312,53 +389,81 @@ DECIDE = """, lead AS (SELECT case_id, any_value(coverage) AS coverage, any_valu
  arg_min(hypothesis, rank) FILTER (is_attack = 1) AS attack, max(support) FILTER (hypothesis IN ('CLEAN', 'BENIGN_DISTRIBUTION_SHIFT')) AS innocent FROM scores GROUP BY case_id),
 coded AS (SELECT *, CASE WHEN attack_support >= 0.6 THEN 'ATTACK_HIGH' ELSE concat_ws(',', CASE WHEN attack_support >= 0.3 THEN 'ATTACK_MODERATE' WHEN top_raw > 0 AND top_attack = 1 THEN 'ATTACK_LOW' END, CASE WHEN top_raw > 0 AND top = 'BENIGN_DISTRIBUTION_SHIFT' THEN 'BENIGN_SHIFT' END, CASE WHEN top_raw <= 0 THEN 'INCONCLUSIVE' WHEN coverage < 0.75 THEN 'LOW_COVERAGE' END,
  CASE WHEN n_gaps > 0 THEN 'PROVENANCE_GAPS' END, CASE WHEN top_raw > 0 AND top = 'CLEAN' AND coverage >= 0.75 AND top_support - second < 0.5 THEN 'CLEAN_NOT_DECISIVE' END) END AS codes FROM lead),
-stated AS (SELECT *, CASE WHEN attack_support >= 0.6 THEN 'RED' WHEN codes = '' THEN 'GREEN' ELSE 'AMBER' END AS state, CASE WHEN attack_support >= 0.6 THEN attack_support WHEN top_raw <= 0 THEN 0 ELSE top_support END AS leader, CASE WHEN attack_support >= 0.6 THEN innocent WHEN top_raw <= 0 THEN 0 ELSE second END AS rival FROM coded)
-SELECT case_id, state, round(attack_support, 6) AS attack_support, CASE WHEN state = 'RED' THEN attack WHEN top_raw <= 0 THEN 'INCONCLUSIVE' ELSE top END AS top_hypothesis, CASE WHEN codes LIKE 'ATTACK_%' THEN attack END AS focus, round(greatest(0, leader - rival), 6) AS decision_margin, CASE WHEN codes = '' THEN 'CLEAN_CONFIRMED' ELSE codes END AS codes FROM stated"""
+stated AS (SELECT *, CASE WHEN attack_support >= 0.6 THEN 'RED' WHEN codes = '' THEN 'GREEN' ELSE 'AMBER' END AS state, CASE WHEN attack_support >= 0.6 THEN attack_support WHEN top_raw <= 0 THEN 0 ELSE top_support END AS leader, CASE WHEN attack_support >= 0.6 THEN innocent WHEN top_raw <= 0 THEN 0 ELSE second END AS rival FROM coded),
+decided AS (SELECT case_id, state, attack_support, round(100 * least(greatest(attack_support, 0), 1), 1) AS risk, round(100 * (0.5 * least(1, greatest(0, leader - rival) / 0.5) + 0.5 * leader) * (0.5 + 0.5 * coverage), 1) AS confidence, round(100 * coverage, 1) AS coverage, CASE WHEN state = 'RED' THEN attack WHEN top_raw <= 0 THEN 'INCONCLUSIVE' ELSE top END AS top_hypothesis,
+ CASE WHEN codes LIKE 'ATTACK_%' THEN attack END AS focus, greatest(0, leader - rival) AS decision_margin, CASE WHEN codes = '' THEN 'CLEAN_CONFIRMED' ELSE codes END AS codes FROM stated)"""
 
 
-@query("decisions", ALL_CASES + DECIDE)
+@query("decisions", ALL_CASES + DECIDE + " SELECT * REPLACE (round(attack_support, 6) AS attack_support, round(decision_margin, 6) AS decision_margin) FROM decided")
 def decisions(spark, d):
     f = fusion.fuse(user_cases(spark, d), CONFIG)
     x = assurance.decide(f.scores, f.context)
-    return x.select("case_id", "state", r6("attack_support").alias("attack_support"), "top_hypothesis", "focus", r6("decision_margin").alias("decision_margin"), F.array_join("codes", ",").alias("codes"))
+    return x.select("case_id", "state", r6("attack_support").alias("attack_support"), "risk", "confidence", "coverage", "top_hypothesis", "focus", r6("decision_margin").alias("decision_margin"), F.array_join("codes", ",").alias("codes"))
 
 
-@query("attributed_origins")
+FITS = _values([(h, t) for h, types in dims.ORIGIN_TYPES.items() for t in types or ()])
+
+
+@query("attributed_origins", ALL_CASES + DECIDE + RANKED + f""", o AS (SELECT r.*, n.node_type, focus, fraction >= 0.25 AND EXISTS (SELECT 1 FROM (VALUES {FITS}) f(h, t) WHERE h = focus AND t = n.node_type) AS fits FROM ranked r JOIN nodes n USING (case_id, node_id) JOIN decided d USING (case_id) WHERE focus IS NOT NULL)
+SELECT case_id, node_id AS origin, node_type, round(fraction, 6) AS fraction, n_evidence, n_detectors, stages FROM o QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY fits DESC, rank) = 1""")
 def attributed_origins(spark, d):
     inv = assurance.investigate(user_cases(spark, d))
-    return inv.origins.select("case_id", "origin", "node_type", r6("fraction").alias("fraction"), F.size("evidence_ids").alias("n_evidence"), "n_detectors")
+    return inv.origins.select("case_id", "origin", "node_type", r6("fraction").alias("fraction"), F.col("n_evidence").cast("long").alias("n_evidence"), "n_detectors", F.array_join(F.array_sort("stages"), ",").alias("stages"))
+
 
+NEEDED = _values([(c, k, d, j) for k, (c, (_, ds)) in enumerate(dims.CHECKS.items(), 1) for j, d in enumerate(ds)])
 
-@query("warnings")
+
+@query("warnings", ALL_CASES + f""", blind AS (SELECT n.case_id, n.node_type, count(*) AS n, count(*) FILTER (NOT seen) AS k, array_to_string((list(node_id ORDER BY node_id) FILTER (NOT seen))[1:5], ', ') AS missing FROM (SELECT *, EXISTS (SELECT 1 FROM inspected i WHERE i.case_id = x.case_id AND i.node_id = x.node_id) AS seen FROM nodes x WHERE node_type IN {dims.COVERED}) n GROUP BY ALL)
+SELECT case_id, 0 AS ord, node_id AS subject, 'provenance gap at ' || node_id || ': ' || issue AS message FROM gaps
+UNION ALL SELECT s.case_id, 1, CAST(k AS VARCHAR), 'integrity check ' || chr(39) || name || chr(39) || ' is unverified (detectors not run: ' || string_agg(detector, ', ' ORDER BY j) || ')' FROM status s JOIN (VALUES {NEEDED}) t(name, k, detector, j) USING (name) WHERE status = 'UNKNOWN' AND NOT EXISTS (SELECT 1 FROM inspected i WHERE i.case_id = s.case_id AND i.detector = t.detector) GROUP BY s.case_id, name, k
+UNION ALL SELECT case_id, 2, CAST(list_position({list(dims.COVERED)}, node_type) AS VARCHAR), k || '/' || n || ' ' || node_type || ' nodes not inspected: ' || missing || CASE WHEN k > 5 THEN ' (+' || (k - 5) || ' more)' ELSE '' END FROM blind WHERE k > 0
+UNION ALL SELECT c.case_id, 3, CAST(idx - 1 AS VARCHAR), 'no ' || stage || '-stage nodes registered; that stage was not assessed' FROM (SELECT DISTINCT case_id FROM nodes) c CROSS JOIN (SELECT unnest({list(dims.STAGES)}) AS stage, generate_subscripts({list(dims.STAGES)}, 1) AS idx) t WHERE NOT EXISTS (SELECT 1 FROM (SELECT case_id, {STAGE_SQL} AS st FROM nodes) n WHERE n.case_id = c.case_id AND n.st = t.stage)
+UNION ALL SELECT case_id, 4, '', 'evidence types ignored by fusion (no evidence-map row): ' || string_agg(DISTINCT evidence_type, ', ' ORDER BY evidence_type) FROM weighted WHERE evidence_type NOT IN (SELECT evidence_type FROM coef) GROUP BY case_id""")
 def warning_rows(spark, d):
     return assurance.warning_rows(user_cases(spark, d))
 
 
-@query("counterfactuals")
+# every scenario's variants as further cases of the same SQL
+SCENARIO_CASES = "WITH RECURSIVE " + ", ".join(f"{name + '0' if name in ('nodes', 'edges', 'evidence', 'inspections') else name} AS ({sql})" for name, sql in CASES.items())
+TAKEN = """, scen AS (SELECT case_id, node_id AS target, node_type FROM nodes0), first AS (SELECT case_id, target, target AS node_id FROM scen UNION SELECT s.case_id, target, dst FROM scen s JOIN edges0 e ON e.case_id = s.case_id AND e.src = target WHERE (node_type = 'CONTRIBUTOR' AND edge_type = 'CONTRIBUTED') OR (node_type = 'DATASET' AND edge_type = 'CONTAINS')),
+gone AS (SELECT * FROM first UNION SELECT s.case_id, s.target, n.node_id FROM scen s JOIN nodes0 n ON n.case_id = s.case_id AND n.node_type = 'SAMPLE' WHERE EXISTS (SELECT 1 FROM edges0 e JOIN first f ON f.case_id = e.case_id AND f.node_id = e.src WHERE e.case_id = s.case_id AND f.target = s.target AND e.dst = n.node_id AND e.edge_type = 'CONTAINS')
+ AND NOT EXISTS (SELECT 1 FROM edges0 e WHERE e.case_id = s.case_id AND e.dst = n.node_id AND NOT EXISTS (SELECT 1 FROM first f WHERE f.case_id = e.case_id AND f.target = s.target AND f.node_id = e.src)))"""
+_left = lambda alias, *cols: " AND ".join(f"NOT EXISTS (SELECT 1 FROM gone g WHERE g.case_id = s.case_id AND g.target = s.target AND g.node_id = {alias}.{c})" for c in cols)
+VARIANTS = SCENARIO_CASES + TAKEN + f""", var AS (SELECT case_id, target, node_type, v, case_id || '#' || target || '#' || v AS name FROM scen CROSS JOIN (VALUES ('structural'), ('final')) t(v)),
+nodes AS (SELECT * FROM nodes0 UNION ALL SELECT s.name, n.node_id, n.node_type, n.label FROM var s JOIN nodes0 n ON n.case_id = s.case_id WHERE {_left('n', 'node_id')}), edges AS (SELECT * FROM edges0 UNION ALL SELECT s.name, e.src, e.dst, e.edge_type FROM var s JOIN edges0 e ON e.case_id = s.case_id WHERE {_left('e', 'src', 'dst')})""" + CLOSURE + f""",
+kept AS (SELECT s.case_id AS of, s.target, s.v, s.name, e.* EXCLUDE (case_id) FROM var s JOIN evidence0 e ON e.case_id = s.case_id WHERE {_left('e', 'source_id')}),
+retrained AS (SELECT s.case_id, s.target, s.name, m.node_id FROM var s JOIN closure c ON c.case_id = s.case_id AND c.anc = s.target AND c.dist > 0 JOIN nodes m ON m.case_id = s.name AND m.node_id = c.dst AND m.node_type = 'MODEL' WHERE s.v = 'final' AND s.node_type IN ('CONTRIBUTOR', 'DATASET', 'BATCH', 'SAMPLE')),
+sensitive AS (SELECT r.*, k.evidence_id, EXISTS (SELECT 1 FROM closure c JOIN kept d ON d.name = c.case_id AND d.source_id = c.anc JOIN nodes n ON n.case_id = c.case_id AND n.node_id = c.anc WHERE c.case_id = r.name AND c.dst = r.node_id AND n.node_type IN ('CONTRIBUTOR', 'DATASET', 'BATCH', 'SAMPLE') AND d.severity * d.confidence >= 0.15) AS blocked
+ FROM retrained r JOIN kept k ON k.name = r.name AND k.source_id = r.node_id AND k.evidence_type IN ('BEHAVIORAL_DEVIATION', 'TRIGGER_SENSITIVITY')),
+evidence AS (SELECT case_id, evidence_id, source_id, evidence_type, severity, confidence, detector FROM evidence0 UNION ALL SELECT name, evidence_id, source_id, evidence_type, severity, confidence, detector FROM kept k WHERE NOT EXISTS (SELECT 1 FROM sensitive c WHERE c.name = k.name AND c.evidence_id = k.evidence_id AND NOT blocked)),
+inspections AS (SELECT case_id, node_id, detector FROM inspections0 UNION SELECT s.name, i.node_id, i.detector FROM var s JOIN inspections0 i ON i.case_id = s.case_id WHERE {_left('i', 'node_id')} UNION SELECT name, source_id, detector FROM kept)"""
+VARIANT_CASES = VARIANTS + WEIGHTED + INSPECTED + COVERAGE + GAPS + SOURCES + RELATION + CHECKS + SCORES + DECIDE
+
+
+@query("counterfactuals", VARIANT_CASES + """, ids AS (SELECT g.case_id, g.target, string_agg(DISTINCT g.node_id, ',' ORDER BY g.node_id) AS removed_nodes, coalesce(string_agg(DISTINCT e.evidence_id, ',' ORDER BY e.evidence_id), '') AS removed_evidence FROM gone g LEFT JOIN evidence0 e ON e.case_id = g.case_id AND e.source_id = g.node_id GROUP BY ALL),
+moved AS (SELECT case_id, target, string_agg(evidence_id, ',' ORDER BY evidence_id) FILTER (NOT blocked) AS cleared, string_agg(evidence_id, ',' ORDER BY evidence_id) FILTER (blocked) AS retained FROM sensitive GROUP BY ALL),
+r AS (SELECT s.case_id, s.target, o.risk AS original_risk, a.risk AS structural_risk, b.risk AS final_risk, round(o.risk - b.risk, 1) AS risk_delta, o.state AS original_state, b.state AS final_state FROM scen s JOIN decided o ON o.case_id = s.case_id JOIN decided a ON a.case_id = s.case_id || '#' || s.target || '#structural' JOIN decided b ON b.case_id = s.case_id || '#' || s.target || '#final')
+SELECT r.*, CASE WHEN abs(risk_delta) < 1 THEN 'NONE' WHEN risk_delta < 0 THEN 'INCREASED' WHEN risk_delta >= 30 THEN 'SUBSTANTIAL' WHEN risk_delta >= 10 THEN 'MODERATE' ELSE 'SLIGHT' END AS effect, removed_nodes, removed_evidence, coalesce(cleared, '') AS cleared_evidence, coalesce(retained, '') AS retained_evidence FROM r JOIN ids USING (case_id, target) LEFT JOIN moved USING (case_id, target)""")
 def counterfactuals(spark, d):
-    g = user_cases(spark, d)
-    t = g.nodes.filter("node_type in ('CONTRIBUTOR', 'BATCH', 'MODEL')")
-    r = counterfactual.simulate(g, t, nested_samples=False).results
-    return r.select("case_id", "target", "original_risk", "structural_risk", "final_risk", "risk_delta", "effect", "original_state", "final_state", "removed_nodes", "removed_evidence", "cleared_evidence", "retained_evidence")
+    r = counterfactual.simulate(user_cases(spark, d)).results
+    lists = [F.array_join(c, ",").alias(c) for c in ("removed_nodes", "removed_evidence", "cleared_evidence", "retained_evidence")]
+    return r.select("case_id", "target", "original_risk", "structural_risk", "final_risk", "risk_delta", "effect", "original_state", "final_state", *lists)
 
 
-@query("removal_sets", ALL_CASES + """ SELECT t.case_id, t.node_id AS target, x.node_id FROM nodes t JOIN nodes x ON x.case_id = t.case_id WHERE t.node_type = 'BATCH' AND (x.node_id = t.node_id OR x.node_type = 'SAMPLE')""")
+@query("removal_sets", SCENARIO_CASES + TAKEN + " SELECT case_id, target, node_id FROM gone")
 def removal_sets(spark, d):
-    g = user_cases(spark, d)
-    t = g.nodes.filter("node_type = 'BATCH'").select("case_id", "node_id")
-    return counterfactual.removal_set(g, t, nested_samples=False).join(t.withColumnRenamed("node_id", "target"), "case_id").select("case_id", "target", "node_id")
+    return counterfactual.removals(user_cases(spark, d))
 
 
-@query("evidence_by_stage", ALL_CASES + " SELECT case_id, stage, count(*) AS n, round(sum(weight), 6) AS weight, round(max(severity), 6) AS max_severity FROM weighted GROUP BY ALL")
+@query("evidence_by_stage", ALL_CASES + " SELECT case_id, stage, count(*) AS n, round(sum(weight), 9) AS weight, round(max(severity), 9) AS max_severity FROM weighted GROUP BY ALL")
 def evidence_by_stage(spark, d):
-    return user_cases(spark, d).weighted.groupBy("case_id", "stage").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("weight"), r6(F.max("severity")).alias("max_severity"))
+    return lineage.by_stage(user_cases(spark, d)).select("case_id", "stage", "n", F.round("weight", 9).alias("weight"), F.round("max_severity", 9).alias("max_severity"))
 
 
 @query("evidence_facets", ALL_CASES + " SELECT 'detector' AS facet, detector AS value, count(*) AS n FROM evidence GROUP BY ALL UNION ALL SELECT 'type', evidence_type, count(*) FROM evidence GROUP BY ALL")
 def evidence_facets(spark, d):
-    e = user_cases(spark, d).evidence
-    f = lambda name, c: e.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")
-    return f("detector", "detector").union(f("type", "evidence_type"))
+    return relational.facets(user_cases(spark, d).evidence, {"detector": "detector", "type": "evidence_type"})
 
 
 @query("evidence_search", ALL_CASES + " SELECT case_id, evidence_id, source_id FROM weighted WHERE detector = 'trigger_detector' AND lower(concat_ws(' ', evidence_id, source_id, evidence_type, detector, stage)) LIKE '%m\\_1%' ESCAPE '\\'")
@@ -369,31 +474,40 @@ def evidence_search(spark, d):
 
 @query("conversation_search", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND lower(text) LIKE '%the and%'")
 def conversation_search(spark, d):
-    c = load(spark, d, "conversations")
-    return c.filter((F.col("role") == "user") & F.lower("text").contains("the and")).select("conv_id", "turn", "role")
+    return relational.search_rows(load(spark, d, "conversations"), " THE and", ("text",), role="user").select("conv_id", "turn", "role")
 
 
 @query("ingest_counts", "SELECT lang AS label, count(*) AS n, count(DISTINCT source) AS batches FROM documents GROUP BY ALL")
 def ingest_counts(spark, d):
-    return load(spark, d, "documents").groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("batches"))
+    s = load(spark, d, "documents").select(F.col("lang").alias("label_class"), F.col("source").alias("batch_id"))
+    return relational.ingest_counts(s).withColumnRenamed("label_class", "label")
 
 
-@query("accepted_evidence", "SELECT 'u' || user_id AS source_node_id, event_id, CASE WHEN user_id % 3 = 0 THEN 'unsupported source type' WHEN user_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 0) THEN 'unknown node' END AS reason FROM events WHERE user_id % 3 < 2")
+@query("accepted_evidence", """SELECT 'u' || user_id AS source_node_id, event_id, CASE WHEN user_id % 3 = 0 THEN 'unsupported source type' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND CASE WHEN user_id % 3 = 1 THEN c_acctbal > 0 ELSE c_acctbal <= 0 END) THEN 'unknown node' END AS reason FROM events""")
 def accepted_evidence(spark, d):
-    e = load(spark, d, "events").filter("user_id % 3 < 2").select(F.when(F.col("user_id") % 3 == 0, "gadget").otherwise("model").alias("source_node_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_node_id"), "event_id")
-    n = load(spark, d, "customer").filter("c_acctbal > 0").select(F.lit("MODEL").alias("node_type"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("node_id"))
+    kind = F.when(F.col("user_id") % 3 == 0, "gadget").when(F.col("user_id") % 3 == 1, "model").otherwise("deployment")
+    e = load(spark, d, "events").select(kind.alias("source_node_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_node_id"), "event_id")
+    n = load(spark, d, "customer").select(F.when(F.col("c_acctbal") > 0, "MODEL").otherwise("DEPLOYMENT").alias("node_type"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("node_id"))
     good, bad = relational.accept_evidence(e, n)
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("source_node_id", "event_id", "reason")
 
 
 # --- receipts ---------------------------------------------------------------------------------------------------------
 
-RECEIPTS = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, coalesce('h' || lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS prev_hash FROM events),
-r AS (SELECT CAST(user_id AS VARCHAR) AS dep, event_id AS arrival, sequence, CASE WHEN event_id % 13 = 0 THEN 'r' || event_id % 7 ELSE 'n' || event_id END AS nonce, event_id % 29 <> 0 AS sig_ok, prev_hash, 'h' || event_id AS own_hash FROM e WHERE event_id % 17 <> 0),
+RECEIPTS = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, coalesce('h' || lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS prev_hash, coalesce(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), epoch(ts)) AS stamp FROM events),
+r AS (SELECT CAST(user_id AS VARCHAR) AS dep, event_id AS arrival, sequence, CASE WHEN event_id % 13 = 0 THEN 'r' || event_id % 7 ELSE 'n' || event_id END AS nonce, event_id % 29 <> 0 AS sig_ok, prev_hash, 'h' || event_id AS own_hash, stamp, abs(epoch(ts) - stamp) > 300 AS skewed FROM e WHERE event_id % 17 <> 0),
 p AS (SELECT *, sig_ok AND row_number() OVER (PARTITION BY dep, nonce, sig_ok ORDER BY arrival) > 1 AS replayed FROM r),
 s AS (SELECT *, coalesce(max(CASE WHEN sig_ok AND NOT replayed THEN sequence END) OVER w, 0) AS last_seq, coalesce(max(CASE WHEN NOT sig_ok THEN arrival END) OVER w, -1) > coalesce(max(CASE WHEN sig_ok AND NOT replayed THEN arrival END) OVER w, -1) AS reanchor,
   max(CASE WHEN sig_ok AND NOT replayed THEN struct_pack(a := sequence, b := -arrival, c := own_hash) END) OVER w AS best FROM p WINDOW w AS (PARTITION BY dep ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT *, sig_ok AND NOT replayed AND sequence > last_seq + 1 + reanchor::INT AS gap, sig_ok AND NOT replayed AND prev_hash <> coalesce(best.c, 'GENESIS') AND NOT reanchor AS broken FROM s)"""
+v AS (SELECT *, sig_ok AND NOT replayed AND sequence > last_seq + 1 + reanchor::INT AS gap, sig_ok AND NOT replayed AND prev_hash <> coalesce(best.c, 'GENESIS') AND NOT reanchor AS broken FROM s),
+f AS (SELECT dep, arrival, kind, severity, confidence FROM v JOIN (VALUES ('SIGNATURE_INVALID', 1.0, 1.0), ('OUTPUT_HASH_MISMATCH', 1.0, 1.0), ('INPUT_HASH_MISMATCH', 1.0, 1.0), ('MODEL_ARTIFACT_MISMATCH', 1.0, 1.0), ('CONFIG_MISMATCH', 0.9, 1.0), ('TIMESTAMP_SKEW', 0.5, 0.8), ('REPLAY_DETECTED', 1.0, 1.0), ('CHAIN_BREAK', 0.9, 0.9)) t(kind, severity, confidence)
+ ON CASE kind WHEN 'SIGNATURE_INVALID' THEN NOT sig_ok WHEN 'OUTPUT_HASH_MISMATCH' THEN sig_ok AND arrival % 31 = 0 WHEN 'INPUT_HASH_MISMATCH' THEN sig_ok AND arrival % 37 = 0 WHEN 'MODEL_ARTIFACT_MISMATCH' THEN sig_ok AND arrival % 19 = 0 WHEN 'CONFIG_MISMATCH' THEN sig_ok AND arrival % 23 = 0 WHEN 'TIMESTAMP_SKEW' THEN sig_ok AND skewed WHEN 'REPLAY_DETECTED' THEN replayed ELSE broken END
+ UNION ALL SELECT dep, arrival, 'SEQUENCE_GAP', least(1.0, 0.4 + 0.2 * (sequence - last_seq - 1)), 0.9 FROM v WHERE gap)"""
+
+
+def _verdicts(spark, d):
+    r = bindings.receipts(spark, d)
+    return passports.verdicts(passports.replay_state(r), passports.mismatches(r.columns))
 
 
 @query("receipt_state", RECEIPTS + " SELECT dep AS deployment_id, arrival, replayed, last_seq, coalesce(best.c, 'GENESIS') AS last_hash, reanchor FROM v")
@@ -401,36 +515,59 @@ def receipt_state(spark, d):
     return passports.replay_state(bindings.receipts(spark, d)).select("deployment_id", "arrival", "replayed", "last_seq", "last_hash", "reanchor")
 
 
-@query("receipt_verdicts", RECEIPTS + ", f AS (SELECT dep, arrival, 'SIGNATURE_INVALID' AS kind, 1.0 AS severity, 1.0 AS confidence FROM v WHERE NOT sig_ok UNION ALL SELECT dep, arrival, 'REPLAY_DETECTED', 1.0, 1.0 FROM v WHERE replayed UNION ALL SELECT dep, arrival, 'SEQUENCE_GAP', least(1.0, 0.4 + 0.2 * (sequence - last_seq - 1)), 0.9 FROM v WHERE gap UNION ALL SELECT dep, arrival, 'CHAIN_BREAK', 0.9, 0.9 FROM v WHERE broken) SELECT dep AS deployment_id, arrival, kind, CAST(round(severity, 6) AS DOUBLE) AS severity, CAST(confidence AS DOUBLE) AS confidence FROM f")
+@query("receipt_verdicts", RECEIPTS + " SELECT dep AS deployment_id, arrival, kind, CAST(round(severity, 6) AS DOUBLE) AS severity, CAST(confidence AS DOUBLE) AS confidence FROM f")
 def receipt_verdicts(spark, d):
-    v = passports.verdicts(passports.replay_state(bindings.receipts(spark, d)))
+    v = _verdicts(spark, d)
     return v.select("deployment_id", "arrival", F.explode("findings").alias("f")).select("deployment_id", "arrival", "f.kind", r6("f.severity").alias("severity"), "f.confidence")
 
 
-@query("receipt_totals", RECEIPTS + " SELECT dep AS deployment_id, count(*) AS n_total, count(*) FILTER (sig_ok AND NOT replayed AND NOT gap AND NOT broken) AS n_ok, bool_and(sig_ok AND NOT replayed AND NOT gap AND NOT broken) AS clean FROM v GROUP BY dep")
+@query("receipt_evidence", RECEIPTS + """ SELECT dep || '/E-INF-' || lpad(CAST(row_number() OVER (PARTITION BY dep ORDER BY arrival, list_position(['SIGNATURE_INVALID', 'OUTPUT_HASH_MISMATCH', 'INPUT_HASH_MISMATCH', 'MODEL_ARTIFACT_MISMATCH', 'CONFIG_MISMATCH', 'TIMESTAMP_SKEW', 'REPLAY_DETECTED', 'SEQUENCE_GAP', 'CHAIN_BREAK'], kind)) AS VARCHAR), 4, '0') AS evidence_id,
+ CAST(arrival AS VARCHAR) AS source_id, kind AS evidence_type, CAST(round(severity, 6) AS DOUBLE) AS severity FROM f""")
+def receipt_evidence(spark, d):
+    return passports.evidence(_verdicts(spark, d)).select("evidence_id", "source_id", "evidence_type", r6("severity").alias("severity"))
+
+
+@query("receipt_totals", RECEIPTS + ", ok AS (SELECT dep, NOT EXISTS (SELECT 1 FROM f WHERE f.dep = v.dep AND f.arrival = v.arrival) AS ok FROM v) SELECT dep AS deployment_id, count(*) AS n_total, count(*) FILTER (ok) AS n_ok, bool_and(ok) AS clean FROM ok GROUP BY dep")
 def receipt_totals(spark, d):
-    v = passports.verdicts(passports.replay_state(bindings.receipts(spark, d)))
-    return passports.totals(v).select("deployment_id", "n_total", "n_ok", "clean")
+    return passports.totals(_verdicts(spark, d)).select("deployment_id", "n_total", "n_ok", "clean")
 
 
-@query("timestamp_skew", "WITH g AS (SELECT event_id, user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT CAST(user_id AS VARCHAR) AS deployment_id, count(*) FILTER (gap > 300) AS n_skewed, count(gap) AS n FROM g GROUP BY user_id")
+@query("timestamp_skew", RECEIPTS + " SELECT v.dep AS deployment_id, count(*) FILTER (sig_ok AND skewed) AS n_skewed, count(*) AS n FROM v GROUP BY v.dep")
 def timestamp_skew(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    g = load(spark, d, "events").withColumn("gap", seconds("ts") - F.lag(seconds("ts")).over(w))
-    return g.groupBy(F.col("user_id").cast("string").alias("deployment_id")).agg(F.count_if(F.col("gap") > passports.MAX_SKEW).alias("n_skewed"), F.count("gap").alias("n"))
+    skewed = F.exists("findings", lambda f: f["kind"] == "TIMESTAMP_SKEW")
+    return _verdicts(spark, d).groupBy("deployment_id").agg(F.count_if(skewed).alias("n_skewed"), F.count("*").alias("n"))
+
+
+def _blob(byte: int) -> str:
+    """HMAC's key block for an inner (0x36) or outer (0x5c) pad as a blob of DuckDB."""
+    return "'" + "".join(f"\\x{b ^ byte:02X}" for b in scenarios.KEY.ljust(64, b"\0")) + "'::BLOB"
+
+
+_HMAC = "sha256({outer} || unhex(sha256({inner} || encode({0}))))".format("{0}", outer=_blob(0x5C), inner=_blob(0x36))
+_BODY = """'"config_hash":"' || CASE WHEN arrival % 23 = 0 THEN 'other' ELSE 'c' END || '","deployment_id":"' || dep || '","inference_id":"' || arrival || '","input_hash":"' || CASE WHEN arrival % 37 = 0 THEN 'other' ELSE 'i' END || '","model_hash":"' || CASE WHEN arrival % 19 = 0 THEN 'other' ELSE 'm' END
+ || '","nonce":"' || nonce || '","output_hash":"' || CASE WHEN arrival % 31 = 0 THEN 'other' ELSE 'o' END || '","preproc_hash":"p","prev_hash":"' || prev_hash || '","sequence":' || sequence"""
+
+
+@query("receipt_signatures", RECEIPTS + f""", b AS (SELECT dep, arrival, sig_ok, {_BODY} AS head, ',"timestamp":' || CAST(floor(stamp) AS BIGINT) || '.0' AS tail FROM r), g AS (SELECT *, {_HMAC.format("CASE WHEN sig_ok THEN '{' || head || tail || '}' ELSE 'forged' END")} AS signature FROM b)
+SELECT dep AS deployment_id, arrival, signature = {_HMAC.format("'{' || head || tail || '}'")} AS sig_ok, sha256('{{' || head || ',"signature":"' || signature || '"' || tail || '}}') AS own_hash FROM g""")
+def receipt_signatures(spark, d):
+    v = passports.with_digests(bindings.signed_receipts(spark, d, scenarios.KEY), scenarios.KEY)
+    return v.select("deployment_id", "arrival", "sig_ok", "own_hash")
+
+
+KINDS = {"config_tamper": "CONFIG_MISMATCH", "drop_records": "CHAIN_BREAK,SEQUENCE_GAP", "forged_signature": "SIGNATURE_INVALID", "input_tamper": "INPUT_HASH_MISMATCH", "model_swap": "MODEL_ARTIFACT_MISMATCH", "none": "", "output_tamper": "OUTPUT_HASH_MISMATCH", "replay": "REPLAY_DETECTED"}
 
 
-@query("attack_detection")
+@query("attack_detection", f"SELECT attack, CAST(attack <> 'none' AS DOUBLE) AS detected, 0 AS false_positives, kinds FROM (VALUES {_values(list(KINDS.items()))}) t(attack, kinds)")
 def attack_detection(spark, d):
-    return scenarios.evaluate(spark)
+    return scenarios.evaluate(spark).select("attack", F.col("detected").cast("double").alias("detected"), "false_positives", F.array_join("kinds", ",").alias("kinds"))
 
 
+# orders as models: their statuses as formats
 @query("models_by_date", "SELECT o_orderkey AS model_id, o_orderdate AS created_at, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS INT) AS place, o_orderstatus AS format FROM orders QUALIFY place <= 5")
 def models_by_date(spark, d):
-    w = W.partitionBy("format").orderBy(F.desc("created_at"), "model_id")
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("format"))
-    return o.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("model_id", "created_at", "place", "format")
+    return relational.newest_first(o, 5, ("format",)).select("model_id", "created_at", "place", "format")
 
 
 def queries() -> dict:

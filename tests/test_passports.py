@@ -1,6 +1,7 @@
 """Windows against a sequential model, known attacks, and the stream against the batch."""
 
 import json
+import os
 import random
 
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hmac_sha256
 from plumbline.operators import passports, scenarios
-from plumbline.streaming.verifier import verify_stream
+from plumbline.streaming import verifier
 
 
 def sequential(rows):
@@ -75,21 +76,46 @@ def test_hmac(spark):
         assert spark.range(1).select(hmac_sha256(key, F.lit("message")).alias("h")).first().h == hmac.new(key, b"message", hashlib.sha256).hexdigest()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng, rows = random.Random(1), []
-    for a in ("replay", "drop_records", "forged_signature", "none"):
-        rows += [r for r in scenarios.passport_stream(a, 20, 3, 8)]
-    chunks = [[r for r in rows if r["arrival"] < 10], [r for r in rows if r["arrival"] >= 10]]
+def _stream(spark, tmp_path, files: list[list[dict]]) -> list:
+    """Rows of the stream over the files in the order given, one a micro-batch."""
     names = [c.split()[0] for c in passports.COLUMNS.split(", ")] + ["arrival"]
     schema = passports.COLUMNS + ", arrival long"
-    for k, c in enumerate(chunks):
-        rng.shuffle(c)
-        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({n: r[n] for n in names}) for r in c))
-    s = verify_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path)), scenarios.KEY)
-    q = s.writeStream.format("memory").queryName("receipts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    for k, rows in enumerate(files):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({n: r[n] for n in names}) for r in rows))
+        os.utime(tmp_path / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)  # the source goes by the files' times
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", verifier.PROVIDER)
+    out = verifier.verify_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path)), scenarios.KEY)
+    name = f"receipts_{tmp_path.name.replace('-', '_')}"
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    got = {(r.deployment_id, r.arrival, r.kind) for r in spark.table("receipts").collect() if r.kind != "OK"}
-    df = spark.read.schema(schema).json([str(tmp_path / "0.json"), str(tmp_path / "1.json")])
+    return spark.table(name).collect()
+
+
+def _attacked() -> list[dict]:
+    return [r for a in ("replay", "drop_records", "forged_signature", "none") for r in scenarios.passport_stream(a, 20, 3, 8)]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = _attacked()
+    files = [[r for r in rows if r["arrival"] < 10], [r for r in rows if r["arrival"] >= 10]]
+    for f in files:
+        random.Random(1).shuffle(f)
+    got = _stream(spark, tmp_path, files)
+    assert not any(r.late for r in got)
+    df = spark.createDataFrame([(*passports.to_rows([r])[0], r["arrival"]) for r in rows], passports.COLUMNS + ", arrival long")
     v = passports.verdicts(passports.replay_state(passports.with_digests(df, scenarios.KEY)))
-    assert got == {(r.deployment_id, r.arrival, f.kind) for r in v.collect() for f in r.findings}
+    assert {(r.deployment_id, r.arrival, r.kind) for r in got if r.kind != "OK"} == {(r.deployment_id, r.arrival, f.kind) for r in v.collect() for f in r.findings}
+
+
+def test_late_receipts_are_judged_as_they_come(spark, tmp_path):
+    rows = _attacked()
+    files = [[r for r in rows if r["arrival"] >= 10], [r for r in rows if r["arrival"] < 10]]
+    got = _stream(spark, tmp_path, files)
+    assert {r.arrival for r in got if r.late} == set(range(10)) and all(r.late == (r.arrival < 10) for r in got)
+    want = set()
+    for d in {r["deployment_id"] for r in rows}:
+        own = [r | {"place": k, "sig_ok": passports.sign(scenarios.KEY, r) == r["signature"], "own_hash": passports.record_hash(r)} for k, r in enumerate(r for f in files for r in sorted(f, key=lambda r: r["arrival"]) if r["deployment_id"] == d)]
+        found = sequential([r | {"arrival": r["place"]} for r in own])
+        want |= {(d, r["arrival"], kind) for r in own for kind in found[r["place"]]}
+    assert {(r.deployment_id, r.arrival, r.kind) for r in got if r.kind != "OK"} == want
