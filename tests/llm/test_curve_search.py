@@ -62,3 +62,21 @@ def test_recall_over_several_blocks(spark, monkeypatch, clusters):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = [len(got[q] & set(np.argsort(-np.where(np.arange(3000) == q, -2, u @ u[q]), kind="stable")[:5].tolist())) / 5 for q in range(0, 3000, 50)]
     assert np.mean(hits) >= 0.9
+
+
+def test_cosines_of_huge_and_tiny_vectors():
+    x = np.array([[1e200, 1e200], [1e-200, 0.0], [3.0, 4.0]])
+    y = np.array([[1e-200, 1e-200], [1e300, 1e300], [4.0, 3.0]])
+    assert np.allclose(cs.cosine(x, y), [1.0, np.sqrt(0.5), 0.96])
+
+
+def test_blocks_beyond_the_sample_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cs, "BLOCK", 16)
+    monkeypatch.setattr(cs, "MOST_BLOCKS", 3)
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids = [k for k in range(0, 400, 50)]
+    got = cs.search(df, df.filter("vec_id % 50 = 0").select("vec_id"), reach=1.0, orders=2).collect()
+    want = brute(rows, ids, 5)
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in ids} == want

@@ -46,3 +46,20 @@ def test_the_tables_skeleton_and_odd_pages(spark):
     assert got[1] == "Head & more\nFirst line here.\nSecond café <x>."
     assert got[2] == got[3] == got[7] == "" and got[4] == "plain words only" and len(got[5]) == 16 * 20_000 - 1 and isinstance(got[6], str) and got[8] == "Words in a few boxes, as they are."
     assert dt.extract(df.limit(0)).count() == 0 and dt.extract(df).filter(F.col("page_id") == 1).count() == 2
+
+
+def test_end_tags_without_elements_cost_nothing():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        dt.Page("<div>" * n + "</p>" * n + "<h1>" * n + "<li>" * n + "x")
+        return time.process_time() - began
+
+    took(2000)
+    assert took(32_000) < 40 * max(took(2000), 0.01)
+
+
+def test_what_hides_ends_with_what_holds_it():
+    page = "<html><body><article><ul><li>One thing<button>Hide</li><li>Two things here</li></ul><p>Three <button>x</button> things.</p><div><select><option>a</div><p>Four things.</p></article></body></html>"
+    assert [t for t in dt.Page(page).text if t] == ["One thing", "Two things here", "Three things.", "Four things."]

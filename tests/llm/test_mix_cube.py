@@ -58,3 +58,17 @@ def test_mix(spark, monkeypatch):
     applied = mc.apply_mix(df)
     assert applied.columns == df.columns and applied.count() == sum(r.copies for r in got)
     assert mc.mix(df.limit(0)).count() == 0
+
+
+def test_a_unit_that_the_others_cannot_balance_is_set_aside():
+    size, pi = np.array([1000.0] + [10.0] * 99), np.full(100, 0.5)
+    f = mc.fly(pi, np.ones(100), size, np.random.default_rng(3))
+    still = (f > mc.EPS) & (f < 1 - mc.EPS)
+    assert still.sum() <= 3 and f[0] == 0.5 and f[1:].sum() == pytest.approx(49.5)
+
+
+def test_groups_that_settle_nothing_end(spark, monkeypatch):
+    monkeypatch.setattr(mc, "GROUP", 2)  # no flight moves two units
+    df = spark.createDataFrame([(k, "a" if k % 2 else "b", "w " * (1 + k % 7)) for k in range(60)], "doc_id long, source string, text string")
+    rows = mc.mix(df).collect()
+    assert len(rows) == 60 and all(0 <= r.copies <= 3 for r in rows)

@@ -60,3 +60,55 @@ def test_sample_passes_over_a_long_text(spark):
     docs = spark.createDataFrame([(i, "x" * (1000 if k in (0, 7) else 10)) for k, i in enumerate(ids)] + [(ids[9], "y" * 1000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
     assert qs.sample(docs, labels, size=500) == (["x" * 10] * 17, [1] * 17)  # ids[9] has a long text too
+
+
+def test_scores_equal_plain_loops():
+    """Features one by one with plain loops over words and characters, the average, the logistic function."""
+    import pyarrow as pa
+
+    texts = ["one two  Three one two three", "é a", "", "x" * 5, "the the the cat sat on the mat, the cat sat on it", "tab\tand\nline"]
+    rng = np.random.default_rng(0)
+    m = qs.Model(rng.normal(size=qs.BUCKETS).astype(np.float32), 0.3)
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        return h ^ (h >> 33)
+
+    def word_hash(w):
+        total = 0
+        for k, b in enumerate(w.encode()):
+            total += (b + 32 * (65 <= b <= 90) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64)
+        return mix(total & mask)
+
+    top = qs.BUCKETS - qs.RELATIONS
+
+    def ids(text):
+        w = [word_hash(x) for x in text.split()]
+        out = [(h >> 20) % top for h in w] + [(mix((a * 3 + b) & mask) >> 20) % top for a, b in zip(w, w[1:], strict=False)]
+        for k in range(1, qs.NEAR + 1):
+            out += [top + min(k, 2)] * (3 * sum(w[i] == w[i - k] for i in range(k, len(w))))
+        three, seen = list(zip(w, w[1:], w[2:], strict=False)), set()
+        out += [top + 3] * (3 * sum(t in seen or seen.add(t) is not None for t in three))
+        spread = []
+        for c in text:
+            x = (ord(c) + 1) * 2654435761 & 0xFFFFFFFF
+            spread.append(x ^ (x >> 15))
+        for n in qs.NGRAMS:
+            for at in range(len(text) - n + 1):
+                h = spread[at]
+                for k in range(1, n):
+                    h = (h * 0x85EBCA6B + spread[at + k]) & 0xFFFFFFFF
+                h ^= h >> 16
+                h = h * (0xC2B2AE35 + 2 * n) & 0xFFFFFFFF
+                out.append((h >> 12) % top)
+        return out
+
+    want = []
+    for t in texts:
+        found = ids(t)
+        want.append(1 / (1 + np.exp(-(0.3 + (sum(float(m.weights[i]) for i in found) / len(found) if found else 0)))))
+    assert np.allclose(m.scores(pa.array(texts)), want, atol=1e-6)

@@ -61,3 +61,54 @@ def test_partial_copies_at_every_offset(spark):
                 rows.append((len(rows), " ".join(["before"] * offset + part + ["after"] * 5)))
     got = {(r.doc_id, r.item_id) for r in td.leaks(frame(spark, rows), items(spark, bench)).collect()}
     assert got == want
+
+
+def test_short_items_number_words_and_long_names(spark):
+    bench = items(spark, [(1, "What is the capital of France?"), (2, "Name it"), (3, "They saw that Ann Smith had 3 apples in New York and 24 pears at home."), (4, "")])
+    rows = [
+        (1, "so: what is the capital of Spain? yes"), (2, "what is the big capital of France"), (3, "Name it."), (4, "please name it now"),
+        (5, "x y they saw that Bob had twenty four apples in Rome and seven pears at home. z"), (6, "what is the capital of France"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in td.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (6, 1)}
+
+
+def test_leaks_equal_brute_force(spark):
+    """Every alignment that eight words in a row propose, judged word by word in plain Python, from partial and changed copies at every shift."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["an", "the", "er", "ti", "sch"]) for _ in range(rng.randint(1, 3)))
+    bench = [(k, [word() if rng.random() < 0.85 else f"slot{rng.randint(0, 2)}" for _ in range(rng.randint(5, 24))]) for k in range(12)]
+    say = lambda w, names: " ".join(names.get(x, x) for x in w)
+    own = {"slot0": "12", "slot1": "Anna", "slot2": "7"}
+    rows = []
+    for k in range(160):
+        w = [word() for _ in range(rng.randint(0, 20))] + ["a"]
+        part = rng.choice(bench)[1]
+        a = rng.randint(0, len(part) // 2)
+        names = own if k % 3 else {"slot0": rng.choice(["12", "5"]), "slot1": rng.choice(["Anna", "Eva"]), "slot2": "5"}
+        rows.append((k, " ".join([*w, say(part[a : len(part) - rng.randint(0, len(part) // 2)], names), *[word() for _ in range(rng.randint(0, 9))]])))
+
+    def canon(text):
+        t, w = [], text.split(" ")
+        for k, x in enumerate(w):
+            t.append("#n" if x.isdigit() else "#p" if k and x[:1].isupper() else x.lower())
+        keep = [k for k in range(len(t)) if not (k and t[k] in ("#n", "#p") and t[k] == t[k - 1])]
+        return [t[k] for k in keep], [w[k] for k in keep]
+
+    want = set()
+    for item, parts in bench:
+        bt, bw = canon(say(parts, own))
+        for doc, text in rows:
+            dt, dw = canon(text)
+            size, hit = min(8, len(bt)), set()
+            for shift in range(-len(bt), len(dt)):
+                same = [j for j in range(len(bt)) if 0 <= shift + j < len(dt) and bt[j] == dt[shift + j]]
+                if not any(all(j + x in same for x in range(size)) for j in range(len(bt) - size + 1)):
+                    continue
+                slots = {(bt[j], bw[j], dw[shift + j]) for j in same if "#" in bt[j]}
+                if len(slots) == len({s[:2] for s in slots}):
+                    hit |= set(same)
+            if len(hit) >= (td.COVERAGE * len(bt) if len(bt) >= 8 else len(bt)) and (len(bt) >= td.SHORTEST or len(dt) == len(bt)):
+                want.add((doc, item))
+    got = {(r.doc_id, r.item_id) for r in td.leaks(frame(spark, rows), items(spark, [(k, say(p, own)) for k, p in bench])).collect()}
+    assert got == want and len(want) > 40

@@ -62,3 +62,19 @@ def test_query_equals_its_sql(spark, sf_dir):
         rows = con.execute(sql).fetchall()
         assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in got.collect())
     assert any(r[3] is None and r[4] == "block" for r in rows)
+
+
+def test_a_host_never_seen_is_less_certain_than_a_labelled_one(spark):
+    hosts = [f"h{k}.farm.com" for k in range(40)]
+    rows = [(h, int(k > 0)) for h in hosts for k in range(11)]
+    outcomes = spark.createDataFrame(rows + [("good.fine.org", 0)] * 50, "host string, bad int")
+    asked = spark.createDataFrame([(h,) for h in (hosts[0], "new.farm.com", "a.other.com", "x.y.zz")], "host string")
+    got = {r.host: r for r in ur.reputation(outcomes, asked).collect()}
+    assert got["new.farm.com"].weight < got[hosts[0]].weight and abs(got["new.farm.com"].mean - 10 / 11) < 0.05
+    assert got["a.other.com"].weight <= got["new.farm.com"].weight and got["x.y.zz"].weight <= got["a.other.com"].weight
+
+
+def test_registered_domains(spark):
+    df = spark.createDataFrame([(h,) for h in ("a.co.uk", "x.b.co.uk", "co.uk", "www.a.com", "com", "", "localhost", "1.2.3.4")], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", ur.domain_of(df.host).alias("d"), ur.suffix_of(df.host).alias("s")).collect()}
+    assert got == {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.a.com": ("a.com", "com"), "com": ("com", "com"), "": ("", ""), "localhost": ("localhost", "localhost"), "1.2.3.4": ("3.4", "4")}

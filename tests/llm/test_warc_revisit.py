@@ -68,3 +68,18 @@ def test_query_equals_its_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
     rows = con.execute(wr.oracle_sql()).fetchall()
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in wr.query(spark, sf_dir).collect()) and len({r[4] for r in rows}) == 3
+
+
+def test_damaged_files_give_what_can_be_read():
+    row = lambda k, body: {"record_id": f"<urn:{k}>", "url": "http://a.org/", "ts": 1_700_000_000, "kind": "response", "digest": None, "headers": {}, "body": body}
+    parts = [wr.warc_bytes([row(k, bytes([65 + k]) * 300_000)]) for k in range(3)]
+    read = lambda data: [(h["warc-record-id"], len(b), p) for h, _, b, p in wr.parse_warc(data)]
+    whole = [(f"<urn:{k}>", 300_000, None) for k in range(3)]
+    assert read(b"".join(parts)) == whole and read(b"".join(map(gzip.compress, parts))) == whole
+    cut = read(b"".join(parts)[:-100_000])
+    assert cut[:2] == whole[:2] and cut[2][0] == "<urn:2>" and cut[2][1] < 300_000 and cut[2][2] == "cut"
+    zipped = [gzip.compress(p) for p in parts]
+    assert read(b"".join(zipped)[: -len(zipped[2]) // 2])[:2] == whole[:2]
+    odd = read(parts[0].replace(b"Content-Length", b"Content-Size") + parts[1])
+    assert odd[0][0] == "<urn:0>" and odd[0][2] == "no length" and odd[0][1] >= 300_000 and odd[1] == whole[1]
+    assert read(b"") == [] and read(b"no archive at all") == []
