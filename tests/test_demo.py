@@ -136,3 +136,46 @@ def test_documents_round_trip(spark, demo):
     assert (e.evidence_id, e.source_id, e.detector) == ("E-00001", "n", "unknown")
     x = lineage.export(demo, spark.createDataFrame([("demo", "B17")], "case_id string, node_id string")).filter(F.col("node_id") == "B17").first()
     assert (x.stage, x["rank"], x.evidence_count, x.max_severity, x.highlighted) == ("data", 0, 2, 0.81, True)
+
+
+def test_statements_of_a_narrative():
+    got = writer.statements("Risk is 87.5 percent of E-01. [F1] It stands at V4 [F2][F3]! see b2 too")
+    assert [(sorted(s.cites), sorted(s.names), sorted(s.numbers)) for s in got] == [(["F1"], ["E-01"], ["87.5"]), (["F2", "F3"], ["V4", "b2"], [])]
+    facts = [writer.Fact("F1", "Model V4 has 3 faults."), writer.Fact("F2", "All is said.")]
+    assert writer.violations("Model V4 has 3 faults [F1]. All is said [F2].", facts) == []
+    assert writer.violations("Model V5 has 4 faults [F1]. All is said. [F2]", facts) == ["identifiers not in cited facts: ['V5']", "numbers not in cited facts: ['4']"]
+    assert writer.violations("Model V4 [F9]. Nothing cited here.", facts) == ["unknown citation(s): ['F9']", "uncited sentence: 'Nothing cited here.'", "required fact F1 not cited", "required fact F2 not cited"]
+
+
+def test_loopback_model():
+    import http.server
+    import json
+    import threading
+
+    class Reply(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"choices": [{"message": {"content": f" {asked['model']} says {len(asked['messages'])} "}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Reply)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    model = writer.LoopbackModel(f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "m", timeout=5)
+    assert model([writer.Fact("F1", "x")]) == "m says 2"
+    with pytest.raises(ValueError):
+        writer.LoopbackModel("http://example.com/v1", "m")
+
+
+def test_paths_are_limited_by_length_and_ids(spark):
+    nodes = [("s", "DATASET", "s"), ("t", "DATASET", "t")] + [(f"{c}{k}", "DATASET", "") for c in "abc" for k in range(4)]
+    edges = [("s", f"a{k}", "DERIVED_FROM") for k in range(4)] + [(f"{x}{i}", f"{y}{j}", "DERIVED_FROM") for x, y in ("ab", "bc") for i in range(4) for j in range(4)] + [(f"c{k}", "t", "DERIVED_FROM") for k in range(4)] + [("a3", "t", "DERIVED_FROM")]
+    g = fixtures.graph(spark, nodes, edges, depth=5)
+    got = [tuple(r.path) for r in lineage.lineage_paths(g, "s", "t", limit=5).collect()]
+    every = sorted(("s", f"a{i}", f"b{j}", f"c{k}", "t") for i in range(4) for j in range(4) for k in range(4))
+    assert sorted(got, key=lambda p: (len(p), p)) == [("s", "a3", "t"), *every[:4]]
+    assert lineage.lineage_paths(g, "t", "s").count() == 0
