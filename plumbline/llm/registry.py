@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import curve_search, dom_tree, mix_cube, ngram_matrix, quality_subword, secret_forest, template_decon, token_planes, url_reputation, warc_revisit
+from plumbline.llm import (
+    curve_search, dom_tree, mix_cube, ngram_matrix, quality_subword, secret_forest, template_decon, token_planes, url_reputation, warc_revisit,
+)
 
 
 def queries() -> dict:
@@ -21,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisit": warc_revisit.oracle_sql(), "op3_url_reputation": url_reputation.oracle_sql()}
+    return {"op2_warc_revisit": warc_revisit.oracle_sql(), "op3_url_reputation": url_reputation.oracle_sql(), "op9_template_decon": template_decon.oracle_sql()}

@@ -160,3 +160,29 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _template_sql(text: str) -> tuple[str, str]:
+    """(pieces p, template words made of them) of a text in DuckDB's SQL, whose patterns know no lookaround: names are found piece by piece between spaces."""
+    ws = r"[\x20\x09-\x0D]"
+    t = f"regexp_replace({text}, '[0-9][0-9.,:/]*', '#n', 'g')"
+    t = rf"string_split(regexp_replace({t}, '#n({ws}*)(?i:{UNITS})(\P{{L}}|$)', '#n\1#u\2', 'g'), ' ')"
+    named = rf"CASE WHEN i > 1 AND regexp_matches(p[i - 1], '[^.!?:\x20\x09-\x0D]$') THEN regexp_replace(p[i], '^\p{{Lu}}\p{{Ll}}+(\P{{L}}|$)', '#p\1') ELSE p[i] END"
+    plain = rf"regexp_replace(array_to_string([{named} FOR i IN range(1, len(p) + 1)], ' '), '([\p{{L}}#])[.,;:!?]+({ws}|$)', '\1\2', 'g')"
+    numbers = ", ".join(f"'{n}'" for n in NUMBERS)
+    return t, f"[CASE WHEN w IN ({numbers}) THEN '#n' ELSE w END FOR w IN regexp_split_to_array(lower({plain}), '{ws}+')]"
+
+
+def oracle_sql(coverage: float = COVERAGE) -> str:
+    """The query in DuckDB's SQL."""
+    pieces, words_of = _template_sql("text")
+    canon = lambda key, table: f"""(SELECT {key}, [t[i] FOR i IN range(1, len(t) + 1) IF NOT (t[i] IN ('#n', '#p') AND i > 1 AND t[i] = t[i - 1])] AS t, [w[i] FOR i IN range(1, len(t) + 1) IF NOT (t[i] IN ('#n', '#p') AND i > 1 AND t[i] = t[i - 1])] AS w
+ FROM (SELECT {key}, {words_of} AS t, regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') AS w FROM (SELECT DISTINCT {key}, text, {pieces} AS p FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)))"""
+    return rf"""WITH b AS (SELECT item_id, t AS bt, w AS bw, len(t) AS n, CASE WHEN len(t) >= {WINDOW} THEN {WINDOW} ELSE len(t) END AS size FROM {canon('item_id', 'benchmark')} WHERE t <> ['']),
+d AS (SELECT doc_id, t AS dt, w AS dw FROM {canon('doc_id', 'documents')}), kinds AS (SELECT DISTINCT size FROM b),
+k AS (SELECT DISTINCT item_id, size, pos, array_to_string(bt[pos : pos + size - 1], ' ') AS x FROM b, unnest(range(1, n - size + 2)) u(pos)),
+w AS (SELECT doc_id, size, pos, array_to_string(dt[pos : pos + size - 1], ' ') AS x FROM d, kinds, unnest(range(1, len(dt) - size + 2)) u(pos) WHERE size >= {SHORTEST} OR len(dt) = size),
+hits AS (SELECT DISTINCT doc_id, item_id, w.pos - k.pos AS shift FROM w JOIN k USING (size, x)),
+spot AS (SELECT h.doc_id, item_id, n, size, shift, j, bt[j] AS t, regexp_replace(bw[j], '[.,;:!?]+$', '') AS x, regexp_replace(dw[shift + j], '[.,;:!?]+$', '') AS y FROM hits h JOIN b USING (item_id) JOIN d USING (doc_id), unnest(range(1, n + 1)) u(j) WHERE shift + j >= 1 AND bt[j] = dt[shift + j]),
+fit AS (SELECT doc_id, item_id, n, shift, count(DISTINCT (t, x, y)) FILTER (contains(t, '#')) AS slots, count(DISTINCT (t, x, y)) FILTER (contains(t, '#') AND x <> y) AS changed, list(DISTINCT j) AS js FROM spot GROUP BY doc_id, item_id, n, shift HAVING count(DISTINCT (t, x, y)) FILTER (contains(t, '#')) = count(DISTINCT (t, x)) FILTER (contains(t, '#')))
+SELECT doc_id, item_id, CAST(n AS INT) AS item_words, count(DISTINCT j) AS matched, CAST(max(slots) AS INT) AS slots, CAST(max(changed) AS INT) AS changed FROM fit, unnest(js) u(j) GROUP BY doc_id, item_id, n HAVING count(DISTINCT j) >= CASE WHEN n < {WINDOW} THEN n ELSE {coverage} * n END"""

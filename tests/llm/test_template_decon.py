@@ -112,3 +112,23 @@ def test_leaks_equal_brute_force(spark):
                 want.add((doc, item))
     got = {(r.doc_id, r.item_id) for r in td.leaks(frame(spark, rows), items(spark, [(k, say(p, own)) for k, p in bench])).collect()}
     assert got == want and len(want) > 40
+
+
+def test_query_equals_its_sql(spark, sf_dir, tmp_path):
+    import duckdb
+
+    rows = [
+        (1, "so: what is the capital of Spain? yes"), (3, "Name it."), (4, "please name it now"), (5, "x y they saw that Bob had twenty four apples in Rome and seven pears at home. z"), (6, None), (7, ""), (None, ITEM),
+        (8, "a  b. Once upon a time Eva had 7 apples and gave 9 apples to Tom, then Eva went 4 miles\nhome."), (9, "Once upon a time Eva had 7 apples and gave 9 apples to Tom, then Zoe went 4 miles home."), (1, "so: what is the capital of Spain? yes"), (10, "x." + ITEM + ITEM),
+    ]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, [(1, "What is the capital of France?"), (2, "Name it"), (3, "They saw that Ann Smith had 3 apples in New York and 24 pears at home."), (4, ""), (5, None), (None, "x"), (10, ITEM), (10, ITEM)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for path, pattern, least in ((sf_dir, "{}/{}.parquet", 1), (str(tmp_path), "{}/{}.parquet/*.parquet", 5)):
+        con = duckdb.connect()
+        for name in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{pattern.format(path, name)}'")
+        r = con.execute(td.oracle_sql())
+        names = [c[0] for c in r.description]
+        want = sorted(tuple(dict(zip(names, x, strict=True))[c] for c in sorted(names)) for x in r.fetchall())
+        df = td.query(spark, path)
+        assert sorted(tuple(x[c] for c in sorted(df.columns)) for x in df.collect()) == want and sorted(df.columns) == sorted(names) and len(want) >= least
