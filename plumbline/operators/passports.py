@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import canonical_json
+from plumbline.sources.storage import cut
 
 # fixed values: the signed fields
 FIELDS = ("deployment_id", "inference_id", "input_hash", "output_hash", "model_hash", "preproc_hash", "config_hash", "timestamp", "sequence", "nonce", "prev_hash")
@@ -65,15 +66,34 @@ def with_digests(records: DataFrame, key: bytes) -> DataFrame:
 
 
 def replay_state(records: DataFrame) -> DataFrame:
-    """records(deployment_id, arrival, nonce, sequence, prev_hash, sig_ok, own_hash) -> also replayed, last_seq, last_hash, reanchor before each row."""
-    nonces = W.partitionBy("deployment_id", "nonce", "sig_ok").orderBy("arrival")
-    r = records.withColumn("replayed", F.col("sig_ok") & (F.row_number().over(nonces) > 1)).withColumn("accepted", F.col("sig_ok") & ~F.col("replayed"))
-    before = W.partitionBy("deployment_id").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
-    advance = F.col("accepted") & (F.col("sequence") > 0)
-    best = F.max(F.when(advance, F.struct("sequence", (-F.col("arrival")).alias("earliest"), "own_hash"))).over(before)
-    last = lambda c: F.coalesce(F.max(F.when(c, F.col("arrival"))).over(before), F.lit(-1))
-    r = r.withColumns({"best": best, "reanchor": last(~F.col("sig_ok")) > last(F.col("accepted"))})
-    return r.withColumns({"last_seq": F.coalesce("best.sequence", F.lit(0)), "last_hash": F.coalesce("best.own_hash", F.lit(GENESIS))}).drop("best")
+    """records(deployment_id, arrival, nonce, sequence, prev_hash, sig_ok, own_hash) -> also replayed, last_seq, last_hash, reanchor before each row.
+
+    The state before a row is made of maxima over the rows before it, and maxima compose: rows are range-partitioned by (deployment,
+    arrival), so that a deployment with a third of all rows spreads over many partitions; a window within each partition gives the
+    partition's own part, and deployments that reach over a partition's end get the maxima of their earlier partitions from a table of a
+    row for each partition. A nonce's first arrival is an aggregate, so a flood of one nonce is no group either.
+    """
+    keys = ["deployment_id", "nonce", "sig_ok"]
+    first = records.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("arrival").alias("_first"))
+    same = F.col("deployment_id").eqNullSafe(F.col("_deployment_id")) & F.col("nonce").eqNullSafe(F.col("_nonce")) & F.col("sig_ok").eqNullSafe(F.col("_sig_ok"))
+    r = records.join(first, same).withColumn("replayed", F.col("sig_ok") & (F.col("arrival") > F.col("_first"))).drop("_first", *[f"_{k}" for k in keys])
+    r = r.withColumn("accepted", F.col("sig_ok") & ~F.col("replayed"))
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = cut(r.repartitionByRange(n, "deployment_id", "arrival").withColumn("_part", F.spark_partition_id()))
+    best = F.when(F.col("accepted") & (F.col("sequence") > 0), F.struct("sequence", (-F.col("arrival")).alias("earliest"), "own_hash"))
+    tops = {"_best": best, "_bad": F.when(~F.col("sig_ok"), F.col("arrival")), "_good": F.when(F.col("accepted"), F.col("arrival"))}
+    before = W.partitionBy("deployment_id", "_part").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
+    own = r.withColumns({k: F.max(c).over(before) for k, c in tops.items()})
+    parts = r.groupBy("deployment_id", "_part").agg(*[F.max(c).alias(k) for k, c in tops.items()])
+    earlier = W.partitionBy("deployment_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    several = parts.withColumn("_n", F.count("*").over(W.partitionBy("deployment_id"))).filter("_n > 1")  # fewer than two rows for each partition
+    carried = several.select("deployment_id", "_part", *[F.max(k).over(earlier).alias(f"{k}_before") for k in tops])
+    r = own.join(F.broadcast(carried), ["deployment_id", "_part"], "left")
+    top = lambda k: F.greatest(k, f"{k}_before")
+    last = lambda k: F.coalesce(top(k), F.lit(-1))
+    r = r.withColumns({"best": top("_best"), "reanchor": last("_bad") > last("_good")})
+    r = r.withColumns({"last_seq": F.coalesce("best.sequence", F.lit(0)), "last_hash": F.coalesce("best.own_hash", F.lit(GENESIS))})
+    return r.drop("best", "_part", *tops, *[f"{k}_before" for k in tops])
 
 
 def verdicts(state: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
