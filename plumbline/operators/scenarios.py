@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import canonical_json
-from plumbline.operators import passports
+from plumbline.operators import detect, passports
 
 ATTACKS = ("none", "output_tamper", "input_tamper", "replay", "model_swap", "config_tamper", "drop_records", "forged_signature")
 KEY = b"scenario-key"
@@ -98,6 +98,36 @@ def patched(images: DataFrame, share: float = 0.3, target: str | None = None, se
     return t.withColumn("content", F.pandas_udf(run, "binary")("content", "has_trigger"))
 
 
+# what each data scenario must make the detectors say of the attacked batch
+DATA_SCENARIOS = {"clean": None, "duplicate_flood": "NEAR_DUPLICATE_CLUSTER", "label_flip": "LABEL_DISTRIBUTION_ANOMALY", "ood_injection": "OOD_ANOMALY"}
+
+
+def data_benchmark(samples: DataFrame, batch: str, target: str, seed: int = 7) -> DataFrame:
+    """samples(sample_id, batch_id, label_class, phash, embedding) -> scenario, expected, kinds, passed.
+
+    A scenario is a dataset of its own that holds every batch and an attacked copy of `batch`: 40 % flooded with 20 copies a source, 70 % of labels
+    flipped to `target`, 15 % more samples out of distribution, or no attack. All run in one plan. An attack passes if its kind is among the
+    findings on the attacked batch, the clean one if no batch of its dataset has any.
+    """
+    s = samples.select(F.col("sample_id").cast("string").alias("sample_id"), "batch_id", "label_class", "phash", F.col("embedding").cast("array<double>").alias("embedding"))
+    own = s.filter(F.col("batch_id") == batch)
+    attacked = {
+        "clean": own.withColumn("batch_id", F.concat("batch_id", F.lit("-attacked"))), "duplicate_flood": duplicate_flood(own, 0.4, 20, seed=seed, suffix="-attacked"),
+        "label_flip": label_flip(own, target, 0.7, seed, "-attacked"), "ood_injection": ood_injection(own, 0.15, seed=seed, suffix="-attacked"),
+    }
+    every = None
+    for name, copy in attacked.items():
+        rows = s.unionByName(copy.select(*s.columns)).withColumn("dataset_id", F.lit(name)).withColumn("batch_id", F.concat_ws("/", F.lit(name), "batch_id"))
+        every = rows if every is None else every.unionByName(rows)
+    found, _ = detect.all_batches(every.drop("dataset_id"), every.select("batch_id", "dataset_id").distinct())
+    at = F.split("source_id", "/", 2)
+    seen = found.select(at[0].alias("scenario"), (at[1] == f"{batch}-attacked").alias("hit"), "evidence_type")
+    seen = seen.filter((F.col("scenario") == "clean") | F.col("hit")).groupBy("scenario").agg(F.array_sort(F.collect_set("evidence_type")).alias("kinds"))
+    want = samples.sparkSession.createDataFrame(list(DATA_SCENARIOS.items()), "scenario string, expected string").join(seen, "scenario", "left")
+    kinds = F.coalesce("kinds", F.array().cast("array<string>"))
+    return want.select("scenario", "expected", kinds.alias("kinds"), F.when(F.col("expected").isNull(), F.size(kinds) == 0).otherwise(F.array_contains(kinds, F.col("expected"))).alias("passed"))
+
+
 def passport_stream(attack: str, n: int = 50, seed: int = 0, at: int = 25) -> list[dict]:
     """Records of one deployment in arrival order, each with what the verifier sees beside it."""
     rng = random.Random(seed)

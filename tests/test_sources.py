@@ -117,3 +117,11 @@ def test_clusters_by_connected_group_equal_the_sequential_rule(spark):
             want[b, name] = near or name
     got = detect.leader_clusters(spark.createDataFrame(rows, "sample_id string, batch_id string, phash string"))
     assert {(r.batch_id, r.sample_id): r.leader for r in got.collect()} == want
+
+
+def test_data_benchmark(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"s{b}{k:03d}", f"b{b}", ("cat", "dog", "cow")[k % 3], f"{int(rng.integers(0, 1 << 62)):016x}", [float(x) for x in rng.normal(size=12)]) for b in range(2) for k in range(90)]
+    df = spark.createDataFrame(rows, "sample_id string, batch_id string, label_class string, phash string, embedding array<double>")
+    got = {r.scenario: (r.kinds, r.passed) for r in scenarios.data_benchmark(df, "b1", "cat").collect()}
+    assert all(p for _, p in got.values()) and set(got) == set(scenarios.DATA_SCENARIOS) and got["clean"][0] == []
