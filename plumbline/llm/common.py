@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -10,33 +12,52 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROW_GROUP = 16 << 20  # bytes that a writer of an intermediate table holds before it writes them
 MAX_CHUNK = 1 << 18  # bytes of text that one numpy pass handles; a longer text makes its own pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local master takes a temporary one (tests); on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_scratch: dict[str, str] = {}  # application -> folder of the pipeline stage at work
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def new_scratch(spark: SparkSession) -> None:
-    """From here on intermediate tables go to a new folder; that of the stage before, whose result has been written, is removed."""
-    app = spark.sparkContext.applicationId
-    old, _scratch[app] = _scratch.get(app), f"{shared_dir(spark)}/plumbline/stage-{uuid.uuid4().hex}"
-    if old:
-        path = spark._jvm.org.apache.hadoop.fs.Path(old)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_place = threading.local()  # top: where this thread's intermediate tables go while a pipeline's stage is at work
+
+
+@contextlib.contextmanager
+def scratch(path: str):
+    """Within it this thread's intermediate tables go below path."""
+    before, _place.top = getattr(_place, "top", None), path
+    try:
+        yield
+    finally:
+        _place.top = before
+
+
+def own_dir(spark: SparkSession) -> str:
+    """Where this application keeps its tables."""
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that have not been read or written by then are lost."""
+    remove(spark, own_dir(spark))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    top = _scratch.get(spark.sparkContext.applicationId) or f"{shared_dir(spark)}/plumbline"
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{getattr(_place, 'top', None) or own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
@@ -86,7 +107,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

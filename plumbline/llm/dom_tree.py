@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import begin, table
+from plumbline.llm.common import begin, table, trim
 
 # fixed values: HTML's element classes
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -461,23 +461,24 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
     unary, edge = model.unary, model.edge
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(series):
+    def run(columns):
         begin("dom tree")
         m = Model(unary, edge)
-        for s in series:
+        for column in columns:
             out, held, size = [], [], 0
-            for h in s:
-                held.append(h if isinstance(h, str) else "")
+            for h in column:
+                held.append(h.as_py() or "")
                 size += len(held[-1])
                 if size > 1 << 20 or len(held) >= 256:
                     out += m.texts(held)
                     held, size = [], 0
-            yield pd.Series(out + m.texts(held), dtype=object)
+            yield pa.array(out + m.texts(held), pa.string())
+        trim()
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pages.withColumn("text", F.pandas_udf(run, "string")(F.col(html)))
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return pages.withColumn("text", F.arrow_udf(run, "string")(F.col(html)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

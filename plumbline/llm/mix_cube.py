@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import begin, sized_broadcast, table, written
+from plumbline.llm.common import begin, sized_broadcast, table, trim, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 4096
@@ -116,7 +116,9 @@ def _flown(units: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
         rng = np.random.default_rng([seed, level, group & 0xFFFFFFFF, zlib.crc32(name)])
         pi, count, size = pdf["pi"].to_numpy(float), pdf["n"].to_numpy(float), (pdf["n"] * pdf["size"]).to_numpy(float)
         pi = fly(pi, count, size, rng)
-        return pdf.assign(pi=land(pi, size, rng) if last else pi)
+        out = pdf.assign(pi=land(pi, size, rng) if last else pi)
+        trim()
+        return out
 
     return units.groupBy("source", "group").applyInPandas(run, units.schema)
 

@@ -227,6 +227,8 @@ def _gather(batches):
             size += len(row[2])
     if held:
         yield flush()
+    held = []
+    trim()
 
 
 def _count_cells(blocks: int):
@@ -238,6 +240,7 @@ def _count_cells(blocks: int):
                 column, count = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
                 cuts = np.searchsorted(column >> np.uint64(32), (np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks))
                 yield pd.DataFrame({"batch": batch, "block": np.arange(blocks), "columns": [column[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "counts": [count[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        trim()
 
     return run
 
@@ -249,7 +252,10 @@ def _add_counts(pdf):
     column, at = np.unique(np.concatenate(cells), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]), minlength=len(column)).astype(np.uint32)[at]
     cut = np.cumsum([0, *map(len, cells)])
-    return pd.DataFrame({"batch": pdf["batch"], "block": pdf["block"], "counts": [total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    out = pd.DataFrame({"batch": pdf["batch"], "block": pdf["block"], "counts": [total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    del cells, column, at, total
+    trim()
+    return out
 
 
 def _postings(key, rows, counts):
@@ -284,6 +290,7 @@ def _unbatched(batches):
         for names, sizes_, data in zip(pdf["rows"], pdf["sizes"], pdf["data"], strict=True):
             cut = np.cumsum([0, *sizes_]) * 8
             yield pd.DataFrame({"row": list(names), "data": [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    trim()
 
 
 # --- blocks of the product ------------------------------------------------------------------------------------------
@@ -308,6 +315,7 @@ def _multiply(batches):
                 u.append(a)
                 v.append(b)
         yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+    trim()
 
 
 def multiply(pairs: DataFrame, rows: DataFrame) -> DataFrame:

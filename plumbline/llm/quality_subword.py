@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import begin, chunks, mix64, table, text_buffers, word_hashes
+from plumbline.llm.common import begin, chunks, mix64, table, text_buffers, trim, word_hashes
 
 BUCKETS = 1 << 18
 RELATIONS = 16  # the last rows are kept for relation n-grams
@@ -183,21 +183,19 @@ def scorer(spark: SparkSession, model: Model):
     """A function of text columns: the score of each text."""
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
-    def run(series):
-        import pandas as pd
-        import pyarrow as pa
-
+    def run(columns):
         begin("quality")
         m = Model(*shared.value)
-        for s in series:
-            yield pd.Series(m.scores(pa.array(s, pa.string(), from_pandas=True)))
+        for texts in columns:
+            yield pa.array(m.scores(texts))
+        trim()
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -91,3 +91,13 @@ def test_equal_row_batches(spark):
     df = spark.range(0, 4, 1, 4).selectExpr("if(id < 2, 1L, null) AS doc_id", "if(id < 2, 'one two three four five six seven', '') AS text")
     assert df.rdd.getNumPartitions() == 4 and result(df) == [(-1, 0, -1), (-1, 0, -1), (1, 3, 1), (1, 3, 1)]
     assert [r.doc_id for r in nm.one_of_each(df).collect() if r.doc_id is not None] == [1]
+
+
+def test_rows_without_doc_id_are_judged_by_their_text(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " end"), (None, None), (2, "other words stand in here now")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    kept = nm.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert (1, a) in got and (2, rows[6][1]) in got and sum(t in (b, b + " end") for _, t in got) == 1 and (None, a) not in got and len(got) == 4
