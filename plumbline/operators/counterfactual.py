@@ -34,6 +34,7 @@ class CounterfactualConfig:
 
 
 SEP = "\u0001"
+MANY = 1_000_000  # scenarios whose names are broadcast at most
 
 
 def _spread(df: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -118,15 +119,20 @@ def simulate(g: Graph, targets: DataFrame | None = None, config: CounterfactualC
     blocked, sensitive = cut(blocked), cut(sensitive)
     cleared = sensitive.join(blocked, ["case_id", "node_id"], "left_anti")
     retained = sensitive.join(blocked, ["case_id", "node_id"], "left_semi")
-    final = lineage.without_evidence(left, cleared)
+    # where nothing is cleared, the final variant is the structural one and is not decided again
+    moved = F.broadcast(sized) if (sized := cut(cleared.select("case_id").distinct())).limit(MANY + 1).count() <= MANY else sized
+    some = replace(left, **{t: getattr(left, t).join(moved, "case_id", "left_semi") for t in ("nodes", "edges", "evidence", "inspections")})
+    final = lineage.without_evidence(some, cleared)
 
-    # three variants side by side; the original is decided once for each case
+    # the variants side by side; the original is decided once for each case
     mark = lambda df, v: df.withColumn("case_id", F.concat_ws(SEP, "case_id", F.lit(v)))
     two = Graph(*(mark(a, "structural").unionByName(mark(b, "final")) for a, b in ((left.nodes, final.nodes), (left.edges, final.edges), (left.evidence, final.evidence), (left.inspections, final.inspections))), g.depth)
     after = _outcome(two, fusion_config, acfg).withColumn("variant", F.element_at(F.split("case_id", SEP), -1)).withColumn("case_id", F.regexp_replace("case_id", SEP + "[a-z]+$", ""))
     pick = lambda v: after.filter(F.col("variant") == v).select(F.col("case_id").alias("scenario"), *[F.col(k).alias(f"{v}_{k}") for k in ("risk", "state", "top_hypothesis", "source")])
     before = _outcome(g, fusion_config, acfg).select("case_id", *[F.col(k).alias(f"original_{k}") for k in ("risk", "state", "top_hypothesis", "source")])
     r = s.join(before, "case_id").join(pick("structural"), "scenario", "left").join(pick("final"), "scenario", "left")
+    changed = F.col("final_state").isNotNull()
+    r = r.withColumns({f"final_{k}": F.when(changed, F.col(f"final_{k}")).otherwise(F.col(f"structural_{k}")) for k in ("risk", "top_hypothesis", "source", "state")})
     # a scenario that leaves no node at all has nothing to decide
     r = r.na.fill({"structural_risk": 0.0, "final_risk": 0.0, "structural_state": "AMBER", "final_state": "AMBER", "structural_top_hypothesis": "INCONCLUSIVE", "final_top_hypothesis": "INCONCLUSIVE"})
     lists = lambda df, col, alias: df.groupBy(F.col("case_id").alias("scenario")).agg(F.array_sort(F.collect_set(col)).alias(alias))
