@@ -69,3 +69,9 @@ def py_round(x: Column, digits: int) -> Column:
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "double")(x)
+
+
+def scaled_round(x: Column, digits: int) -> Column:
+    """Rounding of the scaled binary value, half away from zero, as the SQL beside the queries does it. F.round goes by the shortest decimal
+    instead; the two differ on products that lie next to a half."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits

@@ -393,16 +393,19 @@ def export(g: Graph, highlighted: DataFrame | None = None) -> DataFrame:
 
 
 def to_json(g: Graph) -> DataFrame:
-    """case_id, document: nodes by id, edges by (src, dst), evidence by id."""
-    pack = lambda df, key, name, cols: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*key, *[c for c in cols if c not in key]))).alias(name))
-    nodes = pack(g.nodes, ["node_id"], "nodes", ["node_type", "label"])
-    edges = pack(g.edges, ["src", "dst"], "edges", ["edge_type"])
-    ev = pack(g.evidence, ["evidence_id"], "evidence", ["source_id", "evidence_type", "severity", "confidence", "detector"])
-    return nodes.join(edges, "case_id", "left").join(ev, "case_id", "left").select("case_id", F.to_json(F.struct("nodes", "edges", "evidence")).alias("document"))
+    """case_id, document: nodes by id, edges by (src, dst), evidence by id. Rows without a case_id are a case, too."""
+    one = lambda df, name, cols: df.select("case_id", F.struct(*cols).alias(name))
+    rows = one(g.nodes, "nodes", ["node_id", "node_type", "label"]).unionByName(one(g.edges, "edges", ["src", "dst", "edge_type"]), allowMissingColumns=True)
+    rows = rows.unionByName(one(g.evidence, "evidence", ["evidence_id", "source_id", "evidence_type", "severity", "confidence", "detector"]), allowMissingColumns=True)
+    lists = [F.array_sort(F.collect_list(name)).alias(name) for name in ("nodes", "edges", "evidence")]
+    return rows.groupBy("case_id").agg(*lists).select("case_id", F.to_json(F.struct("nodes", "edges", "evidence")).alias("document"))
 
 
-def from_json(documents: DataFrame) -> Graph:
-    """documents(case_id, document) with {nodes, edges, evidence} -> Graph. Evidence fields may have their older names."""
+def from_json(documents: DataFrame, numbered: bool = True) -> Graph:
+    """documents(case_id, document) with {nodes, edges, evidence} -> Graph. Evidence fields may have their older names.
+
+    Evidence without an id gets its place in the document as one; without `numbered` it stays as it was written.
+    """
     schema = (
         "nodes array<struct<node_id:string,id:string,node_type:string,type:string,label:string>>, edges array<struct<src:string,dst:string,source:string,target:string,edge_type:string,type:string>>, "
         "evidence array<struct<evidence_id:string,id:string,source_id:string,source_node_id:string,source:string,node_id:string,evidence_type:string,type:string,severity:double,confidence:double,detector:string>>"
@@ -412,9 +415,10 @@ def from_json(documents: DataFrame) -> Graph:
     nodes = rows("nodes").select("case_id", F.coalesce("node_id", "id").alias("node_id"), F.coalesce("node_type", "type").alias("node_type"), F.coalesce("label", "node_id", "id").alias("label"))
     edges = rows("edges").select("case_id", F.coalesce("src", "source").alias("src"), F.coalesce("dst", "target").alias("dst"), F.coalesce("edge_type", "type").alias("edge_type"))
     ev = d.select("case_id", F.posexplode(F.col("d")["evidence"]).alias("at", "r")).select("case_id", "at", "r.*")
-    auto = F.format_string("E-%05d", F.col("at") + 1)
+    given = F.coalesce("evidence_id", "id")
+    named = F.coalesce(F.nullif(given, F.lit("")), F.format_string("E-%05d", F.col("at") + 1)) if numbered else given
     ev = ev.select(
-        "case_id", F.coalesce(F.nullif(F.coalesce("evidence_id", "id"), F.lit("")), auto).alias("evidence_id"), F.coalesce("source_id", "source_node_id", "source", "node_id").alias("source_id"),
+        "case_id", named.alias("evidence_id"), F.coalesce("source_id", "source_node_id", "source", "node_id").alias("source_id"),
         F.coalesce("evidence_type", "type").alias("evidence_type"), "severity", "confidence", F.coalesce("detector", F.lit("unknown")).alias("detector"),
     )
     none = documents.sparkSession.createDataFrame([], INSPECTIONS)

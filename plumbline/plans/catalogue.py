@@ -322,11 +322,11 @@ def node_export(spark, d):
 # each case written as a document and read again
 @query("graph_documents", ALL_CASES + " SELECT case_id, 'node' AS part, node_id AS id, node_type AS kind, label AS text, CAST(NULL AS DOUBLE) AS weight FROM nodes UNION ALL SELECT case_id, 'edge', src, edge_type, dst, NULL FROM edges UNION ALL SELECT case_id, 'evidence', evidence_id, evidence_type, source_id || ' ' || detector, round(severity * confidence, 6) FROM evidence")
 def graph_documents(spark, d):
-    g = lineage.from_json(lineage.to_json(user_cases(spark, d)))
+    g = lineage.from_json(lineage.to_json(user_cases(spark, d)), numbered=False)
     row = lambda df, part, i, kind, text, weight: df.select("case_id", F.lit(part).alias("part"), F.col(i).alias("id"), F.col(kind).alias("kind"), text.alias("text"), weight.cast("double").alias("weight"))
     none = F.lit(None)
     out = row(g.nodes, "node", "node_id", "node_type", F.col("label"), none).union(row(g.edges, "edge", "src", "edge_type", F.col("dst"), none))
-    return out.union(row(g.evidence, "evidence", "evidence_id", "evidence_type", F.concat_ws(" ", "source_id", "detector"), r6(F.col("severity") * F.col("confidence"))))
+    return out.union(row(g.evidence, "evidence", "evidence_id", "evidence_type", F.concat("source_id", F.lit(" "), "detector"), scalars.scaled_round(F.col("severity") * F.col("confidence"), 6)))
 
 
 @query("layout_positions", ALL_CASES + f" SELECT case_id, node_id, node_type, CAST(list_position({list(dims.STAGES)}, {STAGE_SQL}) - 1 AS INT) AS rank, CAST(row_number() OVER (PARTITION BY case_id, node_type ORDER BY node_id) AS INT) AS position FROM nodes")
