@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import mix_cube, ngram_matrix, quality_subword, template_decon, token_planes
-from plumbline.llm.common import ROW_GROUP, own_dir, remove, scratch, table
+from plumbline.llm.common import ROW_GROUP, own_dir, remove, scratch, table, trim_driver
 
 
 _chain = threading.local()  # folder: the intermediate tables of the stage that this thread ran last
@@ -34,6 +34,7 @@ def _stage(function):
         old, _chain.folder = getattr(_chain, "folder", None), f"{own_dir(spark)}/stage-{uuid.uuid4().hex}"
         if old and function.__name__ != "quality":
             remove(spark, old)
+        trim_driver(spark)
         with scratch(_chain.folder):
             return function(spark, docs, sf_dir)
 

@@ -83,6 +83,17 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """The driver's JVM gives native memory that it has freed (of compiled plans, mostly) back to the system, where it knows how to."""
+    from py4j.protocol import Py4JError
+
+    try:
+        server = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        server.invoke(spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+    except Py4JError:  # another JVM, or an older one
+        pass
+
+
 _forget: list[Callable[[], object]] = []  # how to drop what operators keep in a Python worker between tasks
 _at_work = ""
 

@@ -155,6 +155,8 @@ def train(texts: list[str], labels: list[int], seed: int = 42) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Whole texts and labels of at most so many rows and bytes, in the order of a hash of doc_id; a doc_id whose texts don't fit is passed over."""
+    import pyarrow as pa
+
     once = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"))  # texts stay out of the join
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
@@ -169,7 +171,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: in
         chosen[i] = int(same[0]["_y"] > 0)
     if not chosen:
         return [], []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")  # rows of them at most
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(chosen, pa.int64())}))  # rows of them at most; a list of rows would go through Python workers of their own
     got = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).collect()
     got = sorted((r["doc_id"], r["_t"]) for r in got)
     return [t for _, t in got], [chosen[i] for i, _ in got]
@@ -201,7 +203,9 @@ def scorer(spark: SparkSession, model: Model):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Labels of held-out documents are never read."""
     keep = ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    return train(*sample(docs, labels.filter(keep)))
+    model = train(*sample(docs, labels.filter(keep)))
+    trim()  # of the driver's Python: the sample and the embeddings are done with
+    return model
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,8 +33,8 @@ from plumbline.llm.common import begin, fresh_path, held_by_worker, trim, writte
 
 MAGIC = b"PLPLANE1"
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 200_000
-ENCODE_BYTES = 4 << 20  # of text that are encoded at once, or one text
+MEMO_UNITS = 50_000  # both only trade memory of a Python worker against its time; the ids are the same
+ENCODE_BYTES = 1 << 20  # of text that are encoded at once, or one text
 SHARD_BYTES = 32 << 20
 
 
