@@ -19,10 +19,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +31,8 @@ from plumbline.llm.common import begin, fresh_path, held_by_worker, trim, writte
 
 MAGIC = b"PLPLANE1"
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 50_000  # both only trade memory of a Python worker against its time; the ids are the same
-ENCODE_BYTES = 1 << 20  # of text that are encoded at once, or one text
+MEMO_UNITS = 100_000  # both only trade memory of a Python worker against its time; the ids are the same
+ENCODE_BYTES = 2 << 20  # of text that are encoded at once, or one text
 SHARD_BYTES = 32 << 20
 
 
@@ -126,30 +124,25 @@ class Shard:
 
 # --- tokenising -----------------------------------------------------------------------------------------------------
 
-_LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u0530-\U0010ffff]"  # of scripts whose letters are long settled
-_MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII marks but the apostrophe, which may begin a piece of its own kind
-_PIECE = re.compile(rf"\n+(?!\S)|\n| ?{_LETTER}+| ?[0-9]+| ?{_MARK}+")
-_PLAIN = re.compile(rf"(?:{_LETTER}|{_MARK}|[0-9\n])+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_SETTLED = r"^[\x{00}-\x{52F}]*$"
-LEARN = 200  # pieces in one call of the library
-GATHER = 1 << 18  # units that are gathered at once
+LEARN = 200  # units in one text for the library
+CALL = 20  # such texts in one call
+LONGEST = 64  # bytes of a unit that is kept
 
 
 class MemoEncoder:
-    """The ids that tokenizers gives for whole texts, with repeated pieces looked up.
+    """The ids that tokenizers gives for whole texts, with repeated units looked up.
 
     The byte-level pre-tokeniser ends a piece before a space that a visible character follows, so the units between such
-    spaces can be encoded by themselves. A batch's units are numbered by a hash table in Arrow, each distinct one is looked up once, and the
-    texts' ids are gathered by numpy. A unit of letters, digits, ASCII marks and line ends is itself a row of the pre-tokeniser's
-    pieces, which recur more often than units do; only pieces are kept. Texts with runs of spaces, or with a space before other
+    spaces can be encoded by themselves. A batch's units are numbered by a hash table in Arrow that begins with the kept ones, the library encodes
+    each distinct one that is not kept, and the texts' ids are taken by those numbers. Texts with runs of spaces, or with a space before other
     white space or at their end, are encoded whole.
 
-    The memo has two generations of at most `units` pieces and a batch's (about 200 bytes each); what has not been met since the
-    last change of generation is forgotten.
+    The memo is two Arrow arrays, units and their ids, of at most `units` rows and a batch's (about 40 bytes each, LONGEST bounds them). When there
+    are more, the half that was met most often stays, and what was counted counts half from then on.
     """
 
     def __init__(self, path: str, end_id: int, units: int = MEMO_UNITS):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.units = units
@@ -157,7 +150,7 @@ class MemoEncoder:
         self.tok.encode_special_tokens = True  # a special token's string within a text is ordinary text
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.end, self.memo, self.old = end_id, {" ": {}, "\n": {}}, {" ": {}, "\n": {}}
+        self.end, self.known, self.ids, self.met = end_id, pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         pre = self.tok.pre_tokenizer
         self.split = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
         vocab = self.tok.get_vocab()
@@ -167,61 +160,36 @@ class MemoEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], mark: str) -> list[bytes]:
-        """Ids of pieces without `mark` (a space or a line end), after a space or after none. Many are encoded as one text, whose ids are cut at the marks."""
-        out = []
-        for k in range(0, len(pieces), LEARN):
-            text = mark + mark.join(pieces[k : k + LEARN])
-            raw = self._ids([text])[0]
-            at = np.cumsum(self.n_bytes[np.frombuffer(raw, self.kind)])
-            data = np.frombuffer(text.encode(), np.uint8)
-            marks = np.flatnonzero(data == ord(mark))
-            if mark == " ":
-                ends = (np.searchsorted(at, np.append(marks[1:], len(data))) + 1) * self.width
-                starts = np.concatenate(([0], ends[:-1]))
-            else:  # the line end is a token of its own
-                starts = (np.searchsorted(at, marks + 1) + 1) * self.width
-                ends = np.append(starts[1:] - self.width, len(raw))
-            out += [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return out
-
-    def _look_up(self, wanted: set[str], mark: str) -> Callable[[str], bytes]:
-        """Memo of the pieces after a space (mark " ") or after none, with all that are wanted."""
-        memo, old = self.memo[mark], self.old[mark]
-        if len(memo) > self.units:
-            self.memo[mark], self.old[mark] = memo, old = {}, memo
-        new = wanted.difference(memo)
-        if old:
-            known = new.intersection(old)
-            memo.update((p, old[p]) for p in known)
-            new.difference_update(known)
-        ends = [p for p in new if p[0] == "\n"] if mark != " " else []
-        memo.update(zip(ends, self._ids(ends), strict=True))
-        rest = list(new.difference(ends))
-        memo.update(zip(rest, self._learn(rest, mark), strict=True))
-        return memo.__getitem__
-
-    def _units(self, units) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Distinct units that follow a space, an Arrow array -> their order here, the ids of their pieces in that order, number of pieces of each."""
+    def _learn(self, units):
+        """Ids of units that follow a space, an Arrow array. Many are encoded as one text, whose ids are cut before the spaces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(units):
+            return pa.array([], pa.large_binary())
+        at = np.append(np.arange(0, len(units), LEARN), len(units))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), units), pa.scalar(" ", pa.large_string()))
+        raw = []
+        for k in range(0, len(texts), CALL):
+            raw += self._ids([" " + t for t in texts.slice(k, CALL).to_pylist()])
+        flat = b"".join(raw)
+        past = np.cumsum(self.n_bytes[np.frombuffer(flat, self.kind)])
+        ends = np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64) + 1)
+        return _binary(flat, (np.searchsorted(past, ends) + 1) * self.width)
+
+    def _keep(self, units, ids, met: np.ndarray) -> None:
+        """The memo of the next batch: units, their ids, how often they were met."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
-        strings = lambda x: x.to_numpy(zero_copy_only=False).tolist()
-        flag = lambda x: x.to_numpy(zero_copy_only=False)
-        alone = flag(pc.utf8_is_alpha(units))
-        stem = pc.utf8_rtrim(units, characters=_MARKS)
-        marked = ~alone & flag(pc.utf8_is_alpha(stem)) & flag(pc.match_substring_regex(units, _SETTLED))
-        order = [np.flatnonzero(alone), np.flatnonzero(marked), np.flatnonzero(~alone & ~marked)]
-        words, stems = strings(units.take(order[0])), strings(stem.take(order[1]))
-        marks = [u[len(w) :] for u, w in zip(strings(units.take(order[1])), stems, strict=True)]
-        odd = [_PIECE.findall(" " + u) if _PLAIN.fullmatch(u) else [" " + u] for u in strings(units.take(order[2]))]
-        flat = [p for row in odd for p in row]
-        spaced = self._look_up({*words, *stems, *(p[1:] for p in flat if p[0] == " ")}, " ")
-        bare = self._look_up({*marks, *(p for p in flat if p[0] != " ")}, "\n")
-        values = list(map(spaced, words))
-        values += [x for pair in zip(map(spaced, stems), map(bare, marks), strict=True) for x in pair]
-        values += [spaced(p[1:]) if p[0] == " " else bare(p) for p in flat]
-        n = np.concatenate([np.ones(len(words), np.int64), np.full(len(stems), 2), np.array([len(r) for r in odd], np.int64)])
-        return np.concatenate(order), values, n
+        kept = np.flatnonzero(pc.less_equal(pc.binary_length(units), LONGEST).to_numpy(zero_copy_only=False))
+        half = self.units // 2
+        if len(kept) > self.units:
+            kept = np.sort(kept[np.argpartition(met[kept], -half)[-half:]]) if half else kept[:0]
+            met = met >> 1
+        if len(kept) < len(units):
+            units, ids, met = units.take(pa.array(kept)), ids.take(pa.array(kept)), met[kept]
+        self.known, self.ids, self.met = units, ids, met
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Arrow strings (null: empty) -> (ids of all texts, each with the end id after it, end of each text's ids)."""
@@ -230,46 +198,51 @@ class MemoEncoder:
 
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         parts = pc.split_pattern(texts, " ")
-        codes = parts.flatten().dictionary_encode()
-        units, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
+        n_known = len(self.known)
+        codes = pa.concat_arrays([self.known, parts.flatten()]).dictionary_encode()
+        units, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)[n_known:]
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(count) - count
         # a text without units that are empty or begin with white space (but for its first) is taken apart
         inner = np.ones(len(code), dtype=bool)
         inner[first] = False
-        lead = pc.utf8_slice_codeunits(units, 0, 1)
+        lead = pc.utf8_slice_codeunits(units.slice(n_known), 0, 1)
         odd = pc.or_(pc.equal(lead, ""), pc.utf8_is_space(lead)).to_numpy(zero_copy_only=False)
         whole = np.full(len(count), not self.split)
-        hits = np.flatnonzero(inner & odd[code]) if odd.any() else np.zeros(0, np.int64)
+        hits = np.flatnonzero(inner & np.concatenate((np.zeros(n_known, bool), odd))[code]) if odd.any() else np.zeros(0, np.int64)
         whole[np.searchsorted(first, hits, side="right") - 1] = True
         inner &= ~np.repeat(whole, count)
-        used = np.zeros(len(units), dtype=bool)
-        used[code[inner]] = True
-        at = np.flatnonzero(used)
-        order, values, pieces = self._units(units.take(pa.array(at)))
-        place = np.zeros(len(units), dtype=np.int64)
-        place[at[order]] = np.arange(len(at))
+        met = np.bincount(code[inner], minlength=len(units))
+        new = n_known + np.flatnonzero(met[n_known:])
+        n_inner = n_known + len(new)
+        place = np.full(len(units), -1, dtype=np.int64)
+        place[:n_known] = np.arange(n_known)
+        place[new] = np.arange(n_known, n_inner)
+        learnt = units.take(pa.array(new))
+        ids = pa.concat_arrays([self.ids, self._learn(learnt)])
         heads, rest = np.flatnonzero(~whole), np.flatnonzero(whole)
         head, where = np.unique(code[first[heads]], return_inverse=True)
-        values += [np.array([self.end], self.kind).tobytes(), *self._ids(units.take(pa.array(head)).to_pylist()), *self._ids(texts.take(pa.array(rest)).to_pylist())]
+        more = [np.array([self.end], self.kind).tobytes(), *self._ids(units.take(pa.array(head)).to_pylist()), *self._ids(texts.take(pa.array(rest)).to_pylist())]
         # every text as rows of ids: its head, its units, the end; or whole, the end
         row = np.where(inner, place[code], -1)
-        row[first[heads]] = len(at) + 1 + where
-        row[first[rest]] = len(at) + 1 + len(head) + np.arange(len(rest))
-        row = np.insert(row, first + count, len(at))
+        row[first[heads]] = n_inner + 1 + where
+        row[first[rest]] = n_inner + 1 + len(head) + np.arange(len(rest))
+        row = np.insert(row, first + count, n_inner)
         last = np.cumsum(count + 1) - 1
         kept = row >= 0
         last, row = np.cumsum(kept)[last], row[kept]
-        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values))) // self.width
-        ends = np.concatenate(([0], ends[np.cumsum(np.concatenate((pieces, np.ones(len(values) - int(pieces.sum()), np.int64)))) - 1]))
-        start, long = ends[:-1], np.diff(ends)[row]
-        to = np.concatenate(([0], np.cumsum(long)))
-        flat, out = np.frombuffer(b"".join(values), self.kind), np.empty(to[-1], self.kind)
-        for k in range(0, len(row), GATHER):
-            part = slice(k, k + GATHER)
-            a, b = to[k], to[min(k + GATHER, len(row))]
-            out[a:b] = flat[np.repeat(start[row[part]] - to[:-1][part], long[part]) + np.arange(a, b)]
-        return out, to[last]
+        out = pa.concat_arrays([ids, pa.array(more, pa.large_binary())]).take(pa.array(row))
+        self._keep(pa.concat_arrays([self.known, learnt]), ids, np.concatenate((self.met + met[:n_known], met[new])))
+        _, ends, data = out.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(row) + 1] // self.width
+        return np.frombuffer(data, self.kind, ends[-1]), ends[last]
+
+
+def _binary(data: bytes, ends: np.ndarray):
+    """An Arrow array of the pieces of data that end there."""
+    import pyarrow as pa
+
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)])
 
 
 _encoders: dict[tuple[str, int, int], MemoEncoder] = {}

@@ -60,3 +60,27 @@ def test_query_rows(spark):
         at += r.n_tokens
     assert sum(r.n_ids for r in manifest.collect()) == at
     assert tp.encode_to_planes(docs.limit(0), PATH)[0].count() == 0
+
+
+def test_kept_units_are_not_encoded_again(monkeypatch):
+    words = ["w" + "".join(chr(97 + k // 26**j % 26) for j in range(4)) + "," for k in range(120_000)]
+    texts = [pa.array([" ".join(["x", *words[k : k + 10_000]])]) for k in range(0, 90_000, 10_000)]
+    enc, sent = tp.MemoEncoder(PATH, 2), []
+    first, given = [enc.encode(t) for t in texts], enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda x: sent.extend(x) or given(x))
+    again = [enc.encode(t) for t in texts]
+    assert sum(map(len, sent)) <= len(texts)  # the first unit of each text
+    assert all(np.array_equal(a, b) and np.array_equal(x, y) for (a, x), (b, y) in zip(first, again, strict=True))
+
+
+def test_memo_is_bounded_and_forgets_nothing_needed():
+    rng = np.random.default_rng(3)
+    enc = tp.MemoEncoder(PATH, 2, units=50)
+    for _ in range(40):
+        words = ["".join(rng.choice(list("abcdé,'1\n<"), rng.integers(1, 7))) for _ in range(60)]
+        texts = [" ".join(words[:30]), None, " ".join(words[30:]), "u" * 200 + " " + "v" * 200, "a  b", " ", ""]
+        ids, ends = enc.encode(pa.array(texts, pa.string()))
+        want = [[*e.ids, 2] for e in enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=False)] == want
+        assert len(enc.known) <= 50 and all(len(u) <= tp.LONGEST for u in enc.known.to_pylist())
+    assert len(enc.known) == len(enc.ids) == len(enc.met) == len(enc.known.unique())
